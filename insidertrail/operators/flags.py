@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,9 +112,13 @@ def with_price_flags(buys: DataFrame, prices: DataFrame) -> DataFrame:
     }).drop("prev")
 
 
-def with_liquidity_quintile(buys: DataFrame) -> DataFrame:
+def volume_edges(buys: DataFrame) -> DataFrame:
+    return exact_quantiles(buys, "avg_volume_20d", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+
+
+def with_liquidity_quintile(buys: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Quintile (1-5) of trailing volume over all buys with a volume; NULL if edges repeat."""
-    edges = exact_quantiles(buys, "avg_volume_20d", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    edges = volume_edges(buys) if edges is None else edges
     inner = F.slice("edges", 2, 4)
     repeats = F.size(F.array_distinct("edges")) < 6
     bucket = F.when(~repeats & (F.col("n") >= 5),
@@ -122,14 +128,19 @@ def with_liquidity_quintile(buys: DataFrame) -> DataFrame:
 
 
 def flagged_buys(events: DataFrame, prices: DataFrame, roles: DataFrame, *,
-                 causal_cluster: bool = True, quintiles: bool = True) -> DataFrame:
-    """Buy events with every flag column."""
+                 causal_cluster: bool = True, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Buy events with every flag column.
+
+    ``cut`` may write an intermediate result and read it back; the priced events
+    are used several times (clusters, first buys, quantile edges).
+    """
     from insidertrail.operators.events import with_role_title
 
-    out = with_role_title(events, roles)
-    out = with_price_flags(out, prices)
-    out = with_cluster(out, roles, causal=causal_cluster)
-    out = with_first_buy(out, roles)
-    out = with_routine(out)
-    out = with_filing_lag(out)
-    return with_liquidity_quintile(out) if quintiles else out
+    priced = cut(with_price_flags(with_role_title(events, roles), prices))
+    out = with_cluster(priced, roles, causal=causal_cluster)
+    out = out.join(with_first_buy(priced, roles).select(
+        "txn_id", "is_first_buy", "tenure_days", "first_time_conviction"), "txn_id")
+    out = (out.join(routine_insiders(priced).withColumn("is_routine", F.lit(True)), "insider_id", "left")
+           .withColumn("is_routine", F.coalesce("is_routine", F.lit(False))))
+    edges = volume_edges(priced)
+    return with_filing_lag(with_liquidity_quintile(out, edges))

@@ -114,7 +114,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     names = ordered_ctes(sql, definitions)
     if not names:
         return sql
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({definitions[n].strip()})" for n in names)
+    ctes = ",\n".join(f"{n} AS ({definitions[n].strip()})" for n in names)
     return f"WITH {ctes}\n{sql.strip()}"
 
 

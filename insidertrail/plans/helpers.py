@@ -30,11 +30,17 @@ def compute_outcomes(t: Tables) -> DataFrame:
 
 
 def buy_events(t: Tables) -> DataFrame:
+    """Matured buy events, written once per application."""
+    return t.stage("buy_events", lambda: compute_buy_events(t))
+
+
+def compute_buy_events(t: Tables) -> DataFrame:
     return E.collapse_lots(E.matured_buys(t.transactions, outcomes(t), t.companies, t.insiders))
 
 
 def compute_flagged(t: Tables) -> DataFrame:
-    return FL.flagged_buys(buy_events(t), t.prices, t.roles)
+    return FL.flagged_buys(buy_events(t), t.prices, t.roles,
+                           cut=lambda df: t.stage("priced_buys", lambda: df))
 
 
 def flagged(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from insidertrail.operators import prices as P
 from insidertrail.operators.clusters import rows_in_window, visible_members
 from insidertrail.operators.outcomes import prior_momentum
 from insidertrail.operators.quantiles import exact_quantiles
-from insidertrail.plans.helpers import big, buy_events, compute_flagged, compute_outcomes, outcomes, rounded
+from insidertrail.plans.helpers import big, buy_events, compute_buy_events, compute_flagged, compute_outcomes, outcomes, rounded
 from insidertrail.plans.oracle_views import CSUITE_SQL
 from insidertrail.plans.registry import query
 
@@ -213,7 +213,7 @@ SELECT txn_id, insider_id, company_id, transaction_date, filing_date, ticker, sh
        round(total_value, 2) AS total_value, round(price_per_share, 6) AS price_per_share, shares_owned_after,
        is_10b5_1_plan, round(excess_return_60d, 6) AS excess_return_60d, hit_60d FROM ox_buys""")
 def a01(t):
-    out = buy_events(t).select("txn_id", "insider_id", "company_id", "transaction_date", "filing_date", "ticker",
+    out = compute_buy_events(t).select("txn_id", "insider_id", "company_id", "transaction_date", "filing_date", "ticker",
                                "shares", "total_value", "price_per_share", "shares_owned_after",
                                "is_10b5_1_plan", "excess_return_60d", "hit_60d")
     return rounded(rounded(out, "price_per_share", "excess_return_60d"), "total_value", digits=2)

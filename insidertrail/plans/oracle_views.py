@@ -138,13 +138,14 @@ SELECT f.*, r.role_title, c.cluster_size, c.cluster_size >= 2 AS is_cluster,
        c.cluster_size >= 2 AND c.both_heads AS cluster_has_ceo_and_cfo,
        n.is_first_buy, f.transaction_date - s.since AS tenure_days,
        n.is_first_buy AND coalesce(f.transaction_date - s.since, 0) >= 730 AS first_time_conviction,
-       f.insider_id IN (SELECT insider_id FROM ox_routine) AS is_routine,
+       ro.insider_id IS NOT NULL AS is_routine,
        greatest(f.filing_date - f.transaction_date, 0) AS filing_lag_days,
        CASE WHEN f.avg_volume_20d IS NULL THEN NULL WHEN f.avg_volume_20d <= e.q1 THEN 1
             WHEN f.avg_volume_20d <= e.q2 THEN 2 WHEN f.avg_volume_20d <= e.q3 THEN 3
             WHEN f.avg_volume_20d <= e.q4 THEN 4 ELSE 5 END AS liquidity_quintile
 FROM ox_price_flags f JOIN ox_cluster c USING (txn_id) JOIN ox_first n USING (txn_id)
 CROSS JOIN ox_edges e
+LEFT JOIN ox_routine ro ON ro.insider_id = f.insider_id
 LEFT JOIN (SELECT insider_id, company_id, min(role_title) AS role_title FROM fx_roles GROUP BY 1, 2) r
   ON r.insider_id = f.insider_id AND r.company_id = f.company_id
 LEFT JOIN (SELECT insider_id, min(first_filing_date) AS since FROM fx_roles GROUP BY 1) s
