@@ -56,12 +56,10 @@ def with_first_buy(buys: DataFrame, roles: DataFrame, *, min_tenure_days: int =
             .drop("_first", "_since"))
 
 
-def first_observed(transactions: DataFrame, *, by_company: bool = False) -> DataFrame:
-    """Earliest buy by (date, id) per insider, or per insider and company."""
-    keys = ["insider_id", "company_id"] if by_company else ["insider_id"]
-    return transactions.groupBy(*keys).agg(
-        F.min(F.struct("transaction_date", "txn_id")).alias("_f")).select(
-        *keys, F.col("_f.txn_id").alias("first_txn_id"))
+def first_observed(transactions: DataFrame) -> DataFrame:
+    """Earliest buy (date, id) of each insider."""
+    return transactions.groupBy("insider_id").agg(
+        F.min(F.struct("transaction_date", "txn_id")).alias("first_event"))
 
 
 def role_facts(roles: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *,
-                    slices: int = 512) -> DataFrame:
+                    slices: int = 128) -> DataFrame:
     """One row with ``n`` and ``edges`` (array of doubles, one per probability)."""
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))

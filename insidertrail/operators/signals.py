@@ -187,12 +187,12 @@ def live_features(rows: DataFrame, transactions: DataFrame, insiders: DataFrame,
         "cluster_sell_unique": F.coalesce("unique_sellers", F.lit(0)),
         "insider_median_value": F.coalesce("median_value", F.lit(SIGNALS.default_median_value)),
         "is_10b5_1_plan": _planned(),
-        "is_first_buy": F.coalesce(F.col("first_txn_id") == F.col("txn_id"), F.lit(True)),
+        "is_first_buy": F.coalesce(F.struct("transaction_date", "txn_id") <= F.col("first_event"), F.lit(True)),
         "is_first_time": no_other_here & F.coalesce(tenured, F.lit(False)),
         "role_title": F.coalesce("_title", F.lit("Other")),
         "skill_score": F.coalesce("skill_score", F.lit(0.0)),
         "tier": F.coalesce("tier", F.lit("Insufficient")),
-    }).drop("unique_buyers", "unique_sellers", "median_value", "first_txn_id", "_buys", "_only", "_title", "_since")
+    }).drop("unique_buyers", "unique_sellers", "median_value", "first_event", "_buys", "_only", "_title", "_since")
 
 
 # --- alerts -----------------------------------------------------------------

@@ -85,6 +85,21 @@ SELECT event_id AS accession_id, ts AS filed_at, CAST(user_id AS INT) AS insider
        CAST(event_id % 25 AS INT) AS company_id,
        CASE WHEN event_type = 'purchase' THEN 'P' ELSE 'S' END AS transaction_code, value AS total_value
 FROM events""",
+    "fx_positions": """
+SELECT txn_id AS position_id, txn_id AS alert_id, txn_id AS entry_order_id, insider_id,
+       concat('T', CAST(company_id AS STRING)) AS symbol,
+       CASE WHEN txn_id % 9 = 0 THEN 0.0 ELSE shares END AS shares, price_per_share AS entry_price,
+       filing_date AS entry_date, filing_date + 84 AS exit_target_date,
+       CASE txn_id % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'closing' WHEN 2 THEN 'delisted' WHEN 3 THEN 'open'
+            ELSE 'closed' END AS status,
+       CASE WHEN txn_id % 6 IN (2, 4, 5) THEN filing_date + 80 END AS exit_date,
+       CASE WHEN txn_id % 6 = 4 THEN 'orphan_no_sell' WHEN txn_id % 6 = 5 THEN 'sold' END AS close_reason,
+       txn_id % 11 = 0 AS reconcile_hold
+FROM fx_transactions WHERE transaction_code = 'P'""",
+    "fx_orders": """
+SELECT txn_id AS order_id, txn_id AS alert_id, concat('T', CAST(company_id AS STRING)) AS symbol, 'buy' AS side,
+       CASE WHEN txn_id % 4 = 0 THEN NULL ELSE total_value END AS notional, filing_date AS created_on
+FROM fx_transactions WHERE transaction_code = 'P'""",
 }
 
 # Stage tables this process has finished writing.
@@ -207,6 +222,14 @@ class Tables:
     def short_volume(self) -> DataFrame:
         return self._sql("fx_short_volume", events=self.base("events"))
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._sql("fx_positions", fx_transactions=self.transactions)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._sql("fx_orders", fx_transactions=self.transactions)
+
     @cached_property
     def filing_stream(self) -> DataFrame:
         return self._sql("fx_filing_stream", events=self.base("events"))

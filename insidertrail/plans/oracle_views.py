@@ -167,8 +167,29 @@ SELECT insider_id, count(*) AS n, count(*) FILTER (hit_60d) AS hits, avg(excess_
        CASE WHEN count(prior_momentum_20d) >= 5 AND max(prior_momentum_20d) > min(prior_momentum_20d)
             THEN regr_intercept(excess_return_60d, prior_momentum_20d) END AS icpt
 FROM ox_events GROUP BY insider_id""",
-    "ox_scores": """
-SELECT insider_id, n, hits, raw_hit_rate, hr AS bayesian_hit_rate, conf AS confidence, mean_y AS avg_excess_return,
+    "ox_score_input": """
+SELECT i.insider_id, coalesce(r.n, 0) AS n, coalesce(r.hits, 0) AS hits, r.mean_y, r.sum_y, r.std_y, r.icpt
+FROM (SELECT DISTINCT insider_id FROM fx_transactions t JOIN fx_insiders USING (insider_id)
+      WHERE is_discretionary AND NOT is_institution) i LEFT JOIN ox_records r USING (insider_id)""",
+}
+
+ORACLE_VIEWS["ox_raw_events"] = """
+SELECT event_id AS seq, CAST(event_id % 25 AS INT) AS company_id,
+       CASE event_id % 4 WHEN 1 THEN 'SC 13D' WHEN 2 THEN 'SC 13G' ELSE '8-K' END AS form_type,
+       concat('E', CAST(event_id // 2 AS VARCHAR)) AS accession_number,
+       CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS filing_date,
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS report_date,
+       CASE event_id % 3 WHEN 0 THEN '2.02,9.01' WHEN 1 THEN NULL ELSE '5.02' END AS items FROM events"""
+ORACLE_VIEWS["ox_filing_events"] = """
+SELECT accession_number, company_id, form_type, filing_date, report_date, items FROM (
+  SELECT *, row_number() OVER (PARTITION BY accession_number ORDER BY seq) AS pick FROM ox_raw_events)
+WHERE pick = 1 AND filing_date IS NOT NULL"""
+
+
+def score_sql(source: str, keys: str) -> str:
+    """Score columns over rows with n, hits, mean_y, sum_y, std_y, icpt."""
+    return f"""
+SELECT {keys}, n, hits, raw_hit_rate, hr AS bayesian_hit_rate, conf AS confidence, mean_y AS avg_excess_return,
        shrunk AS shrunk_excess, adj AS momentum_adjusted_excess, cred AS credibility_weight, sigma,
        skill AS skill_score,
        CASE WHEN n < 3 THEN 'Insufficient' WHEN skill >= 1.5 AND conf >= 0.8 AND n >= 6 THEN 'Elite'
@@ -176,7 +197,7 @@ SELECT insider_id, n, hits, raw_hit_rate, hr AS bayesian_hit_rate, conf AS confi
 FROM (SELECT *, CASE WHEN n < 3 THEN 0.0 ELSE cred * (0.5 * ln(greatest(0.01, least(0.99, hr))
                  / (1 - greatest(0.01, least(0.99, hr)))) + 0.5 * adj / 0.15) END AS skill
   FROM (SELECT *, CASE WHEN n >= 3 THEN coalesce(icpt, shrunk) END AS adj FROM (
-    SELECT q.insider_id, q.n, q.hits, icpt, CASE WHEN n >= 3 THEN mean_y END AS mean_y,
+    SELECT {keys}, q.n, q.hits, icpt, CASE WHEN n >= 3 THEN mean_y END AS mean_y,
       CASE WHEN n >= 3 THEN hits / n END AS raw_hit_rate,
       CASE WHEN n >= 3 THEN (5.5 + hits) / (10 + n) END AS hr,
       CASE WHEN n >= 3 THEN (0.05 + sum_y) / (5 + n) END AS shrunk,
@@ -187,21 +208,56 @@ FROM (SELECT *, CASE WHEN n < 3 THEN 0.0 ELSE cred * (0.5 * ln(greatest(0.01, le
             + lgamma(10.0 + i) - lgamma(6.5 + i) - lgamma(4.5)))), 0)
         + coalesce(list_sum(list_transform(range(n - hits), lambda j: exp((5.5 + hits) * ln(0.55)
             + (4.5 + j) * ln(0.45) + lgamma(10.0 + hits + j) - lgamma(5.5 + hits) - lgamma(5.5 + j)))), 0)) END AS conf
-    FROM ox_score_input q)))""",
-    "ox_score_input": """
-SELECT i.insider_id, coalesce(r.n, 0) AS n, coalesce(r.hits, 0) AS hits, r.mean_y, r.sum_y, r.std_y, r.icpt
-FROM (SELECT DISTINCT insider_id FROM fx_transactions t JOIN fx_insiders USING (insider_id)
-      WHERE is_discretionary AND NOT is_institution) i LEFT JOIN ox_records r USING (insider_id)""",
-}
+    FROM {source} q)))"""
 
-ORACLE_VIEWS["ox_raw_events"] = """
-SELECT event_id AS seq, CAST(event_id % 25 AS INT) AS company_id,
-       CASE event_id % 4 WHEN 1 THEN 'SC 13D' WHEN 2 THEN 'SC 13G' ELSE '8-K' END AS form_type,
-       concat('E', CAST(event_id // 2 AS VARCHAR)) AS accession_number,
-       CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS filing_date,
-       CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS report_date,
-       CASE event_id % 3 WHEN 0 THEN '2.02,9.01' WHEN 1 THEN NULL ELSE '5.02' END AS items FROM events"""
-ORACLE_VIEWS["ox_filing_events"] = """
-SELECT accession_number, company_id, form_type, filing_date, report_date, items FROM (
-  SELECT *, row_number() OVER (PARTITION BY accession_number ORDER BY seq) AS pick FROM ox_raw_events)
-WHERE pick = 1 AND filing_date IS NOT NULL"""
+
+RECORD_SQL = """count(excess_return_60d) AS n, count(*) FILTER (hit_60d) AS hits, avg(excess_return_60d) AS mean_y,
+       sum(excess_return_60d) AS sum_y, stddev_samp(excess_return_60d) AS std_y,
+       CASE WHEN count(prior_momentum_20d) >= 5 AND max(prior_momentum_20d) > min(prior_momentum_20d)
+            THEN regr_intercept(excess_return_60d, prior_momentum_20d) END AS icpt"""
+
+ORACLE_VIEWS["ox_scores"] = score_sql("ox_score_input", "insider_id")
+ORACLE_VIEWS["ox_asof_cached_input"] = f"""
+SELECT r.insider_id, r.as_of, {RECORD_SQL} FROM
+ (SELECT DISTINCT insider_id, transaction_date AS as_of FROM fx_transactions WHERE is_discretionary) r
+LEFT JOIN (SELECT * FROM (SELECT t.insider_id, t.transaction_date, o.excess_return_60d, o.hit_60d, o.prior_momentum_20d,
+             row_number() OVER (PARTITION BY t.insider_id, t.transaction_date ORDER BY t.txn_id) AS pick
+           FROM fx_transactions t JOIN ox_outcomes o USING (txn_id)
+           WHERE t.is_discretionary AND o.excess_return_60d IS NOT NULL) WHERE pick = 1) e
+  ON e.insider_id = r.insider_id AND e.transaction_date < r.as_of
+GROUP BY r.insider_id, r.as_of"""
+ORACLE_VIEWS["ox_asof_direct_input"] = f"""
+SELECT r.insider_id, r.as_of, {RECORD_SQL} FROM
+ (SELECT DISTINCT insider_id, transaction_date AS as_of FROM fx_transactions WHERE is_discretionary) r
+LEFT JOIN (SELECT * FROM (SELECT t.insider_id, t.transaction_date, o.excess_return_60d, o.hit_60d, o.prior_momentum_20d,
+             row_number() OVER (PARTITION BY t.insider_id, t.company_id, t.transaction_date
+                                ORDER BY coalesce(t.total_value, 0) DESC, t.txn_id) AS pick
+           FROM fx_transactions t JOIN ox_outcomes o USING (txn_id)
+           WHERE t.is_discretionary AND o.excess_return_60d IS NOT NULL) WHERE pick = 1) e
+  ON e.insider_id = r.insider_id AND e.transaction_date < r.as_of
+GROUP BY r.insider_id, r.as_of"""
+ORACLE_VIEWS["ox_asof_cached"] = score_sql("ox_asof_cached_input", "insider_id, as_of")
+ORACLE_VIEWS["ox_asof_direct"] = score_sql("ox_asof_direct_input", "insider_id, as_of")
+ORACLE_VIEWS["ox_peers"] = """
+SELECT d.company_id, d.transaction_date, count(DISTINCT m.insider_id) AS unique_buyers
+FROM (SELECT DISTINCT company_id, transaction_date FROM fx_transactions) d
+JOIN (SELECT t.* FROM fx_transactions t JOIN fx_insiders i USING (insider_id)
+      WHERE t.is_discretionary AND NOT i.is_institution) m
+  ON m.company_id = d.company_id AND m.transaction_date BETWEEN d.transaction_date - 7 AND d.transaction_date + 7
+GROUP BY d.company_id, d.transaction_date"""
+ORACLE_VIEWS["ox_eligible"] = """
+SELECT * FROM (
+  SELECT t.*, s.total AS txn_value, row_number() OVER (PARTITION BY t.insider_id, t.company_id, t.transaction_date
+                                                       ORDER BY t.txn_id) AS pick
+  FROM fx_transactions t JOIN fx_insiders i USING (insider_id)
+  JOIN (SELECT insider_id, company_id, transaction_date, sum(total_value) AS total FROM fx_transactions
+        WHERE is_discretionary GROUP BY 1, 2, 3) s USING (insider_id, company_id, transaction_date)
+  WHERE t.is_discretionary AND NOT i.is_institution AND coalesce(t.is_common_stock, true)
+    AND s.total BETWEEN 500 AND 10000000000) WHERE pick = 1"""
+ORACLE_VIEWS["ox_alerts"] = """
+SELECT e.txn_id AS transaction_id, e.insider_id, e.company_id,
+       CASE WHEN coalesce(p.unique_buyers, 0) >= 2 AND e.txn_value >= 25000 THEN 'cluster_buy' ELSE 'filtered_out' END
+         AS alert_type,
+       e.txn_value / 100000 AS conviction_score, coalesce(s.skill_score, 0) AS insider_skill_score,
+       e.txn_value AS transaction_value, e.transaction_date AS trade_date, concat('T', e.company_id) AS ticker
+FROM ox_eligible e LEFT JOIN ox_peers p USING (company_id, transaction_date) LEFT JOIN ox_scores s USING (insider_id)"""

@@ -1,0 +1,63 @@
+"""Explicit schemas of the stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+TABLES: dict[str, str] = {
+    "transactions": (
+        "txn_id bigint, insider_id bigint, company_id bigint, accession_number string, filing_date date, "
+        "transaction_date date, transaction_code string, shares double, price_per_share double, "
+        "total_value double, shares_owned_after double, acquired_or_disposed string, is_discretionary boolean, "
+        "security_title string, is_common_stock boolean, is_10b5_1_plan boolean"),
+    "insiders": "insider_id bigint, cik string, name string, is_institution boolean",
+    "insider_roles": (
+        "insider_id bigint, company_id bigint, role_title string, is_officer boolean, is_director boolean, "
+        "is_ten_percent_owner boolean, first_filing_date date, last_filing_date date"),
+    "companies": "company_id bigint, cik string, ticker string, name string, sector string, industry string",
+    "price_data": ("ticker string, date date, open double, high double, low double, close double, "
+                   "adj_close double, volume bigint"),
+    "trade_outcomes": "txn_id bigint, prior_momentum_20d double, " + ", ".join(
+        f"{n}_{h}d double" for h in (20, 60, 120)
+        for n in ("stock_return", "benchmark_return", "sector_return", "excess_return")) + ", " + ", ".join(
+        f"hit_{h}d boolean" for h in (20, 60, 120)),
+    "insider_scores": (
+        "insider_id bigint, company_id bigint, n bigint, hits bigint, raw_hit_rate double, "
+        "bayesian_hit_rate double, confidence double, avg_excess_return double, shrunk_excess double, "
+        "momentum_adjusted_excess double, credibility_weight double, skill_score double, tier string"),
+    "alerts": (
+        "alert_id bigint, transaction_id bigint, insider_id bigint, company_id bigint, alert_type string, "
+        "conviction_score double, insider_skill_score double, transaction_value double, cluster_id string, "
+        "summary string, trade_date date, created_at timestamp"),
+    "backtest_results": (
+        "run_id string, transaction_id bigint, simulated_alert_type string, simulated_skill_score double, "
+        "simulated_tier string, actual_excess_return_60d double, actual_hit_60d boolean"),
+    "broker_orders": (
+        "order_id bigint, alert_id bigint, symbol string, side string, qty double, notional double, "
+        "order_type string, status string, filled_qty double, filled_avg_price double, filled_at timestamp, "
+        "sizing_method string, sizing_vol double, sizing_pct double, created_at timestamp"),
+    "broker_positions": (
+        "position_id bigint, alert_id bigint, entry_order_id bigint, exit_order_id bigint, symbol string, "
+        "shares double, entry_price double, entry_date date, exit_target_date date, status string, "
+        "exit_price double, exit_date date, pnl double, pnl_pct double, close_reason string, "
+        "last_market_price double, reconcile_hold boolean, insider_name string, insider_role string"),
+    "earnings_dates": "company_id bigint, earnings_date date, report_time string",
+    "fundamentals": ("company_id bigint, concept string, period_end date, filed_date date, "
+                     "fiscal_period string, form string, value double"),
+    "form4_filing_meta": ("accession_number string, company_id bigint, filing_date date, "
+                          "period_of_report date, remarks string, source string"),
+    "form4_deriv_txns": (
+        "accession_number string, deriv_trans_sk bigint, security_title string, trans_date date, "
+        "trans_code string, conv_exercise_price double, trans_shares double, trans_price_per_share double, "
+        "acquired_disposed string, exercisable_date date, expiration_date date, underlying_shares double, "
+        "shares_owned_after double, timeliness string"),
+    "form4_footnotes": "accession_number string, footnote_id string, text string",
+    "company_filing_events": ("accession_number string, company_id bigint, form_type string, "
+                              "filing_date date, report_date date, items string"),
+    "short_volume": ("ticker string, date date, short_volume bigint, short_exempt_volume bigint, "
+                     "total_volume bigint"),
+}
+
+
+def schema_of(table: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[table])
