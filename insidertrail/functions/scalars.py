@@ -126,7 +126,7 @@ def safe_double(col: Column | str) -> Column:
 
 def relationship_flags(col: Column | str) -> dict[str, Column]:
     """Comma list of relationships -> officer / director / ten-percent-owner flags."""
-    parts = F.transform(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), ","), F.trim)
+    parts = F.transform(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), ","), lambda x: F.trim(x))
     return {
         "is_officer": F.array_contains(parts, "officer"),
         "is_director": F.array_contains(parts, "director"),

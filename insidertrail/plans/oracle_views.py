@@ -261,3 +261,39 @@ SELECT e.txn_id AS transaction_id, e.insider_id, e.company_id,
        e.txn_value / 100000 AS conviction_score, coalesce(s.skill_score, 0) AS insider_skill_score,
        e.txn_value AS transaction_value, e.transaction_date AS trade_date, concat('T', e.company_id) AS ticker
 FROM ox_eligible e LEFT JOIN ox_peers p USING (company_id, transaction_date) LEFT JOIN ox_scores s USING (insider_id)"""
+
+ORACLE_VIEWS["ox_cand"] = """
+SELECT *, coalesce(filing_date, transaction_date) AS known_on FROM ox_flagged
+WHERE cluster_size >= 2 AND total_value >= 25000"""
+ORACLE_VIEWS["ox_last"] = """
+SELECT ticker, max(date) AS last_date, arg_max(adj_close, date) AS last_price FROM ox_px GROUP BY ticker"""
+ORACLE_VIEWS["ox_entry"] = """
+SELECT c.*, e.date AS entry_date, e.adj_close AS entry_price, e.rn AS entry_rn
+FROM ox_cand c ASOF JOIN ox_px e ON e.ticker = c.ticker AND c.known_on <= e.date"""
+ORACLE_VIEWS["ox_trades60"] = """
+SELECT e.*, 60 AS hold_days, coalesce(x.date, l.last_date) AS exit_date, coalesce(x.adj_close, l.last_price) AS exit_price,
+       x.date IS NULL AS forced, 500 / e.entry_price AS shares_held,
+       500 / e.entry_price * coalesce(x.adj_close, l.last_price) - 500 AS pnl,
+       coalesce(x.adj_close, l.last_price) / e.entry_price - 1 AS pnl_pct
+FROM ox_entry e LEFT JOIN ox_px x ON x.ticker = e.ticker AND x.rn = e.entry_rn + 60 JOIN ox_last l ON l.ticker = e.ticker"""
+ORACLE_VIEWS["ox_first_trades"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insider_id, ticker, entry_date ORDER BY known_on, txn_id) AS pick
+               FROM ox_trades60) WHERE pick = 1"""
+ORACLE_VIEWS["ox_sells"] = f"""
+SELECT DISTINCT c.ticker, t.transaction_date AS date FROM fx_transactions t
+JOIN fx_companies c USING (company_id) JOIN fx_roles r USING (insider_id, company_id)
+WHERE t.transaction_code = 'S' AND {CSUITE_SQL}"""
+ORACLE_VIEWS["ox_curve"] = """
+SELECT d.date, d.bench, 1000000 + coalesce((SELECT sum(-500) FROM ox_first_trades t WHERE t.entry_date <= d.date), 0)
+         + coalesce((SELECT sum(t.shares_held * t.exit_price) FROM ox_first_trades t WHERE t.exit_date <= d.date), 0) AS cash,
+       coalesce(h.market_value, 0) AS market_value, coalesce(h.n, 0) AS num_positions
+FROM (SELECT date, adj_close AS bench FROM fx_prices WHERE ticker = 'SPY'
+       AND date BETWEEN (SELECT min(entry_date) FROM ox_first_trades) AND (SELECT max(exit_date) FROM ox_first_trades)) d
+LEFT JOIN (SELECT s.date, sum(t.shares_held * p.adj_close) AS market_value, count(*) AS n
+           FROM (SELECT g.date, g.ticker, p.adj_close FROM
+                  (SELECT s.date, x.ticker FROM fx_prices s CROSS JOIN (SELECT DISTINCT ticker FROM ox_first_trades) x
+                   WHERE s.ticker = 'SPY') g
+                 ASOF JOIN ox_px p ON p.ticker = g.ticker AND g.date <= p.date) p
+           JOIN (SELECT date FROM fx_prices WHERE ticker = 'SPY') s ON s.date = p.date
+           JOIN ox_first_trades t ON t.ticker = p.ticker AND t.entry_date <= s.date AND t.exit_date > s.date
+           GROUP BY s.date) h ON h.date = d.date"""

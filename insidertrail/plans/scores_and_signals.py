@@ -216,8 +216,8 @@ SELECT t.txn_id, round(CASE WHEN f.ret_60 <= -0.15 THEN f.ret_60 END, 6) AS prio
   NOT EXISTS (SELECT 1 FROM fx_transactions o WHERE o.insider_id = t.insider_id AND o.company_id = t.company_id
      AND o.is_discretionary AND o.txn_id <> t.txn_id)
     AND (t.transaction_date - r.first_filing_date) / 365.25 >= 2 AS is_first_time,
-  coalesce(t.is_10b5_1_plan, false) AS is_10b5_1_plan, r.role_title, s.tier, k.peers AS peers_scored,
-  round(k.total, 4) AS peer_skill_sum
+  coalesce(t.is_10b5_1_plan, false) AS is_10b5_1_plan, r.role_title, s.tier, coalesce(k.peers, 0) AS peers_scored,
+  round(coalesce(k.total, 0), 4) AS peer_skill_sum
 FROM fx_transactions t
 JOIN fx_roles r USING (insider_id, company_id)
 LEFT JOIN ox_peers p ON p.company_id = t.company_id AND p.transaction_date = t.transaction_date
@@ -242,18 +242,20 @@ def g05(t):
     out = G.live_features(rows, *_live(t)).select(
         "txn_id", "prior_return_60td", "still_falling", F.col("cluster_unique_insiders").cast("bigint"),
         F.col("cluster_sell_unique").cast("bigint"), "is_first_buy", "is_first_time", "is_10b5_1_plan", "role_title",
-        "tier", F.col("peers_scored").cast("bigint"), "peer_skill_sum")
+        "tier", F.coalesce("peers_scored", F.lit(0)).cast("bigint").alias("peers_scored"),
+        F.coalesce("peer_skill_sum", F.lit(0.0)).alias("peer_skill_sum"))
     return rounded(rounded(out, "prior_return_60td"), "peer_skill_sum", digits=4)
 
 
-_ALERT_OUT = """transaction_id, insider_id, company_id, alert_type, round(conviction_score, 6) AS conviction_score,
+_ALERT_OUT = """transaction_id, insider_id, company_id, alert_type, round(conviction_score, 8) AS conviction_score,
   round(insider_skill_score, 6) AS insider_skill_score, round(transaction_value, 2) AS transaction_value, trade_date"""
 
 
 def _alert_out(df):
     cols = ["transaction_id", "insider_id", "company_id", "alert_type", "conviction_score", "insider_skill_score",
             "transaction_value", "trade_date"]
-    return rounded(rounded(df.select(*cols), "conviction_score", "insider_skill_score"), "transaction_value", digits=2)
+    out = rounded(rounded(df.select(*cols), "insider_skill_score"), "conviction_score", digits=8)
+    return rounded(out, "transaction_value", digits=2)
 
 
 @query("g06_buy_alerts", f"SELECT {_ALERT_OUT} FROM ox_alerts")
@@ -295,12 +297,12 @@ def g07(t):
 
 
 @query("g08_position_size", """
-SELECT f.txn_id, round(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25 ELSE 1 END
-         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15 ELSE 1 END, 6) AS position_pct,
-       round(CASE WHEN p.adv_dollar_20d > 0 THEN least(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25 ELSE 1 END
-         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15 ELSE 1 END * 1000000, 0.5 * p.adv_dollar_20d)
-         ELSE 0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25 ELSE 1 END
-         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15 ELSE 1 END * 1000000 END, 4) AS position_dollars
+SELECT f.txn_id, round(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOUBLE ELSE 1 END
+         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END, 6) AS position_pct,
+       round(CASE WHEN p.adv_dollar_20d > 0 THEN least(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOUBLE ELSE 1 END
+         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END * 1000000, 0.5 * p.adv_dollar_20d)
+         ELSE 0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOUBLE ELSE 1 END
+         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END * 1000000 END, 4) AS position_dollars
 FROM ox_flagged f ASOF LEFT JOIN ox_panel p ON p.ticker = f.ticker AND f.transaction_date >= p.date""")
 def g08(t):
     buys = flagged(t)
