@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import ledger as L
@@ -181,7 +182,7 @@ def expected_max_sharpe(n_trials: int, sr_variance: float) -> float:
     return sqrt(sr_variance) * ((1 - EULER_GAMMA) * q(1 - 1 / n_trials) + EULER_GAMMA * q(1 - 1 / (n_trials * e)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     from statistics import NormalDist
 
@@ -235,9 +236,9 @@ def pareto_frontier(records: DataFrame, objectives: Mapping[str, int] = OBJECTIV
                     key: str = "id") -> DataFrame:
     """Records no other record beats in one objective without losing in another.
 
-    Every partition first drops what it can dominate itself; survivors are then
-    checked against survivors bucket by bucket of the first objective, where a
-    dominator can only sit in the same or a higher bucket.
+    Every partition drops what it can dominate itself; survivors are merged and
+    pruned again in fewer partitions.  A task holds no more than a frontier, and a
+    specification set (atom subsets x hold lengths) bounds that.
     """
     names = list(objectives)
     pts = records.where(F.col("val_trades") > 0).select(key, *[
@@ -260,10 +261,9 @@ def pareto_frontier(records: DataFrame, objectives: Mapping[str, int] = OBJECTIV
 
     schema = f"{key} string, " + ", ".join(f"{n} double" for n in names)
     alive = pts.select(F.col(key).cast("string").alias(key), *names).mapInPandas(local, schema)
-    while_parts = alive
     for parts in (16, 1):
-        while_parts = while_parts.repartition(parts).mapInPandas(local, schema)
-    return while_parts.select(key)
+        alive = alive.repartition(parts).mapInPandas(local, schema)
+    return alive.select(key)
 
 
 def nominees(records: DataFrame, incumbents: DataFrame, frontier: DataFrame,

@@ -297,3 +297,51 @@ LEFT JOIN (SELECT s.date, sum(t.shares_held * p.adj_close) AS market_value, coun
            JOIN (SELECT date FROM fx_prices WHERE ticker = 'SPY') s ON s.date = p.date
            JOIN ox_first_trades t ON t.ticker = p.ticker AND t.entry_date <= s.date AND t.exit_date > s.date
            GROUP BY s.date) h ON h.date = d.date"""
+
+ORACLE_VIEWS["ox_spec_trades"] = """
+SELECT txn_id, insider_id, ticker, known_on, own, entry_date, hold_days, exit_date, pnl, pnl_pct FROM (
+  SELECT f.*, e.date AS entry_date, h.hold AS hold_days, coalesce(x.date, l.last_date) AS exit_date,
+    500 / e.adj_close * coalesce(x.adj_close, l.last_price) - 500 AS pnl,
+    coalesce(x.adj_close, l.last_price) / e.adj_close - 1 AS pnl_pct
+  FROM (SELECT *, coalesce(filing_date, transaction_date) AS known_on,
+      (CASE WHEN cluster_size >= 2 THEN 1 ELSE 0 END)
+      + (CASE WHEN role_title IN ('Chief Executive Officer', 'CFO') THEN 2 ELSE 0 END)
+      + (CASE WHEN total_value >= 100000 THEN 4 ELSE 0 END)
+      + (CASE WHEN NOT coalesce(is_10b5_1_plan, false) THEN 8 ELSE 0 END)
+      + (CASE WHEN NOT is_routine THEN 16 ELSE 0 END) + (CASE WHEN is_first_buy THEN 32 ELSE 0 END)
+      + (CASE WHEN cluster_size >= 2 AND total_value >= 25000 THEN 64 ELSE 0 END) AS own FROM ox_flagged) f
+  ASOF JOIN ox_px e ON e.ticker = f.ticker AND f.known_on <= e.date
+  CROSS JOIN (VALUES (20), (60)) h(hold)
+  LEFT JOIN ox_px x ON x.ticker = e.ticker AND x.rn = e.rn + h.hold JOIN ox_last l ON l.ticker = e.ticker)"""
+ORACLE_VIEWS["ox_cells"] = """
+SELECT * FROM (
+  SELECT s.required, w.win AS "window", t.*, row_number() OVER (
+      PARTITION BY s.required, t.hold_days, w.win, t.insider_id, t.ticker, t.entry_date ORDER BY t.known_on, t.txn_id) AS pick
+  FROM ox_spec_trades t
+  JOIN (SELECT CASE WHEN m = 0 THEN 64 ELSE m END AS required FROM range(64) r(m)) s ON (t.own & s.required) = s.required
+  JOIN (VALUES ('train', DATE '1900-01-01', DATE '1997-12-31'), ('validate', DATE '1998-01-01', DATE '1999-12-31'))
+    w(win, a, b) ON t.known_on BETWEEN w.a AND w.b)
+WHERE pick = 1"""
+ORACLE_VIEWS["ox_cell_stats"] = """
+SELECT required, hold_days, "window", count(*) AS trades, sum(pnl) / 10000 AS ret,
+  coalesce(avg(pnl_pct) / nullif(stddev_samp(pnl_pct), 0), 0) AS sr_hat,
+  coalesce(avg(pnl_pct) / nullif(stddev_samp(pnl_pct), 0), 0) * sqrt(252 / hold_days) AS sharpe,
+  avg(pow(pnl_pct - mu, 3)) / nullif(pow(var_pop(pnl_pct), 1.5), 0) AS skew,
+  avg(pow(pnl_pct - mu, 4)) / nullif(pow(var_pop(pnl_pct), 2), 0) AS kurtosis,
+  sum(CASE WHEN r <= 20 AND pnl > 0 THEN pnl END) / nullif(sum(CASE WHEN pnl > 0 THEN pnl END), 0) AS top20
+FROM (SELECT *, avg(pnl_pct) OVER (PARTITION BY required, hold_days, "window") AS mu,
+        row_number() OVER (PARTITION BY required, hold_days, "window" ORDER BY pnl DESC, txn_id) AS r FROM ox_cells)
+GROUP BY required, hold_days, "window" """
+ORACLE_VIEWS["ox_cell_dd"] = """
+SELECT required, hold_days, "window", least(min((equity - peak) / peak), 0) AS maxdd FROM (
+  SELECT *, greatest(10000, max(equity) OVER (PARTITION BY required, hold_days, "window" ORDER BY exit_date)) AS peak FROM (
+    SELECT required, hold_days, "window", exit_date,
+      10000 + sum(sum(pnl)) OVER (PARTITION BY required, hold_days, "window" ORDER BY exit_date) AS equity
+    FROM ox_cells GROUP BY required, hold_days, "window", exit_date))
+GROUP BY required, hold_days, "window" """
+ORACLE_VIEWS["ox_validate"] = """
+SELECT concat('m', CASE WHEN s.required = 64 THEN 0 ELSE s.required END, '_h', s.hold_days) AS id,
+  CAST(bit_count(CASE WHEN s.required = 64 THEN 0 ELSE s.required END) AS INT) AS complexity,
+  round(s.sharpe, 4) AS val_sharpe, round(s.ret, 4) AS val_ret, round(d.maxdd, 4) AS val_maxdd,
+  round(s.top20, 4) AS val_top20, CAST(s.trades AS DOUBLE) AS val_trades
+FROM ox_cell_stats s JOIN ox_cell_dd d USING (required, hold_days, "window") WHERE s."window" = 'validate'"""

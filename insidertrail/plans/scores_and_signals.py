@@ -217,7 +217,7 @@ SELECT t.txn_id, round(CASE WHEN f.ret_60 <= -0.15 THEN f.ret_60 END, 6) AS prio
      AND o.is_discretionary AND o.txn_id <> t.txn_id)
     AND (t.transaction_date - r.first_filing_date) / 365.25 >= 2 AS is_first_time,
   coalesce(t.is_10b5_1_plan, false) AS is_10b5_1_plan, r.role_title, s.tier, coalesce(k.peers, 0) AS peers_scored,
-  round(coalesce(k.total, 0), 4) AS peer_skill_sum
+  round(coalesce(k.total, 0), 6) AS peer_skill_sum
 FROM fx_transactions t
 JOIN fx_roles r USING (insider_id, company_id)
 LEFT JOIN ox_peers p ON p.company_id = t.company_id AND p.transaction_date = t.transaction_date
@@ -244,7 +244,7 @@ def g05(t):
         F.col("cluster_sell_unique").cast("bigint"), "is_first_buy", "is_first_time", "is_10b5_1_plan", "role_title",
         "tier", F.coalesce("peers_scored", F.lit(0)).cast("bigint").alias("peers_scored"),
         F.coalesce("peer_skill_sum", F.lit(0.0)).alias("peer_skill_sum"))
-    return rounded(rounded(out, "prior_return_60td"), "peer_skill_sum", digits=4)
+    return rounded(out, "prior_return_60td", "peer_skill_sum")
 
 
 _ALERT_OUT = """transaction_id, insider_id, company_id, alert_type, round(conviction_score, 8) AS conviction_score,
@@ -302,7 +302,7 @@ SELECT f.txn_id, round(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOU
        round(CASE WHEN p.adv_dollar_20d > 0 THEN least(0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOUBLE ELSE 1 END
          * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END * 1000000, 0.5 * p.adv_dollar_20d)
          ELSE 0.05 * CASE WHEN f.liquidity_quintile <= 2 THEN 1.25::DOUBLE ELSE 1 END
-         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END * 1000000 END, 4) AS position_dollars
+         * CASE WHEN f.cluster_has_mixed_roles THEN 1.15::DOUBLE ELSE 1 END * 1000000 END, 6) AS position_dollars
 FROM ox_flagged f ASOF LEFT JOIN ox_panel p ON p.ticker = f.ticker AND f.transaction_date >= p.date""")
 def g08(t):
     buys = flagged(t)
@@ -311,7 +311,7 @@ def g08(t):
     rows = asof.attach(buys, found, on="transaction_date").withColumn("adv_dollar_20d", F.col("prev.adv_dollar_20d"))
     size = G.position_size(1_000_000.0, liquidity=True, mixed_roles=True, adv_cap_pct=0.5)
     return rows.select("txn_id", F.round(size["position_pct"], 6).alias("position_pct"),
-                       F.round(size["position_dollars"], 4).alias("position_dollars"))
+                       F.round(size["position_dollars"], 6).alias("position_dollars"))
 
 
 @query("g09_person_alerts", f"SELECT {_ALERT_OUT} FROM ox_alerts WHERE alert_type <> 'filtered_out' "
