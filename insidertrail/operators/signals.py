@@ -226,12 +226,14 @@ def _alerted(existing: DataFrame | None, kinds: list[str] | None = None) -> Data
 
 def buy_alerts(strategy: Strategy, transactions: DataFrame, insiders: DataFrame, companies: DataFrame,
                roles: DataFrame, prices: DataFrame, scores: DataFrame, *, existing: DataFrame | None = None,
-               since: Column | None = None, p: SignalParams = SIGNALS) -> DataFrame:
+               since: Column | None = None, only: DataFrame | None = None,
+               p: SignalParams = SIGNALS) -> DataFrame:
     """One alert per (insider, company, trade date) that has none yet.
 
-    ``since`` limits how old a trade may be; the event value covers every lot.
+    ``since`` limits how old a trade may be and ``only`` which rows are considered
+    (a new batch); features and the event value cover every stored lot.
     """
-    rows = E.person_buys(transactions, insiders)
+    rows = E.person_buys(transactions if only is None else only, insiders)
     if since is not None:
         rows = rows.where(F.col("transaction_date") >= since)
     done = _alerted(existing)
