@@ -307,18 +307,28 @@ def value_in_bounds(value: Column | str, low: float = SIGNALS.min_event_value,
 # --- footnotes --------------------------------------------------------------
 
 
+# Fragments of which every match of a pattern contains one (the long s folds to "s").
+# Looking for them first is much cheaper than running the pattern over a long text.
+_FRAGMENTS = {"drip": ["dividend"], "retirement_401k": ["401"], "espp": ["employee", "espp", "ſ"],
+              "deferred_comp": ["deferred"], "ownership_guideline": ["owner"],
+              "employment_agreement": ["employment"]}
+
+
 def footnote_classes(text: Column | str) -> dict[str, Column]:
     t = _c(text)
-    mentions = t.rlike("(?iU)" + PLAN_PATTERN)
+    lower = F.lower(t)
+    mentions = lower.contains("10b5") & t.rlike("(?iU)" + PLAN_PATTERN)
     negated = mentions & t.rlike("(?iU)" + PLAN_NEGATED_PATTERN)
-    adopted = F.regexp_extract(t, "(?U)" + PLAN_ADOPTED_PATTERN, 1)
+    adopted = F.when(mentions & ~negated, F.regexp_extract(t, "(?U)" + PLAN_ADOPTED_PATTERN, 1))
     kinds = F.array_compact(F.array(*[
-        F.when(t.rlike("(?iU)" + pattern), F.lit(kind)) for kind, pattern in MECHANICAL_PATTERNS
+        F.when(reduce(lambda a, b: a | b, [lower.contains(f) for f in _FRAGMENTS[kind]])
+               & t.rlike("(?iU)" + pattern), F.lit(kind))
+        for kind, pattern in MECHANICAL_PATTERNS
     ]))
     return {
         "is_plan": mentions & ~negated,
         "plan_negated": negated,
-        "plan_adoption_date": F.when(mentions & ~negated & (adopted != ""), adopted),
+        "plan_adoption_date": F.nullif(adopted, F.lit("")),
         "mechanical_kinds": kinds,
     }
 

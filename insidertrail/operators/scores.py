@@ -8,64 +8,48 @@ days.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from insidertrail.operators.events import common_or_unknown, first_outcome_per_day, largest_lots
 from insidertrail.params import SCORES, ScoreParams
 
-# Regularised incomplete beta at x=0.55 for a=5.5, b=4.5, and the beta function there (fixed values).
-_BASE_I, _BASE_B = 0.4914370405459887, 0.0016777914867499198
 
+@F.pandas_udf(DoubleType())
+def beta_survival(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - I_x(a, b), the regularised incomplete beta function, for a batch of rows.
 
-def _prior_constants(p: ScoreParams) -> tuple[float, float]:
-    """I_x(a0, b0) and the first recurrence step x^a (1-x)^b / (a B(a, b))."""
-    from math import exp, lgamma, log
-
-    a, b, x = p.alpha0, p.beta0, p.baseline
-    log_beta = lgamma(a) + lgamma(b) - lgamma(a + b)
-    step = exp(a * log(x) + b * log(1 - x) - log_beta) / a
-    if (a, b, x) == (5.5, 4.5, 0.55):
-        return _BASE_I, step
-    # I_x(a, b) = sum over i of the step at a + i, a series of falling terms for x < 1.
-    total, term, i = 0.0, step, 0
-    while term > 1e-18 and i < 100_000:
-        total += term
-        term *= x * (a + i + b) / (a + i + 1)
-        i += 1
-    return total, step
-
-
-def confidence_above_baseline(hits: Column, n: Column, p: ScoreParams = SCORES) -> Column:
-    """P(hit rate > baseline) under Beta(alpha0 + hits, beta0 + misses).
-
-    Raising either parameter by one moves the distribution function by a term
-    that itself follows by a ratio, so whole counts fold up from the prior.
+    Spark has no special functions.  The continued fraction is evaluated from the
+    inside out over a fixed number of levels (about two square roots of the
+    largest parameter sum), all rows at once; the converging side is chosen by
+    the usual symmetry.
     """
-    start_i, start_step = _prior_constants(p)
-    x, b0 = p.baseline, p.beta0
-
-    def steps(count):
-        return F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(
-            F.array().cast("array<int>"))
+    x, a, b = (v.to_numpy(dtype=float) for v in (x, a, b))
 
-    seed = F.struct(F.lit(start_i).alias("cdf"), F.lit(start_step).alias("step"),
-                    F.lit(p.alpha0).alias("a"), F.lit(b0).alias("bb"))
+    def log_gamma(z):
+        y = z + 3
+        series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+        return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(z * (z + 1) * (z + 2))
 
-    def hit(s, _):
-        return F.struct((s["cdf"] - s["step"]).alias("cdf"),
-                        (s["step"] * x * (s["a"] + b0) / (s["a"] + 1)).alias("step"),
-                        (s["a"] + 1).alias("a"), s["bb"].alias("bb"))
+    swap = x >= (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tail = np.ones_like(p)
+    for m in range(16 + int(2 * np.sqrt(np.nanmax(p + q, initial=1.0))), 0, -1):
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = (p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        tail = 1 + even / (1 - odd / tail)
+    front = np.exp(p * np.log(y) + q * np.log(1 - y) - log_gamma(p) - log_gamma(q) + log_gamma(p + q)) / p
+    value = front / (1 - (p + q) * y / (p + 1) / tail)
+    return pd.Series(np.where(swap, value, 1 - value))
 
-    def miss(s, _):
-        gain = s["step"] * s["a"] / s["bb"]
-        return F.struct((s["cdf"] + gain).alias("cdf"),
-                        (s["step"] * (1 - x) * (s["a"] + s["bb"]) / s["bb"]).alias("step"),
-                        s["a"].alias("a"), (s["bb"] + 1).alias("bb"))
 
-    after_hits = F.aggregate(steps(hits), seed, hit)
-    return 1 - F.aggregate(steps(n - hits), after_hits, miss, lambda s: s["cdf"])
+def confidence_above_baseline(hits: Column, n: Column, p: ScoreParams = SCORES) -> Column:
+    """P(hit rate > baseline) under Beta(alpha0 + hits, beta0 + misses)."""
+    return beta_survival(F.lit(p.baseline), p.alpha0 + hits, p.beta0 + (n - hits))
 
 
 def posterior_hit_rate(hits: Column, n: Column, p: ScoreParams = SCORES) -> Column:
@@ -130,10 +114,10 @@ def score_columns(records: DataFrame, p: ScoreParams = SCORES) -> DataFrame:
     """Adds the score columns; under ``min_n`` events only count, weight, tier and skill 0."""
     n, hits = F.col("n"), F.col("hits")
     enough = n >= p.min_n
-    with_parts = records.withColumns({
+    with_parts = records.withColumn("_confidence", confidence_above_baseline(hits, n, p)).withColumns({
         "raw_hit_rate": F.when(enough, hits / n),
         "bayesian_hit_rate": F.when(enough, posterior_hit_rate(hits, n, p)),
-        "confidence": F.when(enough, confidence_above_baseline(hits, n, p)),
+        "confidence": F.when(enough, F.col("_confidence")),
         "avg_excess_return": F.when(enough, F.col("avg_excess_return")),
         "shrunk_excess": F.when(enough, shrunk_excess(F.col("sum_excess_return"), n, p)),
         "credibility_weight": credibility(n, p),
@@ -145,7 +129,7 @@ def score_columns(records: DataFrame, p: ScoreParams = SCORES) -> DataFrame:
     return (with_parts.withColumn("skill_score", F.when(enough, skill).otherwise(F.lit(0.0)))
             .withColumn("tier", tier(F.col("skill_score"), F.col("confidence"), n, p))
             .withColumn("sigma", F.when(enough, shrinkage_sigma(F.col("std_excess_return"), n, p)))
-            .drop("momentum_intercept", "sum_excess_return", "std_excess_return"))
+            .drop("momentum_intercept", "sum_excess_return", "std_excess_return", "_confidence"))
 
 
 def scored_events(transactions: DataFrame, outcomes: DataFrame, *, common_only: bool = True) -> DataFrame:
