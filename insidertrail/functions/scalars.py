@@ -314,9 +314,10 @@ _FRAGMENTS = {"drip": ["dividend"], "retirement_401k": ["401"], "espp": ["employ
               "employment_agreement": ["employment"]}
 
 
-def footnote_classes(text: Column | str) -> dict[str, Column]:
+def footnote_classes(text: Column | str, lower: Column | str | None = None) -> dict[str, Column]:
+    """Plan and mechanical-purchase markers; ``lower`` may pass the lower-cased text."""
     t = _c(text)
-    lower = F.lower(t)
+    lower = F.lower(t) if lower is None else _c(lower)
     mentions = lower.contains("10b5") & t.rlike("(?iU)" + PLAN_PATTERN)
     negated = mentions & t.rlike("(?iU)" + PLAN_NEGATED_PATTERN)
     adopted = F.when(mentions & ~negated, F.regexp_extract(t, "(?U)" + PLAN_ADOPTED_PATTERN, 1))

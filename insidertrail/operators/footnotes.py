@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from insidertrail.functions.scalars import MECHANICAL_PATTERNS, footnote_classes
 
 
+def with_classes(footnotes: DataFrame) -> DataFrame:
+    """Adds the footnote class columns; the text is lower-cased once per row."""
+    rows = footnotes.withColumn("_lower", F.lower("text"))
+    return rows.withColumns(footnote_classes("text", "_lower")).drop("_lower")
+
+
 def filing_rollup(footnotes: DataFrame) -> DataFrame:
     """Per filing: any plan mention, any negated mention, the sorted set of mechanical kinds.
 
     Kinds are kept as one boolean each until the end, so the aggregation buffer
     has a fixed size however many footnotes a filing has.
     """
-    c = footnote_classes("text")
-    rows = footnotes.select("accession_number", c["is_plan"].alias("p"), c["plan_negated"].alias("n"),
-                            c["mechanical_kinds"].alias("k"))
+    rows = with_classes(footnotes).select("accession_number", F.col("is_plan").alias("p"),
+                                          F.col("plan_negated").alias("n"), F.col("mechanical_kinds").alias("k"))
     kinds = [kind for kind, _ in MECHANICAL_PATTERNS]
     agg = rows.groupBy("accession_number").agg(
         F.bool_or("p").alias("fn_plan"), F.bool_or("n").alias("fn_plan_negated"),

@@ -394,10 +394,11 @@ FROM (SELECT *, plan0 AS plan, plan0 AND regexp_matches(text,
   '(?i)(?:not|other\\s+than)[^.]{0,80}?(?:pursuant\\s+to|under)[^.]{0,40}?10b5-?1') AS neg
   FROM (SELECT *, regexp_matches(text, '(?i)10b5-?1') AS plan0 FROM fx_footnotes))""")
 def f15(t):
-    c = S.footnote_classes("text")
-    return t.footnotes.select("accession_number", c["is_plan"].alias("is_plan"), c["plan_negated"].alias("plan_negated"),
-                              c["plan_adoption_date"].alias("plan_adoption_date"),
-                              F.concat_ws(",", c["mechanical_kinds"]).alias("mechanical_kinds"))
+    from insidertrail.operators.footnotes import with_classes
+
+    return with_classes(t.footnotes).select(
+        "accession_number", "is_plan", "plan_negated", "plan_adoption_date",
+        F.concat_ws(",", "mechanical_kinds").alias("mechanical_kinds"))
 
 
 @query("f16_filing_lag", """
