@@ -221,16 +221,16 @@ def trade_metrics(trades: DataFrame) -> DataFrame:
 def top_share(trades: DataFrame, n: int = 20, by: list[str] | None = None) -> DataFrame:
     """Share of positive profit earned by the n best trades."""
     keys = by or []
-    order = W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.col("pnl").desc(), "txn_id")
+    best_first = [F.col("pnl").desc(), F.col("txn_id")]
     gains = trades.where(F.col("pnl") > 0)
-    best = gains.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    top = best.groupBy(*keys).agg(F.sum("pnl").alias("_top"))
+    if not keys:
+        top = gains.orderBy(*best_first).limit(n).agg(F.sum("pnl").alias("_top")).withColumn("_one", F.lit(1))
+        total = gains.agg(F.sum("pnl").alias("_all")).withColumn("_one", F.lit(1))
+        return total.join(top, "_one").select((F.col("_top") / F.col("_all")).alias("top20_pnl_share"))
+    ranked = gains.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*best_first)))
+    top = ranked.where(F.col("_r") <= n).groupBy(*keys).agg(F.sum("pnl").alias("_top"))
     total = gains.groupBy(*keys).agg(F.sum("pnl").alias("_all"))
-    if keys:
-        joined = total.join(top, keys)
-    else:
-        joined = total.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(*keys, (F.col("_top") / F.col("_all")).alias("top20_pnl_share"))
+    return total.join(top, keys).select(*keys, (F.col("_top") / F.col("_all")).alias("top20_pnl_share"))
 
 
 def best_and_worst(trades: DataFrame, n: int = 5) -> DataFrame:

@@ -1,9 +1,8 @@
 """Insider skill scores: posterior hit rate, shrunk excess return, tier.
 
-Track records are plain aggregates per insider.  The as-of form reduces each
-insider to at most one event per day (or per company and day) and then keeps
-running aggregates, so a score per as-of date costs one sort of that insider's
-days.
+Track records are plain aggregates per insider.  The as-of form sums each
+insider's events per day and keeps running sums, so a score per as-of date costs
+one sort of that insider's days.
 """
 
 from __future__ import annotations
@@ -82,31 +81,22 @@ def tier(skill: Column, confidence: Column, n: Column, p: ScoreParams = SCORES)
             .when(skill >= 0.0, "Average").otherwise("Weak"))
 
 
-def momentum_intercept(y: Column, x: Column, over=None, p: ScoreParams = SCORES) -> Column:
+def momentum_intercept(y: Column, x: Column, p: ScoreParams = SCORES) -> Column:
     """Excess return at zero prior momentum; NULL under five pairs or without spread."""
-    def at(agg):
-        return agg.over(over) if over is not None else agg
-
     paired = x.isNotNull() & y.isNotNull()
-    spread = at(F.max(F.when(paired, x))) > at(F.min(F.when(paired, x)))
-    enough = at(F.regr_count(y, x)) >= p.min_momentum_pairs
-    return F.when(enough & spread, at(F.regr_intercept(y, x)))
+    spread = F.max(F.when(paired, x)) > F.min(F.when(paired, x))
+    return F.when((F.regr_count(y, x) >= p.min_momentum_pairs) & spread, F.regr_intercept(y, x))
 
 
-def track_record_aggregates(over=None, p: ScoreParams = SCORES) -> dict[str, Column]:
-    """Aggregates over outcome events; with ``over`` the running form."""
+def track_record_aggregates(p: ScoreParams = SCORES) -> dict[str, Column]:
     y, x = F.col("excess_return_60d"), F.col("prior_momentum_20d")
-
-    def at(agg):
-        return agg.over(over) if over is not None else agg
-
     return {
-        "n": at(F.count(y)),
-        "hits": at(F.count(F.when(F.col("hit_60d") & y.isNotNull(), 1))),
-        "avg_excess_return": at(F.avg(y)),
-        "sum_excess_return": at(F.sum(y)),
-        "std_excess_return": at(F.stddev_samp(y)),
-        "momentum_intercept": momentum_intercept(y, x, over, p),
+        "n": F.count(y),
+        "hits": F.count(F.when(F.col("hit_60d") & y.isNotNull(), 1)),
+        "avg_excess_return": F.avg(y),
+        "sum_excess_return": F.sum(y),
+        "std_excess_return": F.stddev_samp(y),
+        "momentum_intercept": momentum_intercept(y, x, p),
     }
 
 
@@ -163,25 +153,50 @@ def insider_scores(transactions: DataFrame, outcomes: DataFrame, insiders: DataF
                          .fillna({"n": 0, "hits": 0}), p)
 
 
+def _daily_moments(events: DataFrame, axis: str) -> DataFrame:
+    """Sums per (insider, day) from which every track-record figure follows."""
+    y, x = F.col("excess_return_60d"), F.col("prior_momentum_20d")
+    py = F.when(x.isNotNull(), y)
+    px = F.when(y.isNotNull(), x)
+    return (events.where(F.col(axis).isNotNull())
+            .groupBy("insider_id", F.col(axis).alias("_day")).agg(
+        F.count(y).alias("n"), F.count(F.when(F.col("hit_60d") & y.isNotNull(), 1)).alias("hits"),
+        F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.min(y).alias("min_y"), F.max(y).alias("max_y"),
+        F.count(px).alias("k"), F.sum(py).alias("spy"), F.sum(px).alias("sx"), F.sum(px * px).alias("sxx"),
+        F.sum(px * py).alias("sxy"), F.min(px).alias("min_x"), F.max(px).alias("max_x")))
+
+
 def as_of_scores(requests: DataFrame, events: DataFrame, *, axis: str = "transaction_date",
                  p: ScoreParams = SCORES) -> DataFrame:
     """Score per distinct (insider_id, as_of) from events strictly before ``as_of``.
 
     ``axis`` names the date an event becomes usable; the default is the trade
     date (an outcome that has not matured yet still counts), a maturity column
-    gives the strictly causal form.
+    gives the strictly causal form.  Events are summed per insider and day before
+    the shuffle, so an insider sorts at most a calendar of rows.
     """
-    value_cols = ["excess_return_60d", "hit_60d", "prior_momentum_20d"]
-    known = events.select("insider_id", F.col(axis).alias("_day"), *value_cols, F.lit(0).alias("_ask"))
-    asked = requests.select("insider_id", F.col("as_of").alias("_day")).distinct()
-    both = known.unionByName(asked.select(
-        "insider_id", "_day", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in value_cols],
-        F.lit(1).alias("_ask")))
-    both = both.withColumn("_num", F.datediff("_day", F.lit("1970-01-01").cast("date")))
-    before = (W.partitionBy("insider_id").orderBy("_num").rangeBetween(W.unboundedPreceding, -1))
-    running = both.withColumns(track_record_aggregates(before, p)).where("_ask = 1")
+    daily = _daily_moments(events, axis).withColumn("_ask", F.lit(0))
+    asked = (requests.select("insider_id", F.col("as_of").alias("_day"))
+             .where(F.col("insider_id").isNotNull() & F.col("_day").isNotNull()).distinct()
+             .withColumn("_ask", F.lit(1)))
+    # On a shared day the request comes first: only earlier days count.
+    before = (W.partitionBy("insider_id").orderBy("_day", F.col("_ask").desc())
+              .rowsBetween(W.unboundedPreceding, 0))
+    sums = ["n", "hits", "sy", "syy", "k", "spy", "sx", "sxx", "sxy"]
+    running = (daily.unionByName(asked, allowMissingColumns=True).withColumns({
+        **{c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums},
+        **{c: F.min(c).over(before) for c in ("min_y", "min_x")},
+        **{c: F.max(c).over(before) for c in ("max_y", "max_x")}}).where("_ask = 1"))
+    n, k = F.col("n"), F.col("k")
+    variance = (F.col("syy") - F.col("sy") * F.col("sy") / n) / (n - 1)
+    slope = ((F.col("sxy") - F.col("sx") * F.col("spy") / k) / (F.col("sxx") - F.col("sx") * F.col("sx") / k))
+    spread = (k >= p.min_momentum_pairs) & (F.col("max_x") > F.col("min_x"))
     return score_columns(running.select(
-        "insider_id", F.col("_day").alias("as_of"), *track_record_aggregates(None, p).keys()), p)
+        "insider_id", F.col("_day").alias("as_of"), "n", "hits",
+        F.when(n > 0, F.col("sy") / n).alias("avg_excess_return"), F.col("sy").alias("sum_excess_return"),
+        F.when(F.col("max_y") > F.col("min_y"), F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(F.lit(0.0))
+        .alias("std_excess_return"),
+        F.when(spread, (F.col("spy") - slope * F.col("sx")) / k).alias("momentum_intercept")), p)
 
 
 def cached_as_of_events(transactions: DataFrame, outcomes: DataFrame) -> DataFrame:

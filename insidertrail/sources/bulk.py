@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,17 +75,17 @@ def members_from_lines(lines: DataFrame, member: str) -> DataFrame:
 def read_member(spark: SparkSession, directory: str, member: str) -> DataFrame:
     """One member of extracted archives: ``directory/*/MEMBER.tsv`` read as text columns.
 
-    Files may differ in their columns (older quarters lack some), so each file's
-    header names its cells; a directory without the member gives an empty frame.
+    The files of one call share a header (a differing one fails); read quarters with
+    other columns separately.  A directory without the member gives an empty frame.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{directory}/*/{member}.tsv")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     columns = MEMBERS[member]
-    if not found:
+    try:
+        raw = (spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
+               .option("mode", "PERMISSIVE").option("enforceSchema", False).csv(f"{directory}/*/{member}.tsv"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
-    raw = (spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").option("enforceSchema", False).csv(str(path)))
     return raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
                         for c in columns])
 

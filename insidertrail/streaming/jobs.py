@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,11 +42,14 @@ def with_batch_id(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField("batch_id", LongType())])
 
 
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at a path, empty while nothing has been written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def route_late_rows(on_time: str, late: str, *, days: int = 7) -> Callable[[DataFrame, int], None]:
