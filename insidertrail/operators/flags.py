@@ -13,6 +13,7 @@ from insidertrail.operators import asof
 from insidertrail.operators.clusters import visible_members
 from insidertrail.operators.prices import price_panel
 from insidertrail.operators.quantiles import exact_quantiles, right_closed_bucket
+from insidertrail.operators.single import single_row
 from insidertrail.params import SIGNALS
 
 
@@ -121,8 +122,8 @@ def with_liquidity_quintile(buys: DataFrame, edges: DataFrame | None = None) ->
     repeats = F.size(F.array_distinct("edges")) < 6
     bucket = F.when(~repeats & (F.col("n") >= 5),
                     right_closed_bucket(F.col("avg_volume_20d"), inner, 4))
-    return (buys.withColumn("_one", F.lit(1)).join(edges.withColumn("_one", F.lit(1)), "_one", "left")
-            .withColumn("liquidity_quintile", bucket).drop("_one", "edges", "n"))
+    return (buys.withColumn("_q", single_row(edges)).withColumns({"edges": F.col("_q.edges"), "n": F.col("_q.n")})
+            .withColumn("liquidity_quintile", bucket).drop("_q", "edges", "n"))
 
 
 def flagged_buys(events: DataFrame, prices: DataFrame, roles: DataFrame, *,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from insidertrail.operators import asof
 from insidertrail.operators.prices import price_panel
+from insidertrail.operators.single import single_row
 from insidertrail.params import SIGNALS, SignalParams
 
 
@@ -224,9 +225,9 @@ def top_share(trades: DataFrame, n: int = 20, by: list[str] | None = None) -> Da
     best_first = [F.col("pnl").desc(), F.col("txn_id")]
     gains = trades.where(F.col("pnl") > 0)
     if not keys:
-        top = gains.orderBy(*best_first).limit(n).agg(F.sum("pnl").alias("_top")).withColumn("_one", F.lit(1))
-        total = gains.agg(F.sum("pnl").alias("_all")).withColumn("_one", F.lit(1))
-        return total.join(top, "_one").select((F.col("_top") / F.col("_all")).alias("top20_pnl_share"))
+        top = single_row(gains.orderBy(*best_first).limit(n).agg(F.sum("pnl").alias("best")))["best"]
+        return gains.agg(F.sum("pnl").alias("_all")).withColumn("_top", top).select(
+            (F.col("_top") / F.col("_all")).alias("top20_pnl_share"))
     ranked = gains.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*best_first)))
     top = ranked.where(F.col("_r") <= n).groupBy(*keys).agg(F.sum("pnl").alias("_top"))
     total = gains.groupBy(*keys).agg(F.sum("pnl").alias("_all"))
@@ -274,9 +275,9 @@ def daily_equity(trades: DataFrame, prices: DataFrame, *, initial_cash: float, b
     value = F.coalesce(F.col("shares") * F.col("next.adj_close"), F.col("cost"))
     per_day = valued.groupBy("day").agg(F.sum(value).alias("market_value"), F.sum("open").alias("num_positions"))
     cash_days = per_ticker.groupBy("day").agg(F.sum("d_cash").alias("d_cash"))
-    bounds = spans.agg(F.min("lo").alias("first"), F.max("hi").alias("last")).withColumn("k", F.lit(1))
-    days = (calendar.withColumn("k", F.lit(1)).join(bounds, "k")
-            .where(F.col("day").between(F.col("first"), F.col("last"))).select("day", "bench"))
+    bounds = single_row(spans.agg(F.min("lo").alias("first"), F.max("hi").alias("last")))
+    days = (calendar.withColumn("b", bounds)
+            .where(F.col("day").between(F.col("b.first"), F.col("b.last"))).select("day", "bench"))
     # From here on one row per calendar day: unpartitioned windows are bounded.
     over_days = W.partitionBy(F.lit(1)).orderBy("day", "ask").rowsBetween(W.unboundedPreceding, 0)
     cash_at = (cash_days.withColumn("ask", F.lit(0)).unionByName(

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from insidertrail.operators.single import single_row
+
 
 def price_panel(prices: DataFrame) -> DataFrame:
     """prices(ticker, date, adj_close[, volume]) with trailing-window columns.
@@ -96,17 +98,15 @@ def rebased_benchmark(equity: DataFrame, benchmark: DataFrame, *, anchor_on: str
     """
     from insidertrail.operators.asof import bracket
 
+    span = single_row(equity.agg(F.min(anchor_on).alias("first"), F.max(anchor_on).alias("last"),
+                                 F.min_by("equity", anchor_on).alias("base")))
     key = F.lit("benchmark")
-    days = equity.agg(F.min(anchor_on).alias("first"), F.max(anchor_on).alias("last"),
-                      F.min_by("equity", anchor_on).alias("base")).withColumn("k", key)
-    series = (benchmark.withColumn("k", key).join(days.select("k", "first", "last"), "k")
-              .where(F.col("date").between(F.col("first"), F.col("last"))).select("k", "date", "adj_close"))
-    asked = equity.select(key.alias("k"), F.col(anchor_on).alias("as_of"))
-    carried = bracket(asked, series, key="k", next=False)
-    anchor = series.groupBy("k").agg(F.min_by("adj_close", "date").alias("anchor"))
-    return (equity.withColumn("k", key)
-            .join(carried.withColumnRenamed("as_of", anchor_on), ["k", anchor_on], "left")
-            .join(anchor, "k").join(days.select("k", "base"), "k")
+    series = (benchmark.select(key.alias("k"), "date", "adj_close").withColumn("_s", span)
+              .where(F.col("date").between(F.col("_s.first"), F.col("_s.last"))).drop("_s"))
+    carried = bracket(equity.select(key.alias("k"), F.col(anchor_on).alias("as_of")), series, key="k", next=False)
+    anchor = single_row(series.agg(F.min_by("adj_close", "date").alias("price")))["price"]
+    return (equity.join(carried.select(F.col("as_of").alias(anchor_on), "prev"), anchor_on, "left")
+            .withColumns({"_base": span["base"], "_anchor": anchor})
             .select(anchor_on, F.round("equity", 2).alias("equity"),
-                    F.round(F.col("base") * (F.coalesce(F.col("prev.adj_close"), F.col("anchor"))
-                                             / F.col("anchor")), 2).alias("benchmark")))
+                    F.round(F.col("_base") * (F.coalesce(F.col("prev.adj_close"), F.col("_anchor"))
+                                              / F.col("_anchor")), 2).alias("benchmark")))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from insidertrail.operators.single import single_row
+
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *,
                     slices: int = 128) -> DataFrame:
@@ -22,8 +24,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *,
               .groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     grid = [i / slices for i in range(1, slices)]
     cuts = counts.agg(F.percentile_approx("_v", grid, 10 * slices).alias("_cuts"))
-    # One tiny row of cut points, attached through a constant key.
-    sliced = (counts.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one")
+    sliced = (counts.withColumn("_cuts", single_row(cuts)["_cuts"])
               .select("_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice")))
     per_slice = sliced.groupBy("_slice").agg(F.sum("_n").alias("_in_slice"))
     # At most ``slices`` rows from here on.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from insidertrail.functions.scalars import is_csuite
 from insidertrail.operators.events import common_or_unknown, recent_per_key
+from insidertrail.operators.single import single_row
 
 CONVICTION_LABELS = {5: "Very Strong", 4: "Strong", 3: "Moderate", 2: "Weak", 1: "Noise"}
 
@@ -68,9 +69,9 @@ def this_week(alerts: DataFrame, *, kinds: list[str], as_of: Column, days: int =
     """Strongest alerts of the last week, or of the last month when the week has none."""
     month = alerts.where(F.col("alert_type").isin(kinds) & (F.col("trade_date") >= F.date_sub(as_of, fallback_days)))
     recent = F.col("trade_date") >= F.date_sub(as_of, days)
-    has_recent = month.agg(F.coalesce(F.bool_or(recent), F.lit(False)).alias("_any")).withColumn("_k", F.lit(1))
-    return (month.withColumn("_k", F.lit(1)).join(has_recent, "_k").where(recent | ~F.col("_any"))
-            .drop("_k", "_any").orderBy(*by_conviction()).limit(limit))
+    has_recent = single_row(month.agg(F.coalesce(F.bool_or(recent), F.lit(False)).alias("found")))["found"]
+    return (month.withColumn("_any", has_recent).where(recent | ~F.col("_any"))
+            .drop("_any").orderBy(*by_conviction()).limit(limit))
 
 
 def sell_warnings(alerts: DataFrame, *, kinds: list[str], as_of: Column, days: int = 30, limit: int = 15) -> DataFrame:
@@ -123,15 +124,14 @@ def open_counts(positions: DataFrame) -> DataFrame:
 def execution_health(alerts: DataFrame, positions: DataFrame, *, tradeable: list[str], since: Column) -> DataFrame:
     """Unhealthy when tradeable alerts exist in the window but nothing was opened."""
     a = alerts.where(F.col("alert_type").isin(tradeable) & (F.col("trade_date") >= since)).agg(
-        F.count(F.lit(1)).alias("tradeable_alerts")).withColumn("_k", F.lit(1))
-    p = positions.where(F.col("entry_date") >= since).agg(
-        F.count(F.lit(1)).alias("positions_opened")).withColumn("_k", F.lit(1))
+        F.count(F.lit(1)).alias("tradeable_alerts"))
+    p = positions.where(F.col("entry_date") >= since).agg(F.count(F.lit(1)).alias("positions_opened"))
     none = F.col("tradeable_alerts") == 0
     frozen = ~none & (F.col("positions_opened") == 0)
     reason = (F.when(none, F.lit("no tradeable alerts in window"))
               .when(frozen, F.format_string("%d tradeable alert(s) but 0 positions opened", "tradeable_alerts"))
               .otherwise(F.format_string("%d of %d alert(s) traded", "positions_opened", "tradeable_alerts")))
-    return a.join(p, "_k").select("tradeable_alerts", "positions_opened", (~frozen).alias("healthy"),
+    return a.withColumn("positions_opened", single_row(p)["positions_opened"]).select("tradeable_alerts", "positions_opened", (~frozen).alias("healthy"),
                                   reason.alias("reason"))
 
 
@@ -221,10 +221,10 @@ def reconcile(positions: DataFrame, snapshot: DataFrame, *, sells: DataFrame, ac
     gone = (held.join(qty, "symbol", "left")
             .where((F.col("db_shares") >= _DUST) & (F.coalesce("qty", F.lit(0.0)) < _DUST)).select("symbol"))
     # One row per symbol from here; the count is a single number.
-    total = gone.agg(F.count(F.lit(1)).alias("n_gone")).withColumn("_k", F.lit(1))
+    total = single_row(gone.agg(F.count(F.lit(1)).alias("n_gone")))["n_gone"]
     sold = sells.where(F.col("sell_price") > 0).groupBy("symbol").agg(F.max("sell_price").alias("sell_price"))
     new_qty = qty.select(F.col("symbol").alias("new_symbol"), F.col("qty").alias("new_qty"))
-    facts = (gone.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k").join(sold, "symbol", "left")
+    facts = (gone.withColumn("n_gone", total).join(sold, "symbol", "left")
              .join(actions.dropDuplicates(["symbol"]), "symbol", "left").join(new_qty, "new_symbol", "left")
              .join(assets.dropDuplicates(["symbol"]), "symbol", "left")
              .join(last_bars.dropDuplicates(["symbol"]), "symbol", "left"))

@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import ledger as L
+from insidertrail.operators.single import single_row
 from insidertrail.params import RESEARCH, ResearchParams
 
 SPEC_SCHEMA = "id string, base string, atoms array<string>, hold_days int, window string"
@@ -269,11 +270,11 @@ def pareto_frontier(records: DataFrame, objectives: Mapping[str, int] = OBJECTIV
 def nominees(records: DataFrame, incumbents: DataFrame, frontier: DataFrame,
              p: ResearchParams = RESEARCH) -> DataFrame:
     """Frontier records that clear every gate, with the reason for those that do not."""
-    best = incumbents.agg(F.greatest(F.coalesce(F.max("val_sharpe"), F.lit(0.0)), F.lit(0.0)).alias("_best"))
+    best = single_row(incumbents.agg(
+        F.greatest(F.coalesce(F.max("val_sharpe"), F.lit(0.0)), F.lit(0.0)).alias("sharpe")))["sharpe"]
     cores = incumbents.select("core_key").distinct().withColumn("_old", F.lit(True))
     on_front = records.join(frontier, "id", "left_semi").where(F.col("deflated_sharpe") >= p.dsr_pass)
-    rows = (on_front.join(cores, "core_key", "left").withColumn("_one", F.lit(1))
-            .join(best.withColumn("_one", F.lit(1)), "_one"))
+    rows = on_front.join(cores, "core_key", "left").withColumn("_best", best)
     reason = (F.when(F.col("val_trades") < p.min_validate_trades, "too few validate trades")
               .when(F.col("_old"), "variant of an existing core")
               .when(F.col("val_sharpe") < F.col("_best") + p.nominee_margin, "no margin over the best incumbent"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from insidertrail.operators.single import single_row
+
 LATENESS = "7 days"
 
 
@@ -60,13 +62,12 @@ def route_late_rows(on_time: str, late: str, *, days: int = 7) -> Callable[[Data
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = _table(spark, on_time, with_batch_id(batch.schema))
-        mark = (seen.where(F.col("batch_id") < batch_id)
-                .agg(F.max("filed_at").alias("_mark")).withColumn("_k", F.lit(1)))
+        mark = single_row(seen.where(F.col("batch_id") < batch_id).agg(F.max("filed_at").alias("newest")))["newest"]
         limit = F.col("_mark") - F.expr(f"INTERVAL {days} DAYS")
         # The path still being written is read first, so the routed rows are cut here.
-        routed = (batch.withColumn("_k", F.lit(1)).join(mark, "_k")
+        routed = (batch.withColumn("_mark", mark)
                   .withColumn("_late", F.coalesce(F.col("filed_at") < limit, F.lit(False)))
-                  .drop("_k", "_mark").persist())
+                  .drop("_mark").persist())
         try:
             for flag, path in ((False, on_time), (True, late)):
                 (routed.where(F.col("_late") == flag).drop("_late")
