@@ -7,13 +7,14 @@ definitions as CTEs so that another SQL engine computes from the base tables.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insidertrail.session import shared_folder
+
 VIEW_SQL = {
     "fx_transactions": """
 SELECT o_orderkey AS txn_id,
@@ -133,16 +134,6 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {ctes}\n{sql.strip()}"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, else one of our own for local runs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    folder = tempfile.mkdtemp(prefix="insidertrail-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class Tables:
     """Lazily built adapter DataFrames over one data directory.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insidertrail.operators import signals as G
-from insidertrail.plans.adapter import VIEW_SQL, Tables, shared_folder
+from insidertrail.plans.adapter import VIEW_SQL, Tables
+from insidertrail.session import shared_folder
 from insidertrail.plans.helpers import rounded
 from insidertrail.plans.registry import query
 from insidertrail.plans.scores_and_signals import _alert_out, _live, live_strategy, _ALERT_OUT

@@ -223,7 +223,7 @@ SELECT txn_id, ticker, 'cluster_buy' AS signal_type, entry_date, exit_date, roun
   round(pnl_pct, 4) AS pnl_pct, CAST(hold_days AS INT) AS hold_days, forced AS force_closed FROM ox_first_trades""")
 def s19(t):
     """Trades written as JSON files in the shared folder and read back."""
-    from insidertrail.plans.adapter import shared_folder
+    from insidertrail.session import shared_folder
 
     path = f"{shared_folder(t.spark)}/insidertrail/{t.spark.sparkContext.applicationId}/trade_export"
     trades = first_trades(t)
