@@ -2,8 +2,9 @@
 
 from insidertrail.llm.licences import OP9_SQL, op9_licences
 from insidertrail.llm.mixing import OP8_SQL, op8_mixing
+from insidertrail.llm.pieces import op1_sentencepiece
 from insidertrail.llm.simhash import op2_simhash
 from insidertrail.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_url_filter": op6_url_filter, "op8_mixing": op8_mixing, "op9_licences": op9_licences}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op6_url_filter": op6_url_filter, "op8_mixing": op8_mixing, "op9_licences": op9_licences}
 ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": OP9_SQL}
