@@ -1,10 +1,14 @@
 """Operators of a training-data pipeline, their queries and the SQL they are checked with."""
 
+from insidertrail.llm.exact_search import OP5_SQL, op5_exact_search
+from insidertrail.llm.hnsw import op10_hnsw
 from insidertrail.llm.licences import OP9_SQL, op9_licences
 from insidertrail.llm.mixing import OP8_SQL, op8_mixing
 from insidertrail.llm.pieces import op1_sentencepiece
 from insidertrail.llm.simhash import op2_simhash
 from insidertrail.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op6_url_filter": op6_url_filter, "op8_mixing": op8_mixing, "op9_licences": op9_licences}
-ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": OP9_SQL}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op5_exact_search": op5_exact_search,
+           "op6_url_filter": op6_url_filter, "op8_mixing": op8_mixing, "op9_licences": op9_licences,
+           "op10_hnsw": op10_hnsw}
+ORACLES = {"op5_exact_search": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": OP9_SQL}
