@@ -7,8 +7,9 @@ from insidertrail.llm.mixing import OP8_SQL, op8_mixing
 from insidertrail.llm.pieces import op1_sentencepiece
 from insidertrail.llm.simhash import op2_simhash
 from insidertrail.llm.url_filter import OP6_SQL, op6_url_filter
+from insidertrail.llm.warc import OP4_SQL, op4_warc
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op5_exact_search": op5_exact_search,
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op4_warc": op4_warc, "op5_exact_search": op5_exact_search,
            "op6_url_filter": op6_url_filter, "op8_mixing": op8_mixing, "op9_licences": op9_licences,
            "op10_hnsw": op10_hnsw}
-ORACLES = {"op5_exact_search": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": OP9_SQL}
+ORACLES = {"op4_warc": OP4_SQL, "op5_exact_search": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op9_licences": OP9_SQL}
