@@ -20,26 +20,43 @@ SEED = 42
 # The binary Golay code of 23 bits (generator x^11 + x^9 + x^7 + x^6 + x^5 + x + 1) is perfect:
 # every word lies within 3 bits of exactly one codeword.
 GOLAY_BITS, GOLAY_CHECKS, GOLAY_POLYNOMIAL, GOLAY_RADIUS = 23, 11, 0b101011100011, 3
-SHINGLES_AT_ONCE = 1 << 15
+HASHES_AT_ONCE = 255  # so that counts of bits fit a byte
+# Similar documents: tables of 46-bit fingerprints of the distinct words, compared within one bit, propose pairs; a
+# fingerprint of 1,024 bits of the five-word shingles decides.
+TABLES, TABLE_BITS, TABLE_THRESHOLD, LONG_WORDS = 16, 2 * GOLAY_BITS, 1, 16
+
+
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
+    """XXH64 of each run of ``width`` words, space-joined; of all words where they are fewer."""
+    runs = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return map(xxhash.xxh64_intdigest, runs, repeat(SEED))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes: lowers A-Z, splits at the six ASCII white spaces
+
+
+def majority(hashes: Iterator[int], n: int, words: int = 1) -> np.ndarray:
+    """``words`` 64-bit words, each bit set in over half of the ``n`` hashes; later words mix the hash again."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, n, HASHES_AT_ONCE):
+        some = np.fromiter(hashes, "<u8", min(HASHES_AT_ONCE, n - at))
+        mixed = np.empty((len(some), words), "<u8")
+        for w in range(words):
+            mixed[:, w] = some
+            # The finaliser of splitmix64 gives each word bits of its own.
+            some = some + np.uint64(0x9E3779B97F4A7C15)
+            some = (some ^ some >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            some = (some ^ some >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            some = some ^ some >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64 bits, each the majority (over half) of that bit among the hashes of the text's word shingles."""
-    words = (text or "").encode().lower().split()  # of bytes: lowers A-Z, splits at the six ASCII white spaces
-    if not words:
-        return 0
-    if len(words) <= width:
-        shingles = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-        n = len(words) - width + 1
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        some = np.fromiter(hashes, "<u8", min(SHINGLES_AT_ONCE, n - at))
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    words = words_of(text)
+    return int(majority(shingle_hashes(words, width), max(1, len(words) - width + 1))[0]) if words else 0
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -54,6 +71,30 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long")
 
 
+def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, long, tables): the long fingerprint of the shingles and the table fingerprints of the distinct words."""
+    mask = np.uint64((1 << TABLE_BITS) - 1)
+
+    def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = words_of(text)
+        if not words:
+            return np.zeros(LONG_WORDS, "<u8"), np.zeros(TABLES, "<u8")
+        distinct = set(words)
+        return (majority(shingle_hashes(words, width), max(1, len(words) - width + 1), LONG_WORDS),
+                majority(shingle_hashes(sorted(distinct), 1), len(distinct), TABLES) & mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [sketch(t.as_py()) for t in batch.column(1)]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([b[i] for b in both]).view("<i8")), n).cast(
+                pa.list_(pa.int64())) for i, n in enumerate((LONG_WORDS, TABLES))] if both else [
+                pa.array([], pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "long", "tables"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, long array<long>, tables array<long>")
+
+
 @cache
 def _reach(most: int):
     """Per syndrome, the error patterns of at most ``most`` bits with their weights: (starts, patterns, weights)."""
@@ -111,33 +152,39 @@ def anchors_around(fps: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]
     return first[second], word_a[second] << GOLAY_BITS | word_b
 
 
-def anchored(fps: DataFrame, extra: int) -> DataFrame:
-    """(anchor, fp) of every fingerprint of ``fps`` (fp) and every anchor near it."""
+def anchored(rows: DataFrame, extra: int) -> DataFrame:
+    """``rows`` (tag, fp, id), each once with every anchor near its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(values), 4096):
-                some = values[at:at + 4096]
-                row, anchor = anchors_around(some, extra)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row])], ["anchor", "fp"])
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                row, anchor = anchors_around(some.column(1).to_numpy(zero_copy_only=False), extra)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *some.take(pa.array(row)).columns], ["anchor", "tag", "fp", "id"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+    return rows.select("tag", "fp", "id").mapInArrow(run, "anchor long, tag int, fp long, id long")
 
 
-def linked_fingerprints(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b): all pairs of distinct fingerprints of ``fps`` (fp) that differ in at most ``threshold`` bits.
+def linked_fingerprints(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): ids of all pairs of ``rows`` (tag, fp, id) with one tag whose fingerprints differ in 1 to ``threshold`` bits.
 
-    Every fingerprint is at home at the anchor that covers it and visits all anchors within covering
-    radius plus threshold.  A fingerprint within the threshold of another can be no farther from the other's
-    home, so each pair meets where its smaller member is at home.  A fingerprint has at most
-    1 + 64 + 2016 others within two bits, so links stay in proportion to fingerprints.
+    Each tag has a fingerprint once.  Every fingerprint is at home at the anchor that covers it and
+    visits all anchors within covering radius plus threshold.  A fingerprint within the threshold of another
+    can be no farther from the other's home, so each pair meets where its smaller member is at home.
+    A fingerprint has a bounded number of others so near, so links stay in proportion to fingerprints.
     """
-    home = anchored(fps, 0).select("anchor", F.col("fp").alias("a"))
-    visits = anchored(fps, threshold).select("anchor", F.col("fp").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    pairs = visits.join(home.hint("shuffle_hash"), "anchor").filter(near)
-    return pairs.select("a", "b")
+    home = anchored(rows, 0).select("anchor", "tag", F.col("fp").alias("home_fp"), F.col("id").alias("a"))
+    visits = anchored(rows, threshold).select("anchor", "tag", "fp", F.col("id").alias("b"))
+    near = (F.col("home_fp") < F.col("fp")) & (F.bit_count(F.col("home_fp").bitwiseXOR(F.col("fp"))) <= threshold)
+    return visits.join(home.hint("shuffle_hash"), ["anchor", "tag"]).filter(near).select("a", "b")
+
+
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (id, least, ...) plus component_id, the smallest ``least`` reachable over ``edges`` (a, b)."""
+    groups = connected_components(cut(edges, "simhash-links")).select(F.col("node").alias("id"), "component")
+    found = nodes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leasts = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    return cut(found.join(leasts, "component").drop("component"), "simhash-labels")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3,
@@ -150,22 +197,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     chosen, which is null where a component has no other.  An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, key, text, width), "simhash-fps")
-    nodes = cut(marked.groupBy("fp").agg(F.min("key").alias("least")), "simhash-nodes")
-    edges = cut(linked_fingerprints(nodes, threshold), "simhash-links")
-    groups = connected_components(edges).select(F.col("node").alias("fp"), "component")
-    nodes = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    leasts = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = cut(nodes.join(leasts, "component").select("fp", "component_id"), "simhash-labels")
-    return marked.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    nodes = cut(marked.groupBy("fp").agg(F.min("key").alias("least")).withColumn("id", F.col("fp")), "simhash-nodes")
+    labels = labelled(nodes, linked_fingerprints(nodes.withColumn("tag", F.lit(0)), threshold))
+    return marked.join(labels.select("fp", "component_id"), "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def farthest(similarity: float, bits: int = 64 * LONG_WORDS) -> int:
+    """Bits in which the long fingerprints of documents of that Jaccard similarity differ, and one deviation more."""
+    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * apart + np.sqrt(bits * apart * (1 - apart))))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the smallest key of each group of near-duplicates, with all its columns.
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
+                      similarity: float = 0.8) -> DataFrame:
+    """One row per document: key and component_id, the smallest key reachable over links of similar documents.
+
+    A single 64-bit fingerprint tells documents of similarity 0.8 (over five-word shingles) about ten bits
+    apart, too far for any covering code.  So ``TABLES`` fingerprints of the distinct words, which a few edits
+    hardly move, are compared at anchors, each within ``TABLE_THRESHOLD`` bits: in one of them similar documents come
+    near with high probability.  The long fingerprints of the shingles then decide on each proposed pair.
+    Documents with equal long fingerprints are one node.  In a table, nodes with one fingerprint are held
+    against the smallest of them and different fingerprints by that one, so a large group is never paired.
+    Null texts and texts without words are one group; keys and repeated rows as in ``near_duplicates``.
+    """
+    marked = cut(sketches(docs, key, text, width), "simhash-sketches")
+    nodes = marked.groupBy("long").agg(F.min("key").alias("least"), F.min("tables").alias("tables"))
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
+    rows = nodes.select("id", F.posexplode("tables").alias("tag", "fp"))
+    firsts = cut(rows.groupBy("tag", "fp").agg(F.min("id").alias("id")), "simhash-firsts")
+    stars = rows.join(firsts.withColumnRenamed("id", "a"), ["tag", "fp"]).filter("a <> id").select("a", F.col("id").alias("b"))
+    pairs = stars.unionByName(linked_fingerprints(firsts, TABLE_THRESHOLD)).distinct()
+    one, other = (nodes.select(F.col("id").alias(c), F.col("long").alias(f"long_{c}")) for c in "ab")
+    differing = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    edges = pairs.join(one, "a").join(other, "b").filter(differing <= farthest(similarity)).select("a", "b")
+    labels = labelled(nodes.select("id", "least", "long"), edges)
+    return marked.join(labels, "long").select(F.col("key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
+    """The document with the smallest key of each group that ``find`` forms, with all its columns.
 
     Of repeated rows with that key one stays, the first by the hash of the whole row.  Rows with a null key
     cannot be told from one another and all stay.
     """
-    found = near_duplicates(docs, key, text, **options)
+    found = find(docs, key, text, **options)
     kept = (found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__kept"))
             .agg(F.count(F.lit(1)).alias("__rows")))
     rows = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__id"))
