@@ -241,15 +241,29 @@ def total_value(shares: Column | str, price: Column | str) -> Column:
 
 
 def float_text(col: Column | str) -> Column:
-    """Decimal text of a double as a filing key carries it ('12000000.0', '0.5')."""
+    """Shortest text that reads back as the double: '12000000.0', '0.5', '1e-07', '1e+16'.
+
+    Plain notation from 1e-4 up to 1e16, else one digit before the point and an exponent of at least two digits.
+    """
     value = _c(col)
-    whole = F.concat(value.cast("decimal(38,0)").cast("string"), F.lit(".0"))
-    fraction = F.regexp_replace(
-        F.format_string("%.6f", value), r"(\.\d*?[1-9])0+$", "$1")
-    plain = (F.abs(value) >= 1e-3) & (F.abs(value) < 1e7)
-    return (F.when(value == F.floor(value), whole)
-            .when(plain, value.cast("string"))
-            .otherwise(fraction))
+    size = F.abs(value)
+    texts = [F.format_string(f"%.{digits}e", size) for digits in (14, 15, 16)]
+    exact = F.when(texts[0].cast("double") == size, texts[0]).when(
+        texts[1].cast("double") == size, texts[1]).otherwise(texts[2])
+    digits = F.rtrim(F.replace(F.substring_index(exact, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+    power = F.substring_index(exact, "e", -1).cast("int")
+    whole = F.substr(F.rpad(digits, power + 1, F.lit("0")), F.lit(1), power + 1)
+    rest = F.substr(digits, power + 2)
+    plain = F.when(power >= 0, F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))).otherwise(
+        F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    tail = F.substr(digits, F.lit(2))
+    scientific = F.concat(
+        F.substr(digits, F.lit(1), F.lit(1)), F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("."), tail)),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    text = (F.when(size == 0, F.lit("0.0")).when((power >= -4) & (power < 16), plain).otherwise(scientific))
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
+    return (F.when(F.isnan(value), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
+            .otherwise(F.concat(sign, text)))
 
 
 def transaction_key(accession: Column | str, code: Column | str, trade_date: Column | str,
@@ -307,25 +321,14 @@ def value_in_bounds(value: Column | str, low: float = SIGNALS.min_event_value,
 # --- footnotes --------------------------------------------------------------
 
 
-# Fragments of which every match of a pattern contains one (the long s folds to "s").
-# Looking for them first is much cheaper than running the pattern over a long text.
-_FRAGMENTS = {"drip": ["dividend"], "retirement_401k": ["401"], "espp": ["employee", "espp", "ſ"],
-              "deferred_comp": ["deferred"], "ownership_guideline": ["owner"],
-              "employment_agreement": ["employment"]}
-
-
-def footnote_classes(text: Column | str, lower: Column | str | None = None) -> dict[str, Column]:
-    """Plan and mechanical-purchase markers; ``lower`` may pass the lower-cased text."""
+def footnote_classes(text: Column | str) -> dict[str, Column]:
+    """Plan and mechanical-purchase markers."""
     t = _c(text)
-    lower = F.lower(t) if lower is None else _c(lower)
-    mentions = lower.contains("10b5") & t.rlike("(?iU)" + PLAN_PATTERN)
+    mentions = t.rlike("(?iU)" + PLAN_PATTERN)
     negated = mentions & t.rlike("(?iU)" + PLAN_NEGATED_PATTERN)
     adopted = F.when(mentions & ~negated, F.regexp_extract(t, "(?U)" + PLAN_ADOPTED_PATTERN, 1))
-    kinds = F.array_compact(F.array(*[
-        F.when(reduce(lambda a, b: a | b, [lower.contains(f) for f in _FRAGMENTS[kind]])
-               & t.rlike("(?iU)" + pattern), F.lit(kind))
-        for kind, pattern in MECHANICAL_PATTERNS
-    ]))
+    kinds = F.array_compact(F.array(*[F.when(t.rlike("(?iU)" + pattern), F.lit(kind))
+                                      for kind, pattern in MECHANICAL_PATTERNS]))
     return {
         "is_plan": mentions & ~negated,
         "plan_negated": negated,

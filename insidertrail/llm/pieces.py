@@ -28,6 +28,7 @@ from insidertrail.llm.common import table
 
 MARK = "▁"
 BLOCK_BYTES = 32 << 20
+TOKENS_AT_ONCE = 1 << 20
 MODEL_FILE = "piece_bpe_32k.model"
 
 
@@ -190,34 +191,43 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = {p: (n, i) for p, n, i in zip(*(right.column(c).to_pylist() for c in ("part", "lengths", "ids")))}
-        tables = [_ids_of_block(row, by_part) for row in left.to_pylist()]
-        return pa.concat_tables([pa.table({"key": pa.array(k, left.schema.field("keys").type.value_type), "ids": i})
-                                 for k, i in tables] or [pa.table({"key": [], "ids": []})])
+        key_type = left.schema.field("keys").type.value_type
+        schema = pa.schema([("key", key_type), ("ids", pa.list_(pa.int32()))])
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(keys, key_type), ids], schema=schema)
+                                      for row in left.to_pylist() for keys, ids in _ids_of_block(row, by_part)], schema)
 
     return (coded.groupBy("block").cogroup(found.groupBy("block"))
             .applyInArrow(joined, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key))
 
 
-def _ids_of_block(row: dict, by_part: dict) -> tuple[list, pa.ListArray]:
-    """Keys and ids of a block's texts; ``by_part`` has the ids of its chunks in their order within each part."""
+def _ids_of_block(row: dict, by_part: dict) -> Iterator[tuple[list, pa.ListArray]]:
+    """Keys and ids of a block's texts, some at a time; ``by_part`` has the ids of its chunks in order within each part."""
     lengths, codes, part = (_unpack(row[c]) for c in ("lengths", "codes", "part"))
-    sizes, ids, at = np.zeros(len(part), np.int64), [], np.zeros(len(part), np.int64)
+    sizes, ids, at = np.zeros(len(part), np.int32), [np.zeros(0, np.uint32)], np.zeros(len(part), np.int32)
     base = 0
     for p in np.unique(part):
         if int(p) not in by_part:
             raise RuntimeError("the two readings of the documents differ")
         packed_sizes, packed_ids = by_part[int(p)]
-        own, some = np.flatnonzero(part == p), _unpack(packed_sizes).astype(np.int64)
+        own, some = np.flatnonzero(part == p), _unpack(packed_sizes)
         sizes[own], at[own] = some, base + np.cumsum(some) - some
         ids.append(_unpack(packed_ids))
         base += len(ids[-1])
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    n = sizes[codes]
-    ends = np.cumsum(n)
-    where = np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    per_text = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-    offsets = np.concatenate([[0], ends])[per_text]
-    return row["keys"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[where].astype(np.int32)))
+    ids = np.concatenate(ids).astype(np.int32)
+    chunk_ends = np.cumsum(lengths.astype(np.int64))
+    tokens = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])  # before each chunk
+    text_ends = tokens[chunk_ends]
+    start = 0
+    while start < len(lengths):
+        before = text_ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(text_ends, before + TOKENS_AT_ONCE, "right")))
+        some = codes[chunk_ends[start - 1] if start else 0:chunk_ends[stop - 1]]
+        n = sizes[some]
+        ends = np.cumsum(n, dtype=np.int64)
+        where = np.repeat(at[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        offsets = np.concatenate([[0], text_ends[start:stop] - before]).astype(np.int32)
+        yield row["keys"][start:stop], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[where]))
+        start = stop
 
 
 def decode(ids: Column, model: bytes) -> Column:

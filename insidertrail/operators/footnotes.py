@@ -9,9 +9,8 @@ from insidertrail.functions.scalars import MECHANICAL_PATTERNS, footnote_classes
 
 
 def with_classes(footnotes: DataFrame) -> DataFrame:
-    """Adds the footnote class columns; the text is lower-cased once per row."""
-    rows = footnotes.withColumn("_lower", F.lower("text"))
-    return rows.withColumns(footnote_classes("text", "_lower")).drop("_lower")
+    """Adds the footnote class columns."""
+    return footnotes.withColumns(footnote_classes("text"))
 
 
 def filing_rollup(footnotes: DataFrame) -> DataFrame:

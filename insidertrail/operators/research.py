@@ -1,15 +1,16 @@
 """Many strategy specifications evaluated at once, with overfitting-aware statistics.
 
 A specification is a set of atoms (bits), a hold length and a time window.  A
-trade carries its own atom bits, so one pass over the trades yields the
-aggregates of every (required bits, hold, window); specifications only look
-their cell up, and their number does not change the work.
+trade carries its own atom bits; trades are added up per own bits, and the few
+sums are then added up for every set of bits in use.  Specifications only look
+their cell up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -101,69 +102,79 @@ def spec_trades(flagged: DataFrame, prices: DataFrame, hold_days: Sequence[int],
         F.lit(500.0).alias("cost_basis")))
 
 
-def matched_cells(trades: DataFrame, required: Sequence[int], windows: Sequence[tuple], *,
-                  seeds: int = 0, daily_cap: int | None = None) -> DataFrame:
-    """Each trade once per (required bits, window) it satisfies and is the first entry for.
+ENTRY = ["insider_id", "ticker", "entry_date", "hold_days", "window"]
 
-    ``required`` holds the distinct bit sets in use (at most 2^atoms + 1).  A trade
-    repeating (insider, ticker, entry date) counts only where no earlier one
-    satisfied the same bits.  With ``daily_cap`` a seed's order keeps that many
-    entries per filing day.
+
+def counted_trades(trades: DataFrame, required: Sequence[int], windows: Sequence[tuple]) -> DataFrame:
+    """Trades as they count: ``bits`` with ``exact`` false serves every set within them, with ``exact`` true that set alone.
+
+    A trade repeating (insider, ticker, entry date) counts only where no earlier one of the window satisfied
+    the same bits, so of the trades of one entry that have the same bits only the first matters.  Most
+    entries then have one; only where bits differ is the first trade looked up set by set.  ``required``
+    holds the distinct bit sets in use.
     """
-    # The filing order within one (insider, ticker, entry date, hold); few rows each.
-    before = (W.partitionBy("insider_id", "ticker", "entry_date", "hold_days").orderBy("known_on", "txn_id")
-              .rowsBetween(W.unboundedPreceding, -1))
-    marked = trades.withColumn("earlier", F.collect_set(
-        F.struct("own", "known_on")).over(before))
-    sets = F.array(*[F.lit(m) for m in required])
+    known = F.col("known_on")
     spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).cast("date").alias("a"),
                                F.lit(b).cast("date").alias("b")) for n, a, b in windows])
-    known = F.col("known_on")
-    inside = lambda s, d: (s["a"].isNull() | (d >= s["a"])) & (s["b"].isNull() | (d <= s["b"]))
-    hit = marked.withColumn("required", F.explode(F.filter(
-        sets, lambda m: F.col("own").bitwiseAND(m) == m)))
-    hit = hit.withColumn("s", F.explode(F.filter(spans, lambda s: inside(s, known))))
-    first = ~F.exists("earlier", lambda e: (e["own"].bitwiseAND(F.col("required")) == F.col("required"))
-                      & inside(F.col("s"), e["known_on"]))
-    out = hit.where(first).withColumn("window", F.col("s.window")).drop("s", "earlier")
-    if daily_cap is None:
-        return out.withColumn("seed", F.lit(0))
-    drawn = out.withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(seeds)])))
-    rank = seeded_rank(F.col("seed"), [*CELL, "seed", "known_on"])
-    return drawn.withColumn("_r", rank).where(F.col("_r") <= daily_cap).drop("_r")
-
-
-def cell_metrics(cells: DataFrame, *, capital: float = 10_000.0) -> DataFrame:
-    """Trade statistics, return, drawdown and concentration per cell and seed."""
-    keys = [*CELL, "seed"]
+    inside = F.filter(spans, lambda s: (s["a"].isNull() | (known >= s["a"])) & (s["b"].isNull() | (known <= s["b"])))
+    values = F.struct("txn_id", "exit_date", "pnl", "pnl_pct")
+    order = F.struct("known_on", "txn_id")
+    rows = trades.withColumn("window", F.explode(F.transform(inside, lambda s: s["window"])))
+    firsts = rows.groupBy(*ENTRY, "own").agg(F.min(order).alias("order"), F.min_by(values, order).alias("v"))
+    entries = firsts.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("bits"), F.first("v").alias("v"))
+    alone = entries.where("n = 1").select("bits", F.lit(False).alias("exact"), "hold_days", "window", "v.*")
+    differing = (firsts.join(entries.where("n > 1").select(*ENTRY), ENTRY, "left_semi")
+                 .withColumn("bits", F.explode(_sets_within(F.col("own"), required)))
+                 .groupBy(*ENTRY, "bits").agg(F.min_by("v", "order").alias("v"))
+                 .select("bits", F.lit(True).alias("exact"), "hold_days", "window", "v.*"))
+    return alone.unionByName(differing)
+
+
+def _sets_within(bits: Column, required: Sequence[int]) -> Column:
+    return F.filter(F.array(*[F.lit(m) for m in required]), lambda m: bits.bitwiseAND(m) == m)
+
+
+def cell_metrics(counted: DataFrame, required: Sequence[int], *, capital: float = 10_000.0) -> DataFrame:
+    """Trade statistics, return, drawdown and concentration per (required bits, hold, window).
+
+    Sums are made per own bits; only these few rows are added up for each set.  Every trade is kept, so the order
+    of trades cannot matter and ``cv``, the spread over orders, is 0.
+    """
+    own = ["bits", "exact", "hold_days", "window"]
+
+    def per_set(sums: DataFrame) -> DataFrame:
+        sets = F.when(F.col("exact"), F.array("bits")).otherwise(_sets_within(F.col("bits"), required))
+        return sums.withColumn("required", F.explode(sets)).drop("bits", "exact")
+
     pct = F.col("pnl_pct")
-    base = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trades"), F.avg(pct).alias("mean_pct"), F.stddev_samp(pct).alias("std_pct"),
-        F.skewness(pct).alias("skew"), (F.kurtosis(pct) + 3).alias("kurtosis"),
-        (F.sum("pnl") / capital).alias("ret"))
-    daily = cells.groupBy(*keys, "exit_date").agg(F.sum("pnl").alias("day_pnl"))
-    w = W.partitionBy(*keys).orderBy("exit_date").rowsBetween(W.unboundedPreceding, 0)
+    powers = [F.sum(F.pow(pct, F.lit(float(k)))).alias(f"s{k}") for k in (1, 2, 3, 4)]
+    sums = (per_set(counted.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), *powers, F.sum("pnl").alias("pnl")))
+            .groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "pnl")]))
+    n, (m1, r2, r3, r4) = F.col("n"), [F.col(f"s{k}") / F.col("n") for k in (1, 2, 3, 4)]
+    m2 = r2 - m1 * m1
+    m2 = F.when(m2 > 1e-14 * r2, m2)  # equal returns have no spread
+    base = sums.select(
+        *CELL, n.cast("double").alias("trades"), (F.col("pnl") / capital).alias("ret"),
+        F.when(n > 1, F.coalesce(m1 / F.sqrt(m2 * n / (n - 1)), F.lit(0.0))).otherwise(0.0).alias("sr_hat"),
+        ((r3 - 3 * m1 * r2 + 2 * m1 * m1 * m1) / F.pow(m2, F.lit(1.5))).alias("skew"),
+        ((r4 - 4 * m1 * r3 + 6 * m1 * m1 * r2 - 3 * F.pow(m1, F.lit(4.0))) / (m2 * m2)).alias("kurtosis"))
+    daily = (per_set(counted.groupBy(*own, "exit_date").agg(F.sum("pnl").alias("day_pnl")))
+             .groupBy(*CELL, "exit_date").agg(F.sum("day_pnl").alias("day_pnl")))
+    w = W.partitionBy(*CELL).orderBy("exit_date").rowsBetween(W.unboundedPreceding, 0)
     equity = daily.withColumn("equity", capital + F.sum("day_pnl").over(w))
     peak = F.greatest(F.lit(capital), F.max("equity").over(w))
-    dd = (equity.withColumn("dd", (F.col("equity") - peak) / peak).groupBy(*keys)
+    dd = (equity.withColumn("dd", (F.col("equity") - peak) / peak).groupBy(*CELL)
           .agg(F.least(F.min("dd"), F.lit(0.0)).alias("maxdd")))
-    top = L.top_share(cells, by=keys).withColumnRenamed("top20_pnl_share", "top20")
-    sr = F.when(F.col("std_pct") > 0, F.col("mean_pct") / F.col("std_pct")).otherwise(F.lit(0.0))
-    return (base.join(dd, keys).join(top, keys, "left").withColumn("sr_hat", sr)
+    gains = counted.where("pnl > 0")
+    best = W.partitionBy(*own).orderBy(F.col("pnl").desc(), "txn_id")
+    leading = per_set(gains.withColumn("r", F.row_number().over(best)).where("r <= 20").drop("r"))
+    whole = (per_set(gains.groupBy(*own).agg(F.sum("pnl").alias("gain"))).groupBy(*CELL).agg(F.sum("gain").alias("gain")))
+    again = W.partitionBy(*CELL).orderBy(F.col("pnl").desc(), "txn_id")
+    top = (leading.withColumn("r", F.row_number().over(again)).where("r <= 20").groupBy(*CELL)
+           .agg(F.sum("pnl").alias("best")).join(whole, CELL).select(*CELL, (F.col("best") / F.col("gain")).alias("top20")))
+    return (base.join(dd, CELL).join(top, CELL, "left")
             .withColumn("sharpe", F.col("sr_hat") * F.sqrt(252 / F.col("hold_days")))
-            .drop("mean_pct", "std_pct"))
-
-
-def average_seeds(metrics: DataFrame) -> DataFrame:
-    """Means over seeds and the dispersion of returns; seed 0 gives the per-trade statistics."""
-    zero = F.col("seed") == 0
-    agg = metrics.groupBy(*CELL).agg(
-        *[F.avg(c).alias(c) for c in ("sharpe", "ret", "maxdd", "top20", "trades")],
-        F.stddev_pop("ret").alias("_sd"),
-        *[F.max(F.when(zero, F.col(c))).alias(c) for c in ("sr_hat", "skew", "kurtosis")],
-        F.max(F.when(zero, F.col("trades"))).alias("n_obs"))
-    return agg.withColumn("cv", F.when(F.col("ret") != 0, F.col("_sd") / F.col("ret")).otherwise(
-        F.lit(0.0))).drop("_sd")
+            .withColumn("n_obs", F.col("trades")).withColumn("cv", F.lit(0.0)))
 
 
 def evaluate(specs: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -185,9 +196,15 @@ def expected_max_sharpe(n_trials: int, sr_variance: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    return z.map(NormalDist().cdf, na_action="ignore")
+    """Normal distribution: its power series within eight deviations, 0 or 1 beyond."""
+    x = z.to_numpy(dtype=float, na_value=np.nan)
+    near = np.clip(x, -8, 8)
+    term, total = near.copy(), near.copy()
+    for k in range(1, 160):
+        term = term * near * near / (2 * k + 1)
+        total = total + term
+    out = 0.5 + total * np.exp(-near * near / 2) / np.sqrt(2 * np.pi)
+    return pd.Series(np.where(np.abs(x) > 8, (x > 0) * 1.0, np.clip(out, 0, 1))).where(~np.isnan(x), None)
 
 
 def with_deflated_sharpe(rows: DataFrame, n_trials: int, sr_variance: float) -> DataFrame:
@@ -233,38 +250,49 @@ def updated_sharpe_variance(records: DataFrame, old: float) -> DataFrame:
 OBJECTIVES = {"val_sharpe": 1, "val_ret": 1, "val_maxdd": 1, "val_top20": -1, "val_cv": -1}
 
 
+FRONTIER_BLOCK = 4096
+
+
 def pareto_frontier(records: DataFrame, objectives: Mapping[str, int] = OBJECTIVES, *,
                     key: str = "id") -> DataFrame:
     """Records no other record beats in one objective without losing in another.
 
-    Every partition drops what it can dominate itself; survivors are merged and
-    pruned again in fewer partitions.  A task holds no more than a frontier, and a
-    specification set (atom subsets x hold lengths) bounds that.
+    Every partition drops what it can dominate itself, a block at a time.  What is left is packed into blocks, and
+    each block meets every other: a frontier may be the whole input, and no task holds more than two blocks.
     """
     names = list(objectives)
-    pts = records.where(F.col("val_trades") > 0).select(key, *[
-        (F.coalesce(F.col(n), F.lit(1.0) if s < 0 else F.lit(0.0)) * s).cast("double").alias(n)
-        for n, s in objectives.items()])
+    pts = records.where(F.col("val_trades") > 0).select(F.col(key).cast("string").alias(key), F.array(*[
+        (F.coalesce(F.col(n), F.lit(1.0) if s < 0 else F.lit(0.0)) * s).cast("double") for n, s in objectives.items()]).alias("p"))
 
-    def local(batches):
-        import numpy as np
+    def beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), bool)
+        for at in range(0, len(points), 64):
+            some = points[at:at + 64, None, :]
+            out[at:at + 64] = ((by >= some).all(axis=2) & (by > some).any(axis=2)).any(axis=1)
+        return out
 
-        keep_ids, keep = [], np.empty((0, len(names)))
+    def local(batches):
         for pdf in batches:
-            for rid, row in zip(pdf[key], pdf[names].to_numpy()):
-                if len(keep) and bool(((keep >= row).all(1) & (keep > row).any(1)).any()):
-                    continue
-                alive = ~((row >= keep).all(1) & (row > keep).any(1))
-                keep_ids = [i for i, a in zip(keep_ids, alive) if a] + [rid]
-                keep = np.vstack([keep[alive], row])
-        if keep_ids:
-            yield pd.DataFrame({key: keep_ids, **{n: keep[:, j] for j, n in enumerate(names)}})
-
-    schema = f"{key} string, " + ", ".join(f"{n} double" for n in names)
-    alive = pts.select(F.col(key).cast("string").alias(key), *names).mapInPandas(local, schema)
-    for parts in (16, 1):
-        alive = alive.repartition(parts).mapInPandas(local, schema)
-    return alive.select(key)
+            for at in range(0, len(pdf), FRONTIER_BLOCK):
+                some = pdf.iloc[at:at + FRONTIER_BLOCK]
+                points = np.array(some["p"].tolist())
+                yield some[~beaten(points, points)]
+
+    alive = pts.mapInPandas(local, f"{key} string, p array<double>")
+    n_blocks = max(1, -(-pts.count() // FRONTIER_BLOCK))
+    blocks = (alive.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")).groupBy("block")
+              .agg(F.collect_list(F.struct(key, "p")).alias("points")))
+    pairs = blocks.join(blocks.select(F.col("points").alias("others"), F.explode(
+        F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")), "block")
+
+    def compared(batches):
+        for pdf in batches:
+            for points, others in zip(pdf["points"], pdf["others"]):
+                lost = beaten(np.array([x["p"] for x in points]), np.array([x["p"] for x in others]))
+                yield pd.DataFrame({key: [x[key] for x, out in zip(points, lost) if out]}, dtype=object)
+
+    lost = pairs.select("points", "others").mapInPandas(compared, f"{key} string").distinct()
+    return alive.select(key).join(lost, key, "left_anti")
 
 
 def nominees(records: DataFrame, incumbents: DataFrame, frontier: DataFrame,

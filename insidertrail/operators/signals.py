@@ -141,11 +141,11 @@ def peer_skill(transactions: DataFrame, insiders: DataFrame, scores: DataFrame,
     people = insiders.where(~F.col("is_institution")).select("insider_id")
     rows = (transactions.where("is_discretionary").join(people, "insider_id", "left_semi")
             .join(scores.select("insider_id", "skill_score"), "insider_id", "left"))
-    # Whole millionths keep running sums exact however many members come and go.
-    micro = F.coalesce(F.round(F.col("skill_score") * 1_000_000).cast("bigint"), F.lit(0))
+    # Decimals keep running sums exact, in any order, however many members come and go.
+    exact = F.coalesce(F.col("skill_score").cast("decimal(27,18)"), F.lit(0).cast("decimal(27,18)"))
     seen = visible_members(rows, transactions, before=days, after=days, measures={
-        "peers_scored": F.col("skill_score").isNotNull().cast("int"), "micro": micro})
-    total = F.col("micro") / 1_000_000
+        "peers_scored": F.col("skill_score").isNotNull().cast("int"), "exact": exact})
+    total = F.col("exact").cast("double")
     return seen.select("company_id", "transaction_date", "peers_scored", total.alias("peer_skill_sum"),
                        F.when(F.col("peers_scored") > 0, total / F.col("peers_scored")).alias("peer_skill_avg"))
 

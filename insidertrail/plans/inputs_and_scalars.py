@@ -38,18 +38,28 @@ def _bulk(t):
 
 
 @query("s01_bulk_members", """
-SELECT concat(' ', accession_number) AS accession, CAST(count(*) AS BIGINT) AS n
-FROM fx_transactions GROUP BY accession_number""")
+SELECT concat(' ', accession_number) AS accession,
+  CASE txn_id % 6 WHEN 0 THEN concat('tab', chr(9), 'here') WHEN 1 THEN concat('two', chr(10), 'lines')
+    WHEN 2 THEN 'pursuant to the "Plan"' WHEN 3 THEN 'a "quoted" word' WHEN 4 THEN '' ELSE 'plain' END AS remarks,
+  CASE WHEN txn_id % 2 = 1 THEN 'x' END AS affirmed
+FROM fx_transactions""")
 def s01(t):
-    """Member lines with a header row read back as named text columns."""
-    cols = bulk.MEMBERS["SUBMISSION"]
-    body = R.raw_submissions(t).select(
-        F.lit("q1").alias("archive"), F.lit(1).cast("bigint").alias("line_no"), F.concat_ws(
-            "\t", *[F.col(c) for c in cols]).alias("line"))
-    head = t.companies.limit(1).select(
-        F.lit("q1").alias("archive"), F.lit(0).cast("bigint").alias("line_no"), F.lit("\t".join(cols)).alias("line"))
-    rows = bulk.members_from_lines(head.unionByName(body), "SUBMISSION")
-    return rows.groupBy(F.col("ACCESSION_NUMBER").alias("accession")).agg(F.count(F.lit(1)).alias("n"))
+    """Member files with quoted tabs, line breaks and quotes, under two header versions, read as named text columns."""
+    k = F.col("txn_id")
+    remarks = (F.when(k % 6 == 0, F.lit('"tab\there"')).when(k % 6 == 1, F.lit('"two\nlines"'))
+               .when(k % 6 == 2, F.lit('pursuant to the "Plan"')).when(k % 6 == 3, F.lit('"a ""quoted"" word"'))
+               .when(k % 6 == 4, F.lit("")).otherwise(F.lit("plain")))
+    accession = F.concat(F.lit(" "), "accession_number")
+    newer = k % 2 == 1
+    line = F.when(newer, F.concat_ws("\t", accession, F.lit("x"), remarks)).otherwise(
+        F.concat_ws("\t", accession, remarks, F.lit("surplus")))
+    header = F.when(F.col("newer"), "ACCESSION_NUMBER\tAFF10B5ONE\tREMARKS").otherwise("ACCESSION_NUMBER\tREMARKS")
+    # A file holds the rows of a few hundred transactions.
+    files = (t.transactions.select(F.floor(k / 500).alias("file"), newer.alias("newer"), line.alias("line"))
+             .groupBy("file", "newer").agg(F.array_join(F.collect_list("line"), "\n").alias("body")))
+    rows = bulk.members_from_texts(files.select(F.concat_ws("\n", header, "body").alias("text")), "SUBMISSION")
+    return rows.select(F.col("ACCESSION_NUMBER").alias("accession"), F.col("REMARKS").alias("remarks"),
+                       F.col("AFF10B5ONE").alias("affirmed"))
 
 
 @query("s02_bulk_transactions", f"""
@@ -364,11 +374,15 @@ def f12(t):
 
 @query("f13_transaction_key", """
 SELECT txn_id, concat(accession_number, '_', transaction_code, '_', transaction_date, '_',
-  CASE WHEN txn_id % 2 = 0 THEN concat(CAST(CAST(shares * 100000 AS BIGINT) AS VARCHAR), '.0')
-       ELSE concat(CAST(CAST(shares AS BIGINT) AS VARCHAR), '.25') END) AS key, accession_number AS raw
+  CASE txn_id % 4 WHEN 0 THEN concat(CAST(CAST(shares * 100000 AS BIGINT) AS VARCHAR), '.0')
+    WHEN 1 THEN concat(CAST(CAST(shares AS BIGINT) AS VARCHAR), '.25')
+    WHEN 2 THEN concat(CAST(CAST(shares AS BIGINT) * 100000 AS VARCHAR), '.1234') ELSE '1e-07' END) AS key,
+  accession_number AS raw
 FROM fx_transactions""")
 def f13(t):
-    sh = F.when(F.col("txn_id") % 2 == 0, F.col("shares") * 100000).otherwise(F.col("shares") + 0.25)
+    shares, turn = F.col("shares"), F.col("txn_id") % 4
+    sh = (F.when(turn == 0, shares * 100000).when(turn == 1, shares + 0.25)
+          .when(turn == 2, shares * 100000 + 0.1234).otherwise(F.lit(1e-7)))
     key = S.transaction_key("accession_number", "transaction_code", "transaction_date", sh)
     return t.transactions.select("txn_id", key.alias("key"), S.raw_accession(key).alias("raw"))
 

@@ -21,8 +21,11 @@ def spec_trades(t):
 
 def metrics(t):
     """Metrics of every cell, written once per application."""
-    return t.stage("cell_metrics", lambda: R.average_seeds(R.cell_metrics(
-        R.matched_cells(spec_trades(t), REQUIRED, WINDOWS))))
+    return t.stage("cell_metrics", lambda: compute_metrics(t))
+
+
+def compute_metrics(t):
+    return R.cell_metrics(R.counted_trades(spec_trades(t), REQUIRED, WINDOWS), REQUIRED)
 
 
 def specs(t, window):
@@ -54,29 +57,16 @@ SELECT required, hold_days, "window", CAST(trades AS DOUBLE) AS trades, round(sh
   round(maxdd, 5) AS maxdd, round(top20, 5) AS top20
 FROM ox_cell_stats JOIN ox_cell_dd USING (required, hold_days, "window")""")
 def r02(t):
-    m = R.average_seeds(R.cell_metrics(R.matched_cells(spec_trades(t), REQUIRED, WINDOWS)))
-    out = m.select(F.col("required").cast("bigint"), "hold_days", "window", "trades", "sharpe", "ret", "maxdd", "top20")
+    out = compute_metrics(t).select(F.col("required").cast("bigint"), "hold_days", "window", "trades", "sharpe", "ret", "maxdd", "top20")
     return rounded(out, "sharpe", "ret", "maxdd", "top20", digits=5)
 
 
-@query("r02_seeded_daily_cap", """
-SELECT required, hold_days, "window", seed, count(*) AS trades, round(sum(pnl) / 10000, 5) AS ret FROM (
-  SELECT c.*, CAST(s.seed AS INT) AS seed, row_number() OVER (PARTITION BY required, hold_days, "window", s.seed, known_on
-                                                 ORDER BY md5(concat(s.seed, ':', txn_id)), txn_id) AS slot
-  FROM ox_cells c CROSS JOIN range(3) s(seed) WHERE required IN (64, 5, 9)) WHERE slot <= 2
-GROUP BY required, hold_days, "window", seed""")
-def r02_seeded(t):
-    cells = R.matched_cells(spec_trades(t), [64, 5, 9], WINDOWS, seeds=3, daily_cap=2)
-    m = R.cell_metrics(cells).select(F.col("required").cast("bigint"), "hold_days", "window", "seed", "trades", "ret")
-    return rounded(m, "ret", digits=5)
-
-
 @query("r03_trade_statistics", """
-SELECT required, hold_days, trades AS n_obs, round(sr_hat, 6) AS sr_hat, round(skew, 5) AS skew, round(kurtosis, 5) AS kurtosis
-FROM ox_cell_stats WHERE "window" = 'train' AND trades >= 30""")
+SELECT required, hold_days, "window", trades AS n_obs, round(sr_hat, 6) AS sr_hat, round(skew, 5) AS skew, round(kurtosis, 5) AS kurtosis
+FROM ox_cell_stats""")
 def r03(t):
-    m = metrics(t).where("window = 'train' AND n_obs >= 30").select(
-        F.col("required").cast("bigint"), "hold_days", F.col("n_obs").cast("bigint"), "sr_hat", "skew", "kurtosis")
+    m = metrics(t).select(
+        F.col("required").cast("bigint"), "hold_days", "window", F.col("n_obs").cast("bigint"), "sr_hat", "skew", "kurtosis")
     return rounded(rounded(m, "sr_hat"), "skew", "kurtosis", digits=5)
 
 

@@ -224,7 +224,7 @@ LEFT JOIN ox_peers p ON p.company_id = t.company_id AND p.transaction_date = t.t
 LEFT JOIN (SELECT insider_id, tier FROM ox_scores UNION ALL
            SELECT insider_id, 'Insufficient' FROM fx_insiders WHERE is_institution) s ON s.insider_id = t.insider_id
 LEFT JOIN (SELECT company_id, transaction_date, count(s.insider_id) AS peers,
-             coalesce(sum(round(s.skill_score * 1000000)), 0) / 1000000 AS total FROM (
+             coalesce(sum(s.skill_score), 0) AS total FROM (
              SELECT DISTINCT d.company_id, d.transaction_date, m.insider_id
              FROM (SELECT DISTINCT company_id, transaction_date FROM fx_transactions) d
              JOIN (SELECT x.* FROM fx_transactions x JOIN fx_insiders i USING (insider_id)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
 from collections.abc import Iterator
+from typing import IO, TextIO
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -27,67 +31,79 @@ MEMBERS = {
 }
 
 
-def land_archives(spark: SparkSession, archives: str, member: str) -> DataFrame:
-    """Lines of one member of every archive under a path: (archive, line_no, line).
+def _cells(text: TextIO, member: str) -> Iterator[pd.DataFrame]:
+    """Rows of one member by the names in its own header, some at a time.
 
-    One archive is decompressed per task, line by line and in batches; an
-    archive without the member gives no rows.
+    Cells may be quoted and then hold tabs, line breaks and doubled quotes.  A short row has NULL tail cells,
+    surplus cells and unknown columns are ignored, a column the header lacks is NULL.
     """
-    files = spark.read.format("binaryFile").load(archives).select("path", "content")
+    csv.field_size_limit(2 ** 31 - 1)
+    rows = csv.reader(text, delimiter="\t")
+    at = {name: i for i, name in enumerate(next(rows, []))}
+    wanted = [at.get(name) for name in MEMBERS[member]]
+    some: list[list] = []
+    for row in rows:
+        if row:
+            some.append([row[i] if i is not None and i < len(row) else None for i in wanted])
+        if len(some) == 20_000:
+            yield pd.DataFrame(some, columns=MEMBERS[member], dtype=object)
+            some = []
+    if some:
+        yield pd.DataFrame(some, columns=MEMBERS[member], dtype=object)
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
 
+def _schema(member: str) -> str:
+    return ", ".join(f"{c} string" for c in MEMBERS[member])
+
+
+def read_archives(spark: SparkSession, archives: str, member: str) -> DataFrame:
+    """Named text columns of one member of every archive under a path, in one pass over each archive.
+
+    An archive is one task's work; one without the member gives no rows.
+    """
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    name = f"{member}.tsv"
-                    if name not in archive.namelist():
-                        continue
-                    with archive.open(name) as handle:
-                        text = io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
-                        chunk: list[tuple] = []
-                        for number, line in enumerate(text):
-                            chunk.append((path, number, line.rstrip("\r\n")))
-                            if len(chunk) == 50_000:
-                                yield pd.DataFrame(chunk, columns=["archive", "line_no", "line"])
-                                chunk = []
-                        if chunk:
-                            yield pd.DataFrame(chunk, columns=["archive", "line_no", "line"])
-
-    return files.mapInPandas(lines, "archive string, line_no bigint, line string")
-
-
-def members_from_lines(lines: DataFrame, member: str) -> DataFrame:
-    """Named text columns of landed lines; columns follow each archive's own header."""
-    header = lines.where("line_no = 0").select("archive", F.split("line", "\t").alias("_names"))
-    cells = F.transform(F.split("line", "\t"), lambda c: F.regexp_replace(
-        F.regexp_replace(c, '^"|"$', ""), '""', '"'))
-    body = (lines.where("line_no > 0").select("archive", cells.alias("_cells"))
-            .join(header, "archive")
-            # Uneven rows: a short row has NULL tail cells, surplus cells are ignored.
-            .withColumn("_row", F.map_from_arrays("_names", F.transform(
-                F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get("_cells", i)))))
-    return body.select(*[F.try_element_at("_row", F.lit(c)).alias(c) for c in MEMBERS[member]])
+                    if f"{member}.tsv" in archive.namelist():
+                        with archive.open(f"{member}.tsv") as handle:
+                            yield from _cells(_decoded(handle), member)
+
+    files = spark.read.format("binaryFile").load(archives).select("content")
+    return files.mapInPandas(unpacked, _schema(member))
+
+
+def _decoded(handle: IO[bytes]) -> TextIO:
+    return io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
 
 
 def read_member(spark: SparkSession, directory: str, member: str) -> DataFrame:
-    """One member of extracted archives: ``directory/*/MEMBER.tsv`` read as text columns.
+    """One member of extracted archives, ``directory/*/MEMBER.tsv``; headers may differ from file to file.
 
-    The files of one call share a header (a differing one fails); read quarters with
-    other columns separately.  A directory without the member gives an empty frame.
+    A directory without the member gives an empty frame.
     """
-    columns = MEMBERS[member]
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                yield from _cells(_decoded(io.BytesIO(content)), member)
+
     try:
-        raw = (spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
-               .option("mode", "PERMISSIVE").option("enforceSchema", False).csv(f"{directory}/*/{member}.tsv"))
+        files = spark.read.format("binaryFile").load(f"{directory}/*/{member}.tsv").select("content")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
-    return raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
-                        for c in columns])
+        return spark.createDataFrame([], _schema(member))
+    return files.mapInPandas(parsed, _schema(member))
+
+
+def members_from_texts(texts: DataFrame, member: str) -> DataFrame:
+    """Named text columns of member files held whole in a column ``text``."""
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"].dropna():
+                yield from _cells(io.StringIO(text, newline=""), member)
+
+    return texts.select("text").mapInPandas(parsed, _schema(member))
 
 
 def _text(name: str) -> Column:

@@ -181,23 +181,37 @@ def test_entry_limits_as_columns(spark):
     assert [r[0] for r in df.select(G.concentration_reason()).collect()] == [None, None, "insider_ticker_limit", "ticker_limit"]
 
 
-def test_archive_landing(spark, tmp_path):
-    body = ("ACCESSION_NUMBER\tFOOTNOTE_ID\tFOOTNOTE_TXT\n" "A1\tF1\t\"say \"\"hi\"\"\"\n" "A1\tF2\n")
-    for name, members in (("q1", {"FOOTNOTES.tsv": body}), ("q2", {"OTHER.tsv": "x\n"})):
+FOOTNOTES = ("ACCESSION_NUMBER\tFOOTNOTE_ID\tFOOTNOTE_TXT\n"
+             'A1\tF1\t"say ""hi"""\n' "A1\tF2\n" 'A1\tF3\tpursuant to the "Plan"\textra\n'
+             'A1\tF4\t"a\ttab and\na line"\n')
+OTHER_HEADER = "FOOTNOTE_TXT\tNEW_COLUMN\tACCESSION_NUMBER\nplain\tx\tA2\n"
+FOOTNOTE_ROWS = [("A1", "F1", 'say "hi"'), ("A1", "F2", None), ("A1", "F3", 'pursuant to the "Plan"'),
+                 ("A1", "F4", "a\ttab and\na line"), ("A2", None, "plain")]
+
+
+def in_order(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_members_of_archives(spark, tmp_path):
+    for name, members in (("q1", {"FOOTNOTES.tsv": FOOTNOTES}), ("q2", {"OTHER.tsv": "x\n"}),
+                          ("q3", {"FOOTNOTES.tsv": OTHER_HEADER}), ("q4", {"FOOTNOTES.tsv": ""})):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             for member, text in members.items():
                 z.writestr(member, text)
-    lines = bulk.land_archives(spark, str(tmp_path / "*.zip"), "FOOTNOTES")
-    rows = bulk.members_from_lines(lines, "FOOTNOTES").orderBy("FOOTNOTE_ID").collect()
-    assert [tuple(r) for r in rows] == [("A1", "F1", 'say "hi"'), ("A1", "F2", None)]
-    assert [r.text for r in bulk.footnote_rows(bulk.members_from_lines(lines, "FOOTNOTES")).collect()] == ['say "hi"']
+    rows = bulk.read_archives(spark, str(tmp_path / "*.zip"), "FOOTNOTES")
+    assert in_order(rows) == FOOTNOTE_ROWS
+    assert sorted(r.text for r in bulk.footnote_rows(rows).collect()) == ["a\ttab and\na line", 'pursuant to the "Plan"', 'say "hi"']
 
 
 def test_extracted_members(spark, tmp_path):
-    (tmp_path / "q1").mkdir()
-    (tmp_path / "q1" / "FOOTNOTES.tsv").write_text("ACCESSION_NUMBER\tFOOTNOTE_ID\tFOOTNOTE_TXT\nA1\tF1\thello\n")
-    assert [tuple(r) for r in bulk.read_member(spark, str(tmp_path), "FOOTNOTES").collect()] == [("A1", "F1", "hello")]
+    for name, text in (("q1", FOOTNOTES), ("q2", OTHER_HEADER)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "FOOTNOTES.tsv").write_text(text)
+    assert in_order(bulk.read_member(spark, str(tmp_path), "FOOTNOTES")) == FOOTNOTE_ROWS
     assert bulk.read_member(spark, str(tmp_path), "DERIV_TRANS").count() == 0
+    texts = spark.createDataFrame([(FOOTNOTES,), (OTHER_HEADER,), (None,)], "text string")
+    assert in_order(bulk.members_from_texts(texts, "FOOTNOTES")) == FOOTNOTE_ROWS
 
 
 def test_ownership_documents_from_files(spark, tmp_path):
