@@ -165,30 +165,33 @@ def with_slippage(trades: DataFrame, bps_per_adv_pct: float) -> DataFrame:
 def limit_concentration(trades: DataFrame, p: SignalParams = SIGNALS) -> DataFrame:
     """Greedy acceptance in filing order: open positions per insider and ticker, and per ticker.
 
-    Whether a trade is taken depends on what is open in its ticker, so a ticker is
-    one group.  At most ``2 * max_per_ticker`` trades of a ticker and filing day can
-    matter (the accepted ones plus one refusal for each position already open),
-    the first ``max_per_insider_ticker`` of each insider; all others are refused
-    in any case and are dropped before the group is formed.  A group is then a
-    bounded number of rows per day.
+    A trade that repeats (insider, ticker, entry date) of one already taken is refused too; one whose
+    forerunner was refused is not.  Whether a trade is taken depends on what is open in its ticker, so a ticker
+    is one group.  Of a ticker, filing day and insider only the first trade can be taken: what refuses it
+    refuses the later ones of that day.  At most ``2 * max_per_ticker`` of a ticker and day can matter: the
+    accepted ones plus one refusal for each insider with a position already open.  All others are refused in
+    any case and are dropped before the group is formed, which is then a bounded number of rows per day.
     """
     per_insider, per_ticker = p.max_per_insider_ticker, p.max_per_ticker
-    same = W.partitionBy("ticker", "known_on", "insider_id").orderBy("txn_id")
+    same = W.partitionBy("ticker", "known_on", "insider_id", "entry_date").orderBy("txn_id")
     day = W.partitionBy("ticker", "known_on").orderBy("txn_id")
-    slim = trades.select("ticker", "insider_id", "known_on", "txn_id", "forced",
+    slim = trades.select("ticker", "insider_id", "known_on", "txn_id", "entry_date", "forced",
                          F.col("exit_date").alias("closes"))
-    slim = (slim.withColumn("_i", F.row_number().over(same)).where(F.col("_i") <= per_insider)
+    slim = (slim.withColumn("_i", F.row_number().over(same)).where(F.col("_i") == 1)
             .withColumn("_d", F.row_number().over(day)).where(F.col("_d") <= 2 * per_ticker).drop("_i", "_d"))
 
     def accept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["known_on", "txn_id"])
         open_now: list[tuple] = []
+        entries: set[tuple] = set()
         taken = []
         for row in pdf.itertuples(index=False):
             open_now = [o for o in open_now if o[1] or o[2] > row.known_on]
             mine = sum(1 for o in open_now if o[0] == row.insider_id)
-            if mine < per_insider and len(open_now) < per_ticker:
+            entry = (row.insider_id, row.entry_date)
+            if mine < per_insider and len(open_now) < per_ticker and entry not in entries:
                 open_now.append((row.insider_id, bool(row.forced), row.closes))
+                entries.add(entry)
                 taken.append(row.txn_id)
         return pd.DataFrame({"txn_id": pd.Series(taken, dtype="int64")})
 

@@ -343,5 +343,42 @@ ORACLE_VIEWS["ox_validate"] = """
 SELECT concat('m', CASE WHEN s.required = 64 THEN 0 ELSE s.required END, '_h', s.hold_days) AS id,
   CAST(bit_count(CASE WHEN s.required = 64 THEN 0 ELSE s.required END) AS INT) AS complexity,
   round(s.sharpe, 4) AS val_sharpe, round(s.ret, 4) AS val_ret, round(d.maxdd, 4) AS val_maxdd,
-  round(s.top20, 4) AS val_top20, CAST(s.trades AS DOUBLE) AS val_trades
+  round(s.top20, 4) AS val_top20, 0.0::DOUBLE AS val_cv, CAST(s.trades AS DOUBLE) AS val_trades
 FROM ox_cell_stats s JOIN ox_cell_dd d USING (required, hold_days, "window") WHERE s."window" = 'validate'"""
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution as its power series within eight deviations."""
+    return f"""CASE WHEN abs({z}) > 8 THEN CASE WHEN {z} > 0 THEN 1.0 ELSE 0.0 END
+  ELSE abs(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k:
+    exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2.0 * k + 2) + k * ln(2) + lgamma(k + 1.0))))) END"""
+
+
+def deflated_sharpe_sql(expected_max: float) -> str:
+    """(required, hold_days, dsr) of the validate window, given the Sharpe that chance alone would reach."""
+    return f"""SELECT *, CASE WHEN n_obs >= 2 THEN {normal_cdf_sql("z")} ELSE 0.0 END AS dsr FROM (
+  SELECT *, (sr_hat - {expected_max!r}) * sqrt(greatest(n_obs - 1, 0)) / sqrt(greatest(1e-12,
+    1 - coalesce(skew, 0) * sr_hat + (coalesce(kurtosis, 3) - 1) / 4 * sr_hat * sr_hat)) AS z
+  FROM (SELECT *, CAST(trades AS DOUBLE) AS n_obs FROM ox_cell_stats WHERE "window" = 'validate'))"""
+
+
+def spec_id_sql(cell: str) -> str:
+    return f"concat('m', CASE WHEN {cell}.required = 64 THEN 0 ELSE {cell}.required END, '_h', {cell}.hold_days)"
+
+
+ORACLE_VIEWS["ox_matured"] = """
+SELECT t.txn_id, later.date AS matured_on
+FROM ox_trades t ASOF LEFT JOIN ox_px p ON p.ticker = t.ticker AND t.d >= p.date
+JOIN ox_px later ON later.ticker = t.ticker AND later.rn = coalesce(p.rn, 0) + 60"""
+ORACLE_VIEWS["ox_asof_matured_input"] = f"""
+SELECT r.insider_id, r.as_of, {RECORD_SQL} FROM
+ (SELECT DISTINCT insider_id, transaction_date AS as_of FROM fx_transactions WHERE is_discretionary) r
+LEFT JOIN (SELECT e.*, m.matured_on FROM (SELECT * FROM (
+             SELECT t.txn_id, t.insider_id, t.transaction_date, o.excess_return_60d, o.hit_60d, o.prior_momentum_20d,
+                    row_number() OVER (PARTITION BY t.insider_id, t.transaction_date ORDER BY t.txn_id) AS pick
+             FROM fx_transactions t JOIN ox_outcomes o USING (txn_id)
+             WHERE t.is_discretionary AND o.excess_return_60d IS NOT NULL) WHERE pick = 1) e
+           JOIN ox_matured m USING (txn_id)) e
+  ON e.insider_id = r.insider_id AND e.matured_on < r.as_of
+GROUP BY r.insider_id, r.as_of"""
+ORACLE_VIEWS["ox_asof_matured"] = score_sql("ox_asof_matured_input", "insider_id, as_of")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import research as R
+from insidertrail.params import RESEARCH
 from insidertrail.plans.helpers import flagged, rounded
+from insidertrail.plans.oracle_views import deflated_sharpe_sql, spec_id_sql
 from insidertrail.plans.registry import query
 
 HOLDS = [20, 60]
@@ -70,13 +72,24 @@ def r03(t):
     return rounded(rounded(m, "sr_hat"), "skew", "kurtosis", digits=5)
 
 
-@query("r04_deflated_sharpe")
+def _deflated(n_trials, sr_variance):
+    return deflated_sharpe_sql(R.expected_max_sharpe(n_trials, sr_variance))
+
+
+@query("r04_deflated_sharpe", f"""
+SELECT {spec_id_sql("d")} AS id, round(sr_hat, 6) AS sr_hat, n_obs, round(dsr, 6) AS deflated_sharpe
+FROM ({_deflated(128, 0.01)}) d""")
 def r04(t):
     return rounded(R.with_deflated_sharpe(results(t, "validate"), n_trials=128, sr_variance=0.01).select(
         "id", "sr_hat", "n_obs", "deflated_sharpe"), "sr_hat", "deflated_sharpe")
 
 
-@query("r05_screen_and_confirm")
+@query("r05_screen_and_confirm", f"""
+SELECT {spec_id_sql("t")} AS id, CAST(bit_count(CASE WHEN t.required = 64 THEN 0 ELSE t.required END) AS INT) AS complexity,
+  round(t.sharpe, 4) AS train_sharpe, round(v.sharpe, 4) AS val_sharpe, round(v.dsr, 4) AS deflated_sharpe
+FROM ox_cell_stats t LEFT JOIN ({_deflated(128, 0.01)}) v
+  ON v.required = t.required AND v.hold_days = t.hold_days AND t.sharpe >= {RESEARCH.train_screen_sharpe}
+WHERE t."window" = 'train'""")
 def r05(t):
     """Train screen, then validate metrics of the specs that pass."""
     asked = R.refuse_locked_window(specs(t, "train").unionByName(specs(t, "validate")))
@@ -101,12 +114,37 @@ def r06_variance(t):
     return R.updated_sharpe_variance(validate_records(t), 0.02)
 
 
-@query("r07_nominee_gate")
-def r07(t):
+FRONTIER_SQL = """
+SELECT a.id FROM ox_validate a WHERE a.val_trades > 0 AND NOT EXISTS (
+  SELECT 1 FROM ox_validate b WHERE b.val_trades > 0 AND b.val_sharpe >= a.val_sharpe AND b.val_ret >= a.val_ret
+    AND b.val_maxdd >= a.val_maxdd AND coalesce(b.val_top20, 1) <= coalesce(a.val_top20, 1)
+    AND coalesce(b.val_cv, 1) <= coalesce(a.val_cv, 1)
+    AND (b.val_sharpe > a.val_sharpe OR b.val_ret > a.val_ret OR b.val_maxdd > a.val_maxdd
+         OR coalesce(b.val_top20, 1) < coalesce(a.val_top20, 1) OR coalesce(b.val_cv, 1) < coalesce(a.val_cv, 1)))"""
+NOMINEE_SQL = f"""
+SELECT r.id, r.val_sharpe, r.val_trades, CASE WHEN r.val_trades < {RESEARCH.min_validate_trades} THEN 'too few validate trades'
+    WHEN r.val_sharpe < (SELECT greatest(coalesce(max(val_sharpe), 0), 0) FROM ox_validate WHERE complexity = 6)
+      + {RESEARCH.nominee_margin} THEN 'no margin over the best incumbent' END AS rejected_because
+FROM ox_validate r JOIN ({_deflated(2, 1e-6)}) d ON r.id = {spec_id_sql("d")}
+WHERE d.dsr >= {RESEARCH.dsr_pass} AND r.id IN ({FRONTIER_SQL})"""
+
+
+def nominee_rows(t):
     records = R.with_deflated_sharpe(validate_records(t), n_trials=2, sr_variance=1e-6)
     stored = records.where("complexity = 6").withColumn("core_key", F.lit("older"))
-    return R.nominees(records, stored, R.pareto_frontier(records)).select(
-        "id", "val_sharpe", "val_trades", "rejected_because")
+    return R.nominees(records, stored, R.pareto_frontier(records))
+
+
+@query("r07_stall_counter", f"""
+SELECT CASE WHEN count(*) FILTER (rejected_because IS NULL) > 0 THEN 0 ELSE 4 END AS stall_counter FROM ({NOMINEE_SQL})""")
+def r07_stall(t):
+    """A round without a nominee raises the counter by one, a nominee sets it back."""
+    return R.next_stall_counter(3, nominee_rows(t))
+
+
+@query("r07_nominee_gate", NOMINEE_SQL)
+def r07(t):
+    return nominee_rows(t).select("id", "val_sharpe", "val_trades", "rejected_because")
 
 
 @query("r08_complexity", "SELECT complexity, count(*) AS n_specs, 'cluster_buy||0.0|' AS core_key FROM ox_validate GROUP BY complexity")
@@ -114,11 +152,6 @@ def r08(t):
     return validate_records(t).groupBy("complexity", "core_key").agg(F.count(F.lit(1)).alias("n_specs"))
 
 
-@query("k09_pareto_frontier", """
-SELECT a.id FROM ox_validate a WHERE NOT EXISTS (
-  SELECT 1 FROM ox_validate b WHERE b.val_sharpe >= a.val_sharpe AND b.val_ret >= a.val_ret AND b.val_maxdd >= a.val_maxdd
-    AND coalesce(b.val_top20, 1) <= coalesce(a.val_top20, 1)
-    AND (b.val_sharpe > a.val_sharpe OR b.val_ret > a.val_ret OR b.val_maxdd > a.val_maxdd
-         OR coalesce(b.val_top20, 1) < coalesce(a.val_top20, 1)))""")
+@query("k09_pareto_frontier", FRONTIER_SQL)
 def k09(t):
     return R.pareto_frontier(validate_records(t))

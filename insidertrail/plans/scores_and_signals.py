@@ -103,7 +103,7 @@ def a13_direct(t):
     return rounded(df.select("insider_id", "as_of", "n", "hits", "tier", *_SCORE_NUM), *_SCORE_NUM)
 
 
-@query("a13_as_of_score_matured_only")
+@query("a13_as_of_score_matured_only", f"SELECT insider_id, as_of, {_SCORE_OUT} FROM ox_asof_matured")
 def a13_matured(t):
     """Strictly causal form: an outcome counts once its 60-day price is known."""
     events = SC.cached_as_of_events(t.transactions, outcomes(t)).join(

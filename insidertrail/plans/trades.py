@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from insidertrail.params import SIGNALS
 from insidertrail.operators import events as E, ledger as L, prices as P, signals as G
 from insidertrail.plans.helpers import flagged, rounded
 from insidertrail.plans.registry import query
@@ -139,10 +140,27 @@ def b09(t):
     return rounded(out.select("txn_id", "entry_price"), "entry_price")
 
 
-@query("b10_concentration")
+@query("b10_concentration", f"""
+SELECT {_TRADE_OUT} FROM ox_trades60 WHERE txn_id IN (
+  WITH RECURSIVE o AS (
+    SELECT *, concat(insider_id, '|', entry_date) AS entry,
+           row_number() OVER (PARTITION BY ticker ORDER BY known_on, txn_id) AS rn FROM ox_trades60),
+  f AS (
+    SELECT DISTINCT ticker, 0::BIGINT AS rn, -1::BIGINT AS txn_id, false AS taken,
+           []::STRUCT(who INT, forced BOOLEAN, closes DATE)[] AS held, []::VARCHAR[] AS entries FROM o
+    UNION ALL
+    SELECT ticker, rn, txn_id, ok,
+           CASE WHEN ok THEN list_append(live, {{'who': insider_id, 'forced': forced, 'closes': exit_date}}) ELSE live END,
+           CASE WHEN ok THEN list_append(entries, entry) ELSE entries END
+    FROM (
+      SELECT *, len(live) < {SIGNALS.max_per_ticker} AND NOT list_contains(entries, entry)
+             AND len(list_filter(live, lambda x: x.who = insider_id)) < {SIGNALS.max_per_insider_ticker} AS ok
+      FROM (SELECT o.*, f.entries, list_filter(f.held, lambda x: x.forced OR x.closes > o.known_on) AS live
+            FROM f JOIN o ON o.ticker = f.ticker AND o.rn = f.rn + 1)))
+  SELECT txn_id FROM f WHERE taken)""")
 def b10(t):
-    """Greedy per-ticker limits; checked against a brute-force replay in the tests."""
-    return _out(L.limit_concentration(first_trades(t)))
+    """Greedy per-ticker limits over all trades; repeats of an entry are refused only where one was taken."""
+    return _out(L.limit_concentration(base_trades(t)))
 
 
 @query("b11_trade_metrics", """

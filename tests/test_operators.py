@@ -4,12 +4,14 @@ import datetime as dt
 import math
 import random
 import zipfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from insidertrail.operators import asof, clusters, events as E, ledger as L, research as R, scores as SC, signals as G
 from insidertrail.operators.quantiles import exact_quantiles
+from insidertrail.params import SIGNALS
 from insidertrail.sources import bulk, documents, loading
 
 D0 = dt.date(2020, 1, 1)
@@ -114,23 +116,37 @@ def test_score_ordering_and_minimum_sample(spark):
 
 
 def brute_concentration(rows, per_insider=1, per_ticker=2):
-    taken, opened = [], []
-    for txn, ticker, insider, known, closes, forced in sorted(rows, key=lambda r: (r[3], r[0])):
+    opened, entries, taken = [], set(), []
+    for txn, ticker, insider, known, closes, forced, entry in sorted(rows, key=lambda r: (r[3], r[0])):
         opened = [o for o in opened if o[3] or o[2] > known]
         here = [o for o in opened if o[0] == ticker]
-        if len(here) < per_ticker and sum(o[1] == insider for o in here) < per_insider:
+        if (len(here) < per_ticker and sum(o[1] == insider for o in here) < per_insider
+                and (ticker, insider, entry) not in entries):
             opened.append((ticker, insider, closes, forced))
+            entries.add((ticker, insider, entry))
             taken.append(txn)
     return sorted(taken)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_concentration_with_a_hot_ticker(spark, seed):
+CONCENTRATION = ("txn_id bigint, ticker string, insider_id int, known_on date, exit_date date, forced boolean, entry_date date")
+
+
+@pytest.mark.parametrize("seed, limits", [(0, (1, 2)), (1, (1, 2)), (2, (2, 3)), (3, (3, 5))])
+def test_concentration_with_a_hot_ticker(spark, seed, limits):
     rng = random.Random(seed)
     rows = [(i, "HOT" if rng.random() < 0.5 else f"T{rng.randint(0, 3)}", rng.randint(0, 6), day(k := rng.randint(0, 40)),
-             day(k + rng.randint(1, 9)), rng.random() < 0.05) for i in range(500)]
-    df = spark.createDataFrame(rows, "txn_id bigint, ticker string, insider_id int, known_on date, exit_date date, forced boolean")
-    assert sorted(r.txn_id for r in L.limit_concentration(df).collect()) == brute_concentration(rows)
+             day(k + rng.randint(3, 9)), rng.random() < 0.05, day(k + 2 - k % 3)) for i in range(500)]
+    got = L.limit_concentration(spark.createDataFrame(rows, CONCENTRATION),
+                                replace(SIGNALS, max_per_insider_ticker=limits[0], max_per_ticker=limits[1]))
+    assert sorted(r.txn_id for r in got.collect()) == brute_concentration(rows, *limits)
+
+
+def test_a_refused_filing_does_not_block_a_later_one(spark):
+    rows = [(1, "T", 1, day(0), day(4), False, day(0)), (2, "T", 2, day(1), day(30), False, day(1)),
+            (3, "T", 3, day(3), day(30), False, day(5)), (4, "T", 3, day(5), day(30), False, day(5)),
+            (5, "T", 3, day(5), day(30), False, day(5))]
+    got = L.limit_concentration(spark.createDataFrame(rows, CONCENTRATION))
+    assert sorted(r.txn_id for r in got.collect()) == brute_concentration(rows) == [1, 2, 4]
 
 
 def test_pareto_frontier_against_brute_force(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,22 @@ def test_numbers_and_keys(spark):
         True, False, False, False, False]
 
 
+def test_float_text_is_the_shortest_text_that_reads_back(spark):
+    rng = random.Random(5)
+    given = [0.0, -0.0, 0.5, 1e-4, 1e-05, 1e-07, 12345678.1234561, 12345678.1234562, 1e15, 1e16, 1.5e16, 1e22, 2e-3, 2e23, 0.1 + 0.2,
+             123456789012345.67, -0.001, 9007199254740993.0, 1.7976931348623157e308]
+    given += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 20) for _ in range(2000)]
+    given += [round(rng.uniform(0, 1e6), rng.randint(0, 6)) for _ in range(1000)]
+    assert values(spark, S.float_text("x"), given, "double") == [repr(x) for x in given]
+
+
+def test_footnotes_match_whatever_the_case_folding(spark):
+    texts = ["dıvıdend reinvestment", "DİVİDEND REINVESTMENT", "Dividend Reinvestment", "nothing", "under a 10B5-1 plan"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = [(r.is_plan, r.mechanical_kinds) for r in with_classes(df).orderBy("i").collect()]
+    assert rows == [(False, ["drip"]), (False, ["drip"]), (False, ["drip"]), (False, []), (True, [])]
+
+
 def test_institution_pattern_needs_a_word_before_ampersand(spark):
     assert values(spark, S.is_institution("x"), ["Smith John", "Foo LLC", "FOO & CO", "FOO& CO", "Vanguard Group", None]) == [
         False, True, False, True, True, False]
