@@ -67,7 +67,8 @@ def bounded(pairs: DataFrame, k: int) -> DataFrame:
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Integer inner products, also where they pass the 53 bits of a double; beyond 64 bits they saturate."""
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, len(q)) < 2.0 ** 53:
+    largest = [float(np.abs(x).max(initial=0)) for x in (q, v)]
+    if max(largest) < 2.0 ** 53 and largest[0] * largest[1] * max(1, len(q)) < 2.0 ** 53:
         return (v @ q).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in v], object) @ np.array([int(x) for x in q], object)
     return np.array([max(-2 ** 63, min(2 ** 63 - 1, s)) for s in whole], np.int64)

@@ -193,16 +193,25 @@ def read_records(data: bytes) -> Iterator[dict]:
     held: tuple[dict, list[bytes]] | None = None
     try:
         for fields, block in single_records(data):
-            if fields.get("warc-type") == "continuation":
+            follows = fields.get("warc-type") == "continuation"
+            if follows:
                 if not held or fields.get("warc-segment-origin-id") != held[0].get("warc-record-id"):
                     raise BadRecord("a continuation without its beginning")
                 held[1].append(block)
-                continue
-            if held:
-                yield _row(held[0], b"".join(held[1]))
-            held = (fields, [block])
+            elif held:
+                raise BadRecord("a record without its end")
+            elif "warc-segment-number" in fields:
+                held = (fields, [block])
+            else:
+                yield _row(fields, block)
+            if follows and "warc-segment-total-length" in fields:
+                first, parts = held
+                held, whole = None, b"".join(parts)
+                if str(len(whole)) != fields["warc-segment-total-length"]:
+                    raise BadRecord("segments of another length than stated")
+                yield _row(first, whole)
         if held:
-            yield _row(held[0], b"".join(held[1]))
+            raise BadRecord("a record without its end")
     except BadRecord as error:
         yield {"problem": str(error)}
 
