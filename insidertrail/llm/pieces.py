@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from insidertrail.llm.common import table
 
 MARK = "▁"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 TOKENS_AT_ONCE = 1 << 20
 MODEL_FILE = "piece_bpe_32k.model"
 
@@ -163,9 +163,11 @@ def _segmented(lists: DataFrame, model: bytes) -> DataFrame:
     return lists.mapInArrow(run, "block string, part int, lengths binary, ids binary")
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids): the ids of every whole text, as ``SentencePieceProcessor.encode`` gives them.
 
+    With ``decoded`` also ``decoded``, the text that the library's ``decode`` makes of these ids.
+
     Neither begin nor end ids, no sampling.  Null and empty texts have no ids.  Repeated rows and null keys
     give a row each; an empty table gives none.  A literal white-space mark in a text counts as a space, as
     in the library.  ``docs`` is read twice and must give the same rows both times; otherwise the
@@ -192,12 +194,16 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = {p: (n, i) for p, n, i in zip(*(right.column(c).to_pylist() for c in ("part", "lengths", "ids")))}
         key_type = left.schema.field("keys").type.value_type
-        schema = pa.schema([("key", key_type), ("ids", pa.list_(pa.int32()))])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(keys, key_type), ids], schema=schema)
-                                      for row in left.to_pylist() for keys, ids in _ids_of_block(row, by_part)], schema)
+        fields = [("key", key_type), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decoded
+        sp, batches = _processor(model), []
+        for row in left.to_pylist():
+            for keys, ids in _ids_of_block(row, by_part):
+                columns = [pa.array(keys, key_type), ids] + [_decoded(sp, ids)] * decoded
+                batches.append(pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)))
+        return pa.Table.from_batches(batches, pa.schema(fields))
 
-    return (coded.groupBy("block").cogroup(found.groupBy("block"))
-            .applyInArrow(joined, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key))
+    schema = f"key {kind.simpleString()}, ids array<int>" + ", decoded string" * decoded
+    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, schema).withColumnRenamed("key", key)
 
 
 def _ids_of_block(row: dict, by_part: dict) -> Iterator[tuple[list, pa.ListArray]]:
@@ -230,16 +236,14 @@ def _ids_of_block(row: dict, by_part: dict) -> Iterator[tuple[list, pa.ListArray
         start = stop
 
 
-def decode(ids: Column, model: bytes) -> Column:
-    """The text of each list of ids, as ``SentencePieceProcessor.decode`` gives it; null stays null."""
+def _decoded(sp: sentencepiece.SentencePieceProcessor, lists: pa.ListArray) -> pa.StringArray:
+    return pa.array([None if not x.is_valid else sp.decode(x.values.to_numpy().tolist()) if len(x) else "" for x in lists],
+                    pa.string())
 
-    @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        sp = _processor(model)
-        return pa.array([None if not x.is_valid else sp.decode(x.values.to_numpy().tolist()) if len(x) else ""
-                         for x in lists], pa.string())
 
-    return run(ids)
+def decode(ids: Column, model: bytes) -> Column:
+    """The text of each list of ids, as ``SentencePieceProcessor.decode`` gives it; null stays null."""
+    return F.arrow_udf(lambda lists: _decoded(_processor(model), lists), "string")(ids)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +255,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     model = load_model(path or public_tokenizers.path(MODEL_FILE))
-    done = encode(docs, model).withColumn("decoded", decode(F.col("ids"), model))
+    done = encode(docs, model, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
