@@ -163,6 +163,18 @@ def company_insiders(roles: DataFrame, insiders: DataFrame, scores: DataFrame, c
             .join(companies.select("company_id", "ticker"), "company_id"))
 
 
+def company_buys(transactions: DataFrame, insiders: DataFrame, companies: DataFrame,
+                 since: Column | None = None) -> DataFrame:
+    """Common-stock buys of each company with the buyer's name, all or from a day on, and their place from the newest."""
+    rows = transactions.where(F.col("is_discretionary") & common_or_unknown())
+    if since is not None:
+        rows = rows.where(F.col("transaction_date") >= since)
+    newest = W.partitionBy("company_id").orderBy(F.col("transaction_date").desc(), "txn_id")
+    return (rows.withColumn("position", F.row_number().over(newest))
+            .join(insiders.select("insider_id", "name"), "insider_id")
+            .join(companies.select("company_id", "ticker"), "company_id"))
+
+
 def price_slice(prices: DataFrame, ticker: str, since: Column | None = None) -> DataFrame:
     rows = prices.where(F.col("ticker") == ticker.strip().upper())
     return (rows if since is None else rows.where(F.col("date") >= since)).orderBy("date")

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from insidertrail.functions.distributions import normal_cdf
 from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import ledger as L
 from insidertrail.operators.single import single_row
@@ -194,19 +194,6 @@ def expected_max_sharpe(n_trials: int, sr_variance: float) -> float:
     return sqrt(sr_variance) * ((1 - EULER_GAMMA) * q(1 - 1 / n_trials) + EULER_GAMMA * q(1 - 1 / (n_trials * e)))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Normal distribution: its power series within eight deviations, 0 or 1 beyond."""
-    x = z.to_numpy(dtype=float, na_value=np.nan)
-    near = np.clip(x, -8, 8)
-    term, total = near.copy(), near.copy()
-    for k in range(1, 160):
-        term = term * near * near / (2 * k + 1)
-        total = total + term
-    out = 0.5 + total * np.exp(-near * near / 2) / np.sqrt(2 * np.pi)
-    return pd.Series(np.where(np.abs(x) > 8, (x > 0) * 1.0, np.clip(out, 0, 1))).where(~np.isnan(x), None)
-
-
 def with_deflated_sharpe(rows: DataFrame, n_trials: int, sr_variance: float) -> DataFrame:
     """Probability that the true Sharpe beats the best of ``n_trials`` null trials."""
     sr, n = F.col("sr_hat"), F.col("n_obs")

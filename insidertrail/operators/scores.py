@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from insidertrail.functions.distributions import normal_cdf
 from insidertrail.operators.events import common_or_unknown, first_outcome_per_day, largest_lots
 from insidertrail.params import SCORES, ScoreParams
 
@@ -59,6 +60,11 @@ def shrunk_excess(total: Column, n: Column, p: ScoreParams = SCORES) -> Column:
     return (p.shrinkage_k * p.prior_excess + total) / (p.shrinkage_k + n)
 
 
+def prob_positive(shrunk: Column, sigma: Column, n: Column, p: ScoreParams = SCORES) -> Column:
+    """P(excess return > 0) under the shrunk mean and its posterior variance."""
+    return normal_cdf(shrunk * F.sqrt(p.shrinkage_k + n) / sigma)
+
+
 def shrinkage_sigma(std: Column, n: Column, p: ScoreParams = SCORES) -> Column:
     fallback = F.lit(p.default_sigma)
     return F.when((n >= 3) & (std > 0), std).otherwise(fallback)
@@ -153,6 +159,17 @@ def insider_scores(transactions: DataFrame, outcomes: DataFrame, insiders: DataF
                          .fillna({"n": 0, "hits": 0}), p)
 
 
+def company_scores(transactions: DataFrame, outcomes: DataFrame, insiders: DataFrame,
+                   p: ScoreParams = SCORES) -> DataFrame:
+    """Score of every non-institution insider in each company of which they have a discretionary buy."""
+    people = insiders.where(~F.col("is_institution")).select("insider_id")
+    pair = ["insider_id", "company_id"]
+    pairs = transactions.where("is_discretionary").select(*pair).distinct().join(people, "insider_id", "left_semi")
+    records = scored_events(transactions, outcomes).groupBy(*pair).agg(
+        *[c.alias(k) for k, c in track_record_aggregates(p).items()])
+    return score_columns(pairs.join(records, pair, "left").fillna({"n": 0, "hits": 0}), p)
+
+
 def _daily_moments(events: DataFrame, axis: str) -> DataFrame:
     """Sums per (insider, day) from which every track-record figure follows."""
     y, x = F.col("excess_return_60d"), F.col("prior_momentum_20d")

@@ -184,6 +184,19 @@ def s13_insiders(t):
     return loading.insider_dimension(rows, order="seq").drop("insider_id")
 
 
+@query("s13_company_dimension", f"""
+SELECT company_cik AS cik, arg_min(company_ticker, k) AS ticker, arg_min(company_name, k) AS name, 1 AS ids, true AS steady
+FROM ({_BULK_SQL}) WHERE CAST(company_cik AS INT) < 1020 GROUP BY company_cik""")
+def s13_companies(t):
+    """One id per company, the same whatever rows came first."""
+    rows = _bulk(t).withColumn("seq", F.substring_index(F.substring("accession_number", 2, 30), "_", 1).cast("bigint"))
+    one = loading.company_dimension(rows, order="seq")
+    other = loading.company_dimension(rows.withColumn("seq", -F.col("seq")), order="seq")
+    both = one.join(other.select("cik", F.col("company_id").alias("other_id")), "cik")
+    ids = one.groupBy("company_id").agg(F.count(F.lit(1)).cast("int").alias("ids"))
+    return both.join(ids, "company_id").select("cik", "ticker", "name", "ids", (F.col("company_id") == F.col("other_id")).alias("steady"))
+
+
 @query("s13_role_dimension", f"""
 SELECT insider_cik, company_cik, CASE arg_min(k, k) % 3 WHEN 0 THEN 'CEO' WHEN 1 THEN '10% Owner' ELSE 'Director' END
   AS role_title, arg_min(is_officer, k) AS is_officer, arg_min(is_director, k) AS is_director,

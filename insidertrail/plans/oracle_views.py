@@ -382,3 +382,9 @@ LEFT JOIN (SELECT e.*, m.matured_on FROM (SELECT * FROM (
   ON e.insider_id = r.insider_id AND e.matured_on < r.as_of
 GROUP BY r.insider_id, r.as_of"""
 ORACLE_VIEWS["ox_asof_matured"] = score_sql("ox_asof_matured_input", "insider_id, as_of")
+ORACLE_VIEWS["ox_company_score_input"] = f"""
+SELECT i.insider_id, i.company_id, coalesce(r.n, 0) AS n, coalesce(r.hits, 0) AS hits, r.mean_y, r.sum_y, r.std_y, r.icpt
+FROM (SELECT DISTINCT insider_id, company_id FROM fx_transactions t JOIN fx_insiders USING (insider_id)
+      WHERE is_discretionary AND NOT is_institution) i
+LEFT JOIN (SELECT insider_id, company_id, {RECORD_SQL} FROM ox_events GROUP BY ALL) r USING (insider_id, company_id)"""
+ORACLE_VIEWS["ox_company_scores"] = score_sql("ox_company_score_input", "insider_id, company_id")

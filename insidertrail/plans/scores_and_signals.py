@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from insidertrail.operators import asof, prices as P, scores as SC, signals as G
 from insidertrail.plans.helpers import flagged, outcomes, rounded, scores
-from insidertrail.plans.oracle_views import RECORD_SQL
+from insidertrail.plans.oracle_views import ORACLE_VIEWS, RECORD_SQL, normal_cdf_sql
 from insidertrail.plans.registry import query
 
 # --- track records and scores ----------------------------------------------
@@ -80,6 +80,21 @@ def a12(t):
     return rounded(df.select("insider_id", "n", "hits", "tier", *_SCORE_NUM), *_SCORE_NUM)
 
 
+@query("a12_company_scores", f"SELECT insider_id, company_id, {_SCORE_OUT} FROM ox_company_scores")
+def a12_company(t):
+    df = SC.company_scores(t.transactions, outcomes(t), t.insiders)
+    return rounded(df.select("insider_id", "company_id", "n", "hits", "tier", *_SCORE_NUM), *_SCORE_NUM)
+
+
+@query("a07_prob_positive", f"""
+SELECT insider_id, round(CASE WHEN n >= 3 THEN {normal_cdf_sql("(shrunk_excess * sqrt(5 + n) / sigma)")} END, 6) AS prob_positive
+FROM ox_scores""")
+def a07_positive(t):
+    df = SC.insider_scores(t.transactions, outcomes(t), t.insiders)
+    return rounded(df.select("insider_id", SC.prob_positive(F.col("shrunk_excess"), F.col("sigma"), F.col("n"))
+                             .alias("prob_positive")), "prob_positive")
+
+
 def _requests(t):
     return t.transactions.where("is_discretionary").select(
         "insider_id", F.col("transaction_date").alias("as_of"))
@@ -271,7 +286,7 @@ def g06_pending(t):
     return _alert_out(G.buy_alerts(live_strategy(), *_live(t), existing=done, since=F.lit("1999-01-01").cast("date")))
 
 
-@query("g07_sell_alerts", """
+ORACLE_VIEWS["ox_sell_alerts"] = """
 SELECT transaction_id, insider_id, company_id, alert_type, round(txn_value, 2) AS transaction_value, trade_date FROM (
   SELECT e.txn_id AS transaction_id, insider_id, company_id, transaction_date AS trade_date, txn_value,
     CASE WHEN sold / (after + sold) >= 0.25 THEN 'large_sell' WHEN sellers >= 8 THEN 'cluster_sell' END AS alert_type
@@ -286,14 +301,29 @@ SELECT transaction_id, insider_id, company_id, alert_type, round(txn_value, 2) A
               WHERE x.transaction_code = 'S' AND NOT i.is_institution) m
           ON m.company_id = d.company_id AND m.transaction_date BETWEEN d.transaction_date - 7 AND d.transaction_date + 7
         GROUP BY 1, 2) k USING (company_id, transaction_date)
-  WHERE e.txn_id IS NOT NULL) WHERE alert_type IS NOT NULL""")
+  WHERE e.txn_id IS NOT NULL) WHERE alert_type IS NOT NULL"""
+
+
+@query("g07_sell_alerts", "SELECT * FROM ox_sell_alerts")
 def g07(t):
+    out = sell_alerts(t).select(
+        "transaction_id", "insider_id", "company_id", "alert_type", "transaction_value", "trade_date")
+    return rounded(out, "transaction_value", digits=2)
+
+
+SELLS = ["large_sell", "cluster_sell"]
+
+
+def sell_alerts(t):
+    """Sell alerts, written once per application."""
+    return t.stage("sell_alerts", lambda: compute_sell_alerts(t))
+
+
+def compute_sell_alerts(t):
     kind = F.when(F.col("sell_pct") >= 0.25, "large_sell").when(F.col("cluster_sell_unique") >= 8, "cluster_sell")
     strategy = replace(G.cluster_buy(), evaluate_sell=kind, types=(
         G.SignalType("large_sell", direction="sell"), G.SignalType("cluster_sell", direction="sell")))
-    out = G.sell_alerts(strategy, *_live(t)).select(
-        "transaction_id", "insider_id", "company_id", "alert_type", "transaction_value", "trade_date")
-    return rounded(out, "transaction_value", digits=2)
+    return G.sell_alerts(strategy, *_live(t))
 
 
 @query("g08_position_size", """

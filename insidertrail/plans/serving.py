@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from insidertrail.operators import events as E, prices as P, reports as V, signals as G
 from insidertrail.plans.helpers import outcomes, rounded, scores
 from insidertrail.plans.registry import query
-from insidertrail.plans.scores_and_signals import alerts
+from insidertrail.plans.scores_and_signals import SELLS, alerts, sell_alerts
 from insidertrail.plans.oracle_views import ORACLE_VIEWS
 
 TODAY = "2001-07-30"
@@ -196,10 +196,36 @@ def v03(t):
 
 
 @query("v04_sell_warnings", """
-SELECT transaction_id, trade_date FROM ox_alerts WHERE alert_type = 'filtered_out' AND trade_date >= DATE '2001-07-30' - 300
-ORDER BY trade_date DESC, transaction_id LIMIT 15""")
+SELECT transaction_id, insider_id, alert_type, trade_date FROM ox_sell_alerts
+WHERE trade_date BETWEEN DATE '1998-06-30' - 30 AND DATE '9999-12-31' ORDER BY trade_date DESC, transaction_id LIMIT 15""")
 def v04(t):
-    return V.sell_warnings(alerts(t), kinds=["filtered_out"], as_of=_day(), days=300).select("transaction_id", "trade_date")
+    """Newest sell alerts of people on common stock within 30 days."""
+    shown = G.person_alerts(alerts(t).unionByName(sell_alerts(t)), t.transactions, t.insiders)
+    return V.sell_warnings(shown, kinds=SELLS, as_of=_day("1998-06-30")).select(
+        "transaction_id", "insider_id", "alert_type", "trade_date")
+
+
+def _buys_sql(where):
+    return f"""
+SELECT concat('T', t.company_id) AS ticker, i.name, t.txn_id, t.transaction_date, CAST(row_number() OVER (
+    PARTITION BY t.company_id ORDER BY t.transaction_date DESC, t.txn_id) AS INT) AS position
+FROM fx_transactions t JOIN fx_insiders i USING (insider_id)
+WHERE t.is_discretionary AND coalesce(t.is_common_stock, true) AND {where}"""
+
+
+def _buys(t, since=None):
+    return V.company_buys(t.transactions, t.insiders, t.companies, since).select(
+        "ticker", "name", "txn_id", "transaction_date", "position")
+
+
+@query("v02_company_buys", _buys_sql("true"))
+def v02_buys(t):
+    return _buys(t)
+
+
+@query("v02_company_recent_buys", _buys_sql(f"t.transaction_date >= DATE '{TODAY}' - 90"))
+def v02_recent(t):
+    return _buys(t, F.date_sub(_day(), 90))
 
 
 @query("v05_portfolio_summary", """
