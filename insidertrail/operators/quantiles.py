@@ -1,9 +1,9 @@
 """Exact quantiles of a column of any size.
 
-Equal values are collapsed into (value, count) first.  Approximate cut points
-split the value range into slices; the slice holding each wanted rank is found
-from the slice counts, and only those slices are sorted, one slice per task.
-The result is the linearly interpolated quantile of the whole column.
+Equal values are collapsed into (value, count), range-partitioned and written once.  The
+partition holding each wanted rank follows from the partition counts, and only those
+partitions are sorted; their number grows with the data.  The result is the linearly
+interpolated quantile of the whole column.
 """
 
 from __future__ import annotations
@@ -14,20 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insidertrail.operators.single import single_row
+from insidertrail.operators.staged import written
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *,
-                    slices: int = 128) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """One row with ``n`` and ``edges`` (array of doubles, one per probability)."""
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    grid = [i / slices for i in range(1, slices)]
-    cuts = counts.agg(F.percentile_approx("_v", grid, 10 * slices).alias("_cuts"))
-    sliced = (counts.withColumn("_cuts", single_row(cuts)["_cuts"])
-              .select("_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice")))
+    sliced = written(counts.repartitionByRange("_v").withColumn("_slice", F.spark_partition_id()), "quantile-counts")
     per_slice = sliced.groupBy("_slice").agg(F.sum("_n").alias("_in_slice"))
-    # At most ``slices`` rows from here on.
+    # One row per partition from here on.
     order = W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(F.lit(1))
     starts = per_slice.select(
@@ -43,7 +39,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *,
             .where((F.col("_e.rank") >= F.col("_before"))
                    & (F.col("_e.rank") < F.col("_before") + F.col("_in_slice"))))
     inside = W.partitionBy("_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (sliced.join(ends.select("_slice").distinct(), "_slice", "left_semi")
+    ends = written(ends, "quantile-ranks")  # two rows per probability
+    ranked = (sliced.join(F.broadcast(ends.select("_slice").distinct()), "_slice", "left_semi")
               .withColumn("_upto", F.sum("_n").over(inside)))
     local = F.col("_e.rank") - F.col("_before")
     picked = (ends.join(ranked, "_slice")

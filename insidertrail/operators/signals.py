@@ -12,6 +12,8 @@ from insidertrail.operators import asof, events as E
 from insidertrail.operators.clusters import visible_members
 from insidertrail.operators.flags import first_observed
 from insidertrail.operators.prices import price_panel
+from insidertrail.operators.single import single_row
+from insidertrail.operators.staged import written
 from insidertrail.params import SIGNALS, SignalParams
 
 # --- signal types and strategies -------------------------------------------
@@ -151,9 +153,26 @@ def peer_skill(transactions: DataFrame, insiders: DataFrame, scores: DataFrame,
 
 
 def live_features(rows: DataFrame, transactions: DataFrame, insiders: DataFrame, companies: DataFrame,
-                  roles: DataFrame, prices: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every live feature for the given transactions, one row per input row."""
+                  roles: DataFrame, prices: DataFrame, scores: DataFrame, *, few: bool = False) -> DataFrame:
+    """Every live feature for the given transactions, one row per input row.
+
+    With ``few`` the stored tables are first cut down to what the rows can see: their insiders, companies and
+    tickers, and for the cluster windows the days around theirs.  The rows come out the same.
+    """
     out = rows.join(companies.select("company_id", "ticker"), "company_id")
+    around, own = transactions, transactions
+    if few:
+        asked = written(rows.select("insider_id", "company_id", "transaction_date").distinct(), "asked-events")
+        days = single_row(asked.agg(F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last")))
+        reach = SIGNALS.cluster_window_days
+        around = transactions.where(
+            F.col("transaction_date").between(F.date_sub(days["first"], reach), F.date_add(days["last"], reach))).join(
+            asked.select("company_id").distinct(), "company_id", "left_semi")
+        people = asked.select("insider_id").distinct()
+        own = transactions.join(people, "insider_id", "left_semi")
+        roles = roles.join(people, "insider_id", "left_semi")
+        tickers = companies.join(asked.select("company_id").distinct(), "company_id", "left_semi").select("ticker").distinct()
+        prices = prices.join(tickers, "ticker", "left_semi")
     panel = price_panel(prices).select("ticker", "date", "ret_60", "ret_5")
     found = asof.bracket(out.select("ticker", F.col("transaction_date").alias("as_of")), panel,
                          values=["ret_60", "ret_5"], next=False)
@@ -166,11 +185,11 @@ def live_features(rows: DataFrame, transactions: DataFrame, insiders: DataFrame,
         "still_falling": dropped & F.coalesce(F.col("prev.ret_5") < 0, F.lit(False)),
     }).drop("prev")
     day = ["company_id", "transaction_date"]
-    out = (out.join(live_cluster_counts(transactions, insiders), day, "left")
-           .join(peer_skill(transactions, insiders, scores), day, "left")
-           .join(E.median_buy_value(transactions), "insider_id", "left")
-           .join(E.sold_fraction(transactions), E.EVENT_KEY, "left"))
-    buys = transactions.where(F.col("is_discretionary"))
+    out = (out.join(live_cluster_counts(around, insiders), day, "left")
+           .join(peer_skill(around, insiders, scores), day, "left")
+           .join(E.median_buy_value(own), "insider_id", "left")
+           .join(E.sold_fraction(own), E.EVENT_KEY, "left"))
+    buys = own.where(F.col("is_discretionary"))
     observed = first_observed(buys.where(E.common_or_unknown()))
     only = (buys.groupBy("insider_id", "company_id").agg(
         F.count(F.lit(1)).alias("_buys"), F.max("txn_id").alias("_only")))
@@ -243,7 +262,8 @@ def buy_alerts(strategy: Strategy, transactions: DataFrame, insiders: DataFrame,
     rows = (rows.join(totals, E.EVENT_KEY, "left").withColumn("txn_value", E.event_value_or_fallback())
             .where(S.value_in_bounds("txn_value", p.min_event_value, p.max_event_value)))
     rows = _first_of_event(rows)
-    features = live_features(rows, transactions, insiders, companies, roles, prices, scores)
+    few = only is not None or since is not None or done is not None
+    features = live_features(rows, transactions, insiders, companies, roles, prices, scores, few=few)
     return _alerts(features, strategy.classify, strategy.conviction)
 
 
@@ -260,7 +280,8 @@ def sell_alerts(strategy: Strategy, transactions: DataFrame, insiders: DataFrame
     totals = E.event_value(transactions, F.col("transaction_code") == "S")
     rows = (rows.join(totals, E.EVENT_KEY, "left")
             .withColumn("txn_value", F.coalesce(E.event_value_or_fallback(), F.lit(0.0))))
-    features = live_features(_first_of_event(rows), transactions, insiders, companies, roles, prices, scores)
+    features = live_features(_first_of_event(rows), transactions, insiders, companies, roles, prices, scores,
+                             few=done is not None)
     return _alerts(features, strategy.evaluate_sell, strategy.conviction)
 
 

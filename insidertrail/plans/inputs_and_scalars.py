@@ -217,7 +217,8 @@ def s14(t):
     rows = t.transactions.select(
         "txn_id", F.concat("accession_number", F.lit("_P")).alias("accession_number"),
         F.when(F.col("txn_id") % 2 == 0, F.col("is_10b5_1_plan")).alias("is_10b5_1_plan"))
-    return loading.fill_plan_flags(rows, R.raw_submissions(t)).select("txn_id", "is_10b5_1_plan")
+    filed = F.coalesce(S.day_month_year("FILING_DATE"), F.lit("1900-01-01").cast("date"))
+    return loading.fill_plan_flags(rows, R.raw_submissions(t), order=filed).select("txn_id", "is_10b5_1_plan")
 
 
 @query("s15_fill_sectors", """

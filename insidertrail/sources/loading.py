@@ -61,10 +61,10 @@ def details_to_load(details: DataFrame, transactions: DataFrame, loaded: DataFra
             .join(loaded.select("accession_number").distinct(), "accession_number", "left_anti"))
 
 
-def fill_plan_flags(transactions: DataFrame, submissions: DataFrame, *, order: str | None = None) -> DataFrame:
-    """NULL plan flags filled from filings with the same accession; the last filing wins."""
+def fill_plan_flags(transactions: DataFrame, submissions: DataFrame, *, order: Column | str) -> DataFrame:
+    """NULL plan flags filled from filings with the same accession; the last filing by ``order`` wins."""
     flag = S.plan_flag("AFF10B5ONE")
-    pick = F.max_by(flag, order) if order else F.max(flag)
+    pick = F.max_by(flag, order)
     known = (submissions.where(flag.isNotNull() & (F.trim("ACCESSION_NUMBER") != ""))
              .groupBy(F.trim("ACCESSION_NUMBER").alias("_acc")).agg(pick.alias("_flag")))
     prefix = F.when(F.col("accession_number").contains("_"), S.raw_accession("accession_number"))

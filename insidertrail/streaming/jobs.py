@@ -57,12 +57,13 @@ def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def route_late_rows(on_time: str, late: str, *, days: int = 7) -> Callable[[DataFrame, int], None]:
     """Rows older than the newest earlier filing minus ``days`` go to the backfill table.
 
-    Each batch overwrites its own partition, so a replayed batch changes nothing.
+    Each batch overwrites its own partition, so a replayed batch changes nothing.  The newest filing of a
+    batch is kept as one row beside the table, so a batch costs the same however old the stream is.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _table(spark, on_time, with_batch_id(batch.schema))
-        mark = single_row(seen.where(F.col("batch_id") < batch_id).agg(F.max("filed_at").alias("newest")))["newest"]
+        marks = _table(spark, f"{on_time}-mark", with_batch_id(batch.select(F.col("filed_at").alias("newest")).schema))
+        mark = single_row(marks.where(F.col("batch_id") < batch_id).agg(F.max("newest").alias("newest")))["newest"]
         limit = F.col("_mark") - F.expr(f"INTERVAL {days} DAYS")
         # The path still being written is read first, so the routed rows are cut here.
         routed = (batch.withColumn("_mark", mark)
@@ -72,6 +73,8 @@ def route_late_rows(on_time: str, late: str, *, days: int = 7) -> Callable[[Data
             for flag, path in ((False, on_time), (True, late)):
                 (routed.where(F.col("_late") == flag).drop("_late")
                  .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+            newest = routed.where(~F.col("_late")).agg(F.max("filed_at").alias("newest"))
+            newest.write.mode("overwrite").parquet(f"{on_time}-mark/batch_id={batch_id}")
         finally:
             routed.unpersist()
 
