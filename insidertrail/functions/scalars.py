@@ -244,6 +244,7 @@ def float_text(col: Column | str) -> Column:
     """Shortest text that reads back as the double: '12000000.0', '0.5', '1e-07', '1e+16'.
 
     Plain notation from 1e-4 up to 1e16, else one digit before the point and an exponent of at least two digits.
+    Beyond 2^53, where several texts of one length read back, it need not be the nearest of them.
     """
     value = _c(col)
     size = F.abs(value)
@@ -259,7 +260,8 @@ def float_text(col: Column | str) -> Column:
     tail = F.substr(digits, F.lit(2))
     scientific = F.concat(
         F.substr(digits, F.lit(1), F.lit(1)), F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("."), tail)),
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(power).cast("string"))
     text = (F.when(size == 0, F.lit("0.0")).when((power >= -4) & (power < 16), plain).otherwise(scientific))
     sign = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
     return (F.when(F.isnan(value), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))

@@ -67,7 +67,7 @@ def test_exact_quantiles_with_a_hot_value(spark):
     xs = [7.0 if rng.random() < 0.35 else rng.random() * 20 for _ in range(997)]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
     probs = [0.0, 0.2, 0.5, 0.77, 1.0]
-    edges = exact_quantiles(df, "v", probs, slices=16).first().edges
+    edges = exact_quantiles(df.repartition(5), "v", probs).first().edges
     xs.sort()
     for p, e in zip(probs, edges):
         pos = p * (len(xs) - 1)
@@ -267,3 +267,30 @@ def test_ledger_export_round_trip(spark, tmp_path):
     L.export_trades(df, str(tmp_path / "json"), fmt="json")
     assert spark.read.json(str(tmp_path / "json")).first()["entry_price"] == 10.12
     assert L.ledger_diff(df, df, ["txn_id", "pnl"]).count() == 0
+
+
+def test_features_of_a_few_rows_equal_those_of_all(spark):
+    from insidertrail.plans.adapter import Tables
+    from insidertrail.plans.helpers import scores
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = t.transactions.where("is_discretionary AND txn_id % 400 = 1")
+    args = (t.transactions, t.insiders, t.companies, t.roles, t.prices, scores(t))
+    whole, cut = (G.live_features(rows, *args, few=few) for few in (False, True))
+    assert in_order(whole.select(sorted(whole.columns))) == in_order(cut.select(sorted(cut.columns))) != []
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from insidertrail.session import shared_folder
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Elsewhere)
+    Elsewhere.conf.get = staticmethod(lambda key, default=None: "hdfs:///shared/")
+    assert shared_folder(Elsewhere) == "hdfs:///shared"
