@@ -54,16 +54,19 @@ SURNAMES = {
 }
 
 EMAIL = re.compile(r"(?<![\w.%+-])([\w%+-]+(?:\.[\w%+-]+)*)@((?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})")
+# Between the parts of a number stands a separator, and in damaged texts up to three symbols after each word.
+_GAP = r"[^\w\s(+]{0,3}[ .-]?"
 NUMBER = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\w)"
+    rf"|(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\){_GAP})?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}"
+    rf"|\(\d{{3}}\){_GAP}\d{{3}}[ .-]\d{{4}}"
+    r"|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\w)"
     r"|(?P<card>\d{4}(?:[ -]?\d{4}){2}(?:[ -]?\d{1,7})|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w))")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
-SECRET = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api_?key)\s*[=:]\s*["']?([0-9a-z_+/-]{8,})(?![\w+/-])""")
+SECRET = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api_?key)[^\w\s]*\s*[=:][^\w\s]*\s*["']?([0-9a-z_+/-]{8,})(?![\w+/-])""")
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 ADDRESSED = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESSES, key=len, reverse=True))})\.? ({_NAME})(?: ({_NAME}))?(?: ({_NAME}))?")
 GENDERS = {name: gender for (_, gender), names in GIVEN_NAMES.items() for name in names}
@@ -277,20 +280,20 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = cut(entities, "pii-entities")
 
     @F.arrow_udf("string")
-    def make(kind: pa.Array, value: pa.Array) -> pa.Array:
-        return pa.array([surrogate(key, k, v, attempt) for k, v in zip(kind.to_pylist(), value.to_pylist())], pa.string())
+    def make(kind: pa.Array, value: pa.Array, attempt: pa.Array) -> pa.Array:
+        return pa.array([surrogate(key, *x) for x in zip(kind.to_pylist(), value.to_pylist(), attempt.to_pylist())], pa.string())
 
     pending, done = entities, None
     for attempt in range(ATTEMPTS):
         # Compared without regard to case, as values are.
-        tried = cut(pending.withColumn("surrogate", make("kind", "value")).withColumn("plain", F.lower("surrogate")), "pii-tried")
+        tried = cut(pending.withColumn("surrogate", make("kind", "value", F.lit(attempt))).withColumn("plain", F.lower("surrogate")), "pii-tried")
         real = entities.select("kind", F.lower("value").alias("plain"))
         free = tried.join(real, ["kind", "plain"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "plain"), ["kind", "plain"], "left_anti")
         won = free.groupBy("kind", "plain").agg(F.min("value").alias("value"), F.min_by("surrogate", "value").alias("surrogate"))
         won = cut(won.select("kind", "value", "surrogate", "plain"), "pii-won")
-        done = won if done is None else done.unionByName(won)
+        done = won if done is None else cut(done.unionByName(won), "pii-done")
         pending = cut(tried.join(won, ["kind", "value"], "left_anti").select("kind", "value"), "pii-pending")
         if pending.isEmpty():
             return done.drop("plain")
@@ -314,7 +317,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
         F.collect_list(F.struct("kind", "value", "surrogate")).alias("__known")), "pii-lists")
     some = rows.filter("__found > 0").withColumn("__digest", digest).join(lists, "__digest").withColumn(
         text, replaced(F.col(text), F.col("__known")))
-    names = [F.col(c) for c in docs.columns if c != "entities"] + [F.col("__found").alias("entities")]
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "entities"] + [F.col("__found").alias("entities")]
     return rows.filter("__found <= 0").select(*names).unionByName(some.select(*names))
 
 

@@ -214,6 +214,13 @@ def test_what_is_found():
     assert pii.find_mentions(CLEAN) == [] == pii.find_mentions(None) == pii.find_mentions("")
 
 
+def test_damaged_texts():
+    text = 'Call!! +1!! (386)!! 555-3733!! or### (212)%%% 555-0199### TOKEN!! =!! "0641917EA4E9FEB9CDA83477B57AC2654884F485"!! A.B@X.ORG!!'
+    found = [(k.split(":")[0], v) for _, _, k, v in pii.find_mentions(text)]
+    assert found == [("phone", "3865553733"), ("phone", "2125550199"), ("secret", "0641917EA4E9FEB9CDA83477B57AC2654884F485"),
+                     ("mailbox", "a.b"), ("domain", "x.org")]
+
+
 def test_surrogates_keep_type_and_format():
     for start, stop, kind, value in pii.find_mentions(LETTER):
         for attempt in (0, 1, 9):
