@@ -56,7 +56,7 @@ def bounded(pairs: DataFrame, k: int) -> DataFrame:
                         reach = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 2 * slack
                     else:
                         reach = np.full(len(q), -np.inf)
-                    who, what = np.nonzero(score >= reach[:, None])
+                    who, what = np.nonzero(~(score < reach[:, None]))  # what overflows stays in
                     near, room = score[who, what], slack[who]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(query_ids[at:at + QUERIES_AT_ONCE][who]), pa.array(ids[what]), pa.array(near - room),
