@@ -346,15 +346,42 @@ def ledger_diff(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFr
             .unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right"))))
 
 
+def with_people(trades: DataFrame, insiders: DataFrame, roles: DataFrame, scores: DataFrame) -> DataFrame:
+    """Trades (insider_id, company_id, ...) with the insider's name, role, tier and skill score."""
+    first_role = roles.groupBy("insider_id", "company_id").agg(F.min_by("role_title", "first_filing_date").alias("_role"))
+    return (trades.drop("role_title", "insider_name", "tier", "skill_score")
+            .join(insiders.select("insider_id", F.col("name").alias("insider_name")), "insider_id", "left")
+            .join(first_role, ["insider_id", "company_id"], "left")
+            .join(scores.select("insider_id", "tier", "skill_score"), "insider_id", "left")
+            .withColumn("role_title", F.coalesce("_role", F.lit(""))).drop("_role"))
+
+
+def _export(rows: DataFrame, path: str, fmt: str) -> None:
+    writer = rows.write.mode("overwrite")
+    (writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path))
+
+
 def export_trades(trades: DataFrame, path: str, fmt: str = "csv") -> None:
     """Trades as CSV or JSON files, newest exit first; JSON numbers are rounded."""
     ordered = trades if fmt == "csv" else rounded_trades(trades)
-    writer = ordered.orderBy(F.col("exit_date").desc(), "txn_id").write.mode("overwrite")
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path))
+    _export(ordered.orderBy(F.col("exit_date").desc(), "txn_id"), path, fmt)
 
 
 def rounded_trades(trades: DataFrame) -> DataFrame:
+    """The exported columns, rounded; those about people and size where the trades have them."""
     two = ["entry_price", "exit_price", "shares_held", "pnl"]
+    people = [c for c in ("company_name", "insider_name", "role_title", "tier") if c in trades.columns]
+    sizes = [F.round(c, 2).alias(c) for c in ("cost_basis", "position_pct", "skill_score") if c in trades.columns]
     return trades.select(
-        "txn_id", "ticker", "signal_type", "entry_date", "exit_date", *[F.round(c, 2).alias(c) for c in two],
+        "txn_id", "ticker", *people, "signal_type", "entry_date", "exit_date", *[F.round(c, 2).alias(c) for c in two], *sizes,
         F.round("pnl_pct", 4).alias("pnl_pct"), "hold_days", F.col("forced").alias("force_closed"))
+
+
+def export_curve(curve: DataFrame, path: str, fmt: str = "csv") -> None:
+    """The equity curve, one row per day in order of days."""
+    _export(curve.orderBy("date"), path, fmt)
+
+
+def export_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
+    """Metric rows per signal type and overall."""
+    _export(metrics.orderBy(F.col("signal_type").asc_nulls_first()), path, fmt)

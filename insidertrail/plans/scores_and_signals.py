@@ -321,7 +321,7 @@ def sell_alerts(t):
 
 def compute_sell_alerts(t):
     kind = F.when(F.col("sell_pct") >= 0.25, "large_sell").when(F.col("cluster_sell_unique") >= 8, "cluster_sell")
-    strategy = replace(G.cluster_buy(), evaluate_sell=kind, types=(
+    strategy = replace(live_strategy(), evaluate_sell=kind, types=(
         G.SignalType("large_sell", direction="sell"), G.SignalType("cluster_sell", direction="sell")))
     return G.sell_alerts(strategy, *_live(t))
 

@@ -139,17 +139,26 @@ def k03(t):
     return V.recent_trades(rows, "insider_id").select("insider_id", "txn_id", "transaction_date", "position")
 
 
+def all_alerts(t):
+    """Buy and sell alerts of people on common stock."""
+    return G.person_alerts(alerts(t).unionByName(sell_alerts(t)), t.transactions, t.insiders)
+
+
 def _week_query(name, day):
     @query(name, f"""
 SELECT transaction_id, alert_type, trade_date FROM (SELECT *, count(CASE WHEN trade_date >= DATE '{day}' - 7 THEN 1 END) OVER () AS week
-  FROM ox_alerts WHERE alert_type = 'cluster_buy' AND trade_date >= DATE '{day}' - 30)
+  FROM (SELECT transaction_id, alert_type, trade_date, conviction_score FROM ox_alerts WHERE alert_type = 'cluster_buy' UNION ALL
+        SELECT transaction_id, alert_type, trade_date, transaction_value / 100000 FROM ox_sell_alerts)
+  WHERE trade_date >= DATE '{day}' - 30)
 WHERE week = 0 OR trade_date >= DATE '{day}' - 7 ORDER BY conviction_score DESC, transaction_id LIMIT 25""")
     def run(t):
-        return V.this_week(alerts(t), kinds=BUY, as_of=_day(day)).select("transaction_id", "alert_type", "trade_date")
+        return V.this_week(all_alerts(t), kinds=BUY + SELLS, as_of=_day(day)).select(
+            "transaction_id", "alert_type", "trade_date")
 
 
 _week_query("k06_this_week", "2001-07-30")
 _week_query("k06_this_week_fallback", "2001-08-20")
+_week_query("k06_week_with_sells", "1998-06-30")
 
 
 @query("w10_conviction_labels", """
@@ -200,8 +209,7 @@ SELECT transaction_id, insider_id, alert_type, trade_date FROM ox_sell_alerts
 WHERE trade_date BETWEEN DATE '1998-06-30' - 30 AND DATE '9999-12-31' ORDER BY trade_date DESC, transaction_id LIMIT 15""")
 def v04(t):
     """Newest sell alerts of people on common stock within 30 days."""
-    shown = G.person_alerts(alerts(t).unionByName(sell_alerts(t)), t.transactions, t.insiders)
-    return V.sell_warnings(shown, kinds=SELLS, as_of=_day("1998-06-30")).select(
+    return V.sell_warnings(all_alerts(t), kinds=SELLS, as_of=_day("1998-06-30")).select(
         "transaction_id", "insider_id", "alert_type", "trade_date")
 
 

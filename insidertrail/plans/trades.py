@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from insidertrail.params import SIGNALS
 from insidertrail.operators import events as E, ledger as L, prices as P, signals as G
-from insidertrail.plans.helpers import flagged, rounded
+from insidertrail.plans.helpers import flagged, rounded, scores
 from insidertrail.plans.registry import query
+from insidertrail.session import shared_folder
 
 CASH = 1_000_000.0
 
@@ -235,18 +236,45 @@ def b15(t):
     return L.ledger_diff(left, right, left.columns).select(F.col("txn_id").cast("bigint"), "only_in")
 
 
+def _export_path(t, name):
+    return f"{shared_folder(t.spark)}/insidertrail/{t.spark.sparkContext.applicationId}/{name}"
+
+
 @query("s19_trade_export", """
-SELECT txn_id, ticker, 'cluster_buy' AS signal_type, entry_date, exit_date, round(entry_price, 2) AS entry_price,
-  round(exit_price, 2) AS exit_price, round(shares_held, 2) AS shares_held, round(pnl, 2) AS pnl,
-  round(pnl_pct, 4) AS pnl_pct, CAST(hold_days AS INT) AS hold_days, forced AS force_closed FROM ox_first_trades""")
+SELECT f.txn_id, f.ticker, i.name AS insider_name, coalesce(r.role_title, '') AS role_title, s.tier, 'cluster_buy' AS signal_type,
+  f.entry_date, f.exit_date, round(f.entry_price, 2) AS entry_price, round(f.exit_price, 2) AS exit_price,
+  round(f.shares_held, 2) AS shares_held, round(f.pnl, 2) AS pnl, 500.0::DOUBLE AS cost_basis, round(s.skill_score, 2) AS skill_score,
+  round(f.pnl_pct, 4) AS pnl_pct, CAST(f.hold_days AS INT) AS hold_days, f.forced AS force_closed
+FROM ox_first_trades f JOIN fx_insiders i ON i.insider_id = f.insider_id
+LEFT JOIN fx_roles r ON r.insider_id = f.insider_id AND r.company_id = f.company_id
+LEFT JOIN ox_scores s ON s.insider_id = f.insider_id""")
 def s19(t):
     """Trades written as JSON files in the shared folder and read back."""
-    from insidertrail.session import shared_folder
+    trades = L.with_people(first_trades(t), t.insiders, t.roles, scores(t))
+    L.export_trades(trades, _export_path(t, "trade_export"), fmt="json")
+    return t.spark.read.schema(L.rounded_trades(trades).schema).json(_export_path(t, "trade_export"))
+
 
-    path = f"{shared_folder(t.spark)}/insidertrail/{t.spark.sparkContext.applicationId}/trade_export"
-    trades = first_trades(t)
-    L.export_trades(trades, path, fmt="json")
-    return t.spark.read.schema(L.rounded_trades(trades).schema).json(path)
+@query("s19_curve_export", f"SELECT date, {_CURVE_OUT} FROM ox_curve")
+def s19_curve(t):
+    """The equity curve written as CSV files and read back."""
+    columns = ["date", "cash", "market_value", "portfolio_value", "benchmark_value", "pct_invested", "num_positions"]
+    days = curve(t).select(*columns)
+    L.export_curve(days, _export_path(t, "curve_export"))
+    out = t.spark.read.schema(days.schema).option("header", True).csv(_export_path(t, "curve_export"))
+    out = rounded(out, "cash", "market_value", "portfolio_value", "benchmark_value", digits=4)
+    return rounded(out, "pct_invested").withColumn("num_positions", F.col("num_positions").cast("bigint"))
+
+
+@query("s19_metrics_export", """
+SELECT signal_type, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS wins, round(sum(pnl), 4) AS total_pnl
+FROM (SELECT *, 'cluster_buy' AS signal_type FROM ox_first_trades) GROUP BY ROLLUP (signal_type)""")
+def s19_metrics(t):
+    """Trade metrics written as JSON files and read back."""
+    metrics = L.trade_metrics(first_trades(t))
+    L.export_metrics(metrics, _export_path(t, "metrics_export"))
+    out = t.spark.read.schema(metrics.schema).json(_export_path(t, "metrics_export"))
+    return rounded(out.select("signal_type", "total_trades", "wins", "total_pnl"), "total_pnl", digits=4)
 
 
 @query("k04_best_and_worst", """
