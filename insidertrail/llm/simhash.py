@@ -172,10 +172,16 @@ def linked_fingerprints(rows: DataFrame, threshold: int) -> DataFrame:
     visits all anchors within covering radius plus threshold.  A fingerprint within the threshold of another
     can be no farther from the other's home, so each pair meets where its smaller member is at home.
     A fingerprint has a bounded number of others so near, so links stay in proportion to fingerprints.
+    Fingerprints one bit apart have different parity: for threshold 1 the odd ones stay at home and only the
+    even ones visit.
     """
-    home = anchored(rows, 0).select("anchor", "tag", F.col("fp").alias("home_fp"), F.col("id").alias("a"))
-    visits = anchored(rows, threshold).select("anchor", "tag", "fp", F.col("id").alias("b"))
+    at_home = visiting = rows
     near = (F.col("home_fp") < F.col("fp")) & (F.bit_count(F.col("home_fp").bitwiseXOR(F.col("fp"))) <= threshold)
+    if threshold == 1:
+        at_home, visiting = (rows.filter(F.bit_count("fp") % 2 == parity) for parity in (1, 0))
+        near = F.bit_count(F.col("home_fp").bitwiseXOR(F.col("fp"))) == 1
+    home = anchored(at_home, 0).select("anchor", "tag", F.col("fp").alias("home_fp"), F.col("id").alias("a"))
+    visits = anchored(visiting, threshold).select("anchor", "tag", "fp", F.col("id").alias("b"))
     return visits.join(home.hint("shuffle_hash"), ["anchor", "tag"]).filter(near).select("a", "b")
 
 
