@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import cache
 from itertools import combinations, repeat
 
@@ -21,9 +22,11 @@ SEED = 42
 # every word lies within 3 bits of exactly one codeword.
 GOLAY_BITS, GOLAY_CHECKS, GOLAY_POLYNOMIAL, GOLAY_RADIUS = 23, 11, 0b101011100011, 3
 HASHES_AT_ONCE = 255  # so that counts of bits fit a byte
-# Similar documents: tables of 46-bit fingerprints of the distinct words, compared within one bit, propose pairs; a
-# fingerprint of 1,024 bits of the five-word shingles decides.
-TABLES, TABLE_BITS, TABLE_THRESHOLD, LONG_WORDS = 16, 2 * GOLAY_BITS, 1, 16
+# Similar documents: shingles that repeat in one document of so many tell which are frequent, at most so many of them.
+SAMPLE, FREQUENT = 16, 500_000
+FILTER_BITS = 26  # of the filter of texts that take part in a pair; it may let others pass
+ROWS_AT_ONCE = 1000
+PARITIES = 1024  # bits that tell the parity of the shingles of a set that fall on each
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
@@ -71,30 +74,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long")
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, long, tables): the long fingerprint of the shingles and the table fingerprints of the distinct words."""
-    mask = np.uint64((1 << TABLE_BITS) - 1)
-
-    def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = words_of(text)
-        if not words:
-            return np.zeros(LONG_WORDS, "<u8"), np.zeros(TABLES, "<u8")
-        distinct = set(words)
-        return (majority(shingle_hashes(words, width), max(1, len(words) - width + 1), LONG_WORDS),
-                majority(shingle_hashes(sorted(distinct), 1), len(distinct), TABLES) & mask)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [sketch(t.as_py()) for t in batch.column(1)]
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([b[i] for b in both]).view("<i8")), n).cast(
-                pa.list_(pa.int64())) for i, n in enumerate((LONG_WORDS, TABLES))] if both else [
-                pa.array([], pa.list_(pa.int64()))] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "long", "tables"])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, long array<long>, tables array<long>")
-
-
 @cache
 def _reach(most: int):
     """Per syndrome, the error patterns of at most ``most`` bits with their weights: (starts, patterns, weights)."""
@@ -208,36 +187,140 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(labels.select("fp", "component_id"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def farthest(similarity: float, bits: int = 64 * LONG_WORDS) -> int:
-    """Bits in which the long fingerprints of documents of that Jaccard similarity differ, and one deviation more."""
-    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * apart + np.sqrt(bits * apart * (1 - apart))))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct digests of the text's word shingles, ascending; none for null texts and texts without words."""
+    words = words_of(text)
+    return np.unique(np.fromiter(shingle_hashes(words, width), "<u8")) if words else np.zeros(0, "<u8")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view("<i8")))
+
+
+def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: np.ndarray | None = None) -> DataFrame:
+    """``docs`` (key, text, digest) with ``columns``: those of ``first``, a function of a list of shingle sets to arrays.
+
+    ``passing`` are words of bits; rows whose digest has no bit set there are left out before they are read.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if passing is not None:
+                at = batch.column(2).to_numpy(zero_copy_only=False).view("<u8") & np.uint64((1 << FILTER_BITS) - 1)
+                batch = batch.filter(pa.array((passing[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                sets = [shingle_set(t.as_py(), width) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *first(sets)], names)
+
+    names = ["key", "digest"] + [c.split()[0] for c in columns.split(", ")]
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, digest long, {columns}")
+
+
+def _ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "<u8").view("<i8"))
+
+
+def _parities(sets: list[np.ndarray]) -> pa.Array:
+    return _lists([np.packbits((np.bincount((s % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view("<u8") for s in sets])
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles most often met in one document of ``SAMPLE``, ascending, with their counts.
+
+    They only decide which shingles of a document come last; any choice finds the same pairs.
+    """
+    some = shingle_sets(docs.filter(F.pmod("digest", F.lit(SAMPLE)) == 0), width, lambda sets: [_lists(sets)], "shingles array<long>")
+    counts = (some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+              .filter("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow())
+    found, n = (counts.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(found.view("<u8"))
+    return found.view("<u8")[order], n[order]
+
+
+def candidate_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b), once each: every pair of ``nodes`` (id, size, first, parities) of Jaccard similarity ``share`` or more, and some others.
+
+    ``first`` are the first shingles of a node in one order for all.  Similar sets share one of them: of the
+    larger set, among as many as it could miss of the smallest similar one; of the smaller, among as many
+    as it could miss of one of its own size.  Of the shared shingles the first one stands so early in both
+    that enough can follow, and sizes lie within ``share`` of each other; other meetings are left out, as are
+    pairs whose parities tell that they differ in too many shingles.
+    """
+    num, den = share.numerator, share.denominator
+    rows = nodes.select("id", "size", F.posexplode("first").alias("at", "shingle"))
+    misses = F.col("size") - F.ceil(2 * num * F.col("size") / F.lit(num + den) - F.lit(1e-9))
+    large = rows.select("shingle", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    small = rows.filter(F.col("at") <= misses).select("shingle", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    sizes = F.col("size_a") + F.col("size_b")
+    near = ((F.struct("size_b", "b") < F.struct("size_a", "a")) & (den * F.col("size_b") >= num * F.col("size_a"))
+            & ((num + den) * F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= num * sizes))
+    pairs = large.join(small.hint("shuffle_hash"), "shingle").filter(near).select("a", "b").distinct()
+    # Sets differ in at least as many shingles as their parities do in bits.
+    one, other = (nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"bits_{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(one, "a").join(other, "b").filter((num + den) * apart <= (den - num) * sizes).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``share`` or more.
+
+    Only texts of these pairs are read into sets: their digests set bits of a filter of fixed size.
+    """
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    low = F.col("digest").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = (nodes.join(wanted, "id").groupBy(F.shiftright(low, 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(digest & 63 as int))")).alias("bits")).toArrow())
+    passing = np.zeros(1 << FILTER_BITS - 6, "<u8")
+    passing[words.column("word").to_numpy()] = words.column("bits").to_numpy().view("<u8")
+    sets = shingle_sets(docs, width, lambda sets: [_ids(sets), _lists(sets)], "id long, shingles array<long>", passing)
+    sets = cut(sets.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
+    one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - both
+    return (pairs.join(one, "a").join(other, "b")
+            .filter(share.denominator * both >= share.numerator * either).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                       similarity: float = 0.8) -> DataFrame:
     """One row per document: key and component_id, the smallest key reachable over links of similar documents.
 
-    A single 64-bit fingerprint tells documents of similarity 0.8 (over five-word shingles) about ten bits
-    apart, too far for any covering code.  So ``TABLES`` fingerprints of the distinct words, which a few edits
-    hardly move, are compared at anchors, each within ``TABLE_THRESHOLD`` bits: in one of them similar documents come
-    near with high probability.  The long fingerprints of the shingles then decide on each proposed pair.
-    Documents with equal long fingerprints are one node.  In a table, nodes with one fingerprint are held
-    against the smallest of them and different fingerprints by that one, so a large group is never paired.
+    Documents link when the sets of their ``width``-word shingles have a Jaccard similarity of at least
+    ``similarity``; every such pair is found.  A single 64-bit fingerprint tells such documents about ten bits
+    apart, too far for any covering code, so pairs meet at their rarest shingles (``candidate_pairs``) and the sets
+    decide.  Documents with equal sets are one node, whose id is the digest of the set.  Where pairs are many,
+    each node is first held against one other; of the rest only pairs that this has not joined are looked at.
     Null texts and texts without words are one group; keys and repeated rows as in ``near_duplicates``.
     """
-    marked = cut(sketches(docs, key, text, width), "simhash-sketches")
-    nodes = marked.groupBy("long").agg(F.min("key").alias("least"), F.min("tables").alias("tables"))
-    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
-    rows = nodes.select("id", F.posexplode("tables").alias("tag", "fp"))
-    firsts = cut(rows.groupBy("tag", "fp").agg(F.min("id").alias("id")), "simhash-firsts")
-    stars = rows.join(firsts.withColumnRenamed("id", "a"), ["tag", "fp"]).filter("a <> id").select("a", F.col("id").alias("b"))
-    pairs = stars.unionByName(linked_fingerprints(firsts, TABLE_THRESHOLD)).distinct()
-    one, other = (nodes.select(F.col("id").alias(c), F.col("long").alias(f"long_{c}")) for c in "ab")
-    differing = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    edges = pairs.join(one, "a").join(other, "b").filter(differing <= farthest(similarity)).select("a", "b")
-    labels = labelled(nodes.select("id", "least", "long"), edges)
-    return marked.join(labels, "long").select(F.col("key").alias(key), "component_id")
+    share = Fraction(str(similarity))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    common, counts = frequent_shingles(rows, width)
+
+    def first(sets: list[np.ndarray]) -> list[pa.Array]:
+        lists = []
+        for s in sets:
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+            lists.append(s[:len(s) + 1 - -(-share.numerator * len(s) // share.denominator)] if len(s) else s)
+        return [_ids(sets), pa.array([len(s) for s in sets], pa.int32()), _lists(lists), _parities(sets)]
+
+    marked = cut(shingle_sets(rows, width, first, "id long, size int, first array<long>, parities array<long>"), "simhash-marked")
+    nodes = cut(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("digest").alias("digest"), *[
+        F.any_value(c).alias(c) for c in ("size", "first", "parities")]), "simhash-nodes")
+    pairs = cut(candidate_pairs(nodes, share), "simhash-pairs")
+    stars, edges = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")), None
+    if pairs.count() > 4 * stars.count():
+        edges = cut(similar_pairs(stars, rows, nodes, width, share), "simhash-stars")
+        group = cut(connected_components(edges), "simhash-groups")
+        for c in "ab":
+            pairs = pairs.join(group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        pairs = cut(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "simhash-rest")
+    rest = similar_pairs(pairs, rows, nodes, width, share)
+    edges = rest if edges is None else edges.unionByName(rest)
+    labels = labelled(nodes.select("id", "least"), edges)
+    return marked.select("key", "id").join(labels, "id").select(F.col("key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:

@@ -184,6 +184,70 @@ def test_similar_documents_find_edited_copies_and_leave_others(spark):
     assert all(groups[i] == groups[c] for i, c in got.items())
 
 
+def brute_groups(texts, similarity=0.8):
+    """The smallest row of each row's group: linked at that similarity, transitively."""
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(texts[a], texts[b]) >= similarity and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in range(len(texts))}
+
+
+def similar_groups(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+
+
+def test_appended_cut_and_replaced_passages_are_found(spark):
+    texts = []
+    for g in range(24):
+        words = prose(700 + g, 200).split()
+        new, at = prose(900 + g, 45).split(), 20 + 5 * g
+        texts += [" ".join(w) for w in (words, words + new[:40], words[:at] + words[at + 30:], words[:at] + new[:16] + words[at + 16:],
+                                        words + new + new)]
+    alike = [jaccard(texts[i - i % 5], texts[i]) >= 0.8 for i in range(len(texts))]
+    assert alike == [True, True, True, True, False] * 24
+    assert similar_groups(spark, texts) == brute_groups(texts)
+
+
+def test_texts_of_one_vocabulary_are_held_against_each_other(spark):
+    # Every text has the same distinct words; one in three is a near copy, the others share no shingle with it.
+    texts = []
+    for g in range(20):
+        words = random.Random(g).sample(WORDS * 12, 12 * len(WORDS))
+        texts += [" ".join(words), " ".join(words[:100] + words[104:]), " ".join(random.Random(500 + g).sample(WORDS * 12, 12 * len(WORDS)))]
+    want = brute_groups(texts)
+    assert len({frozenset(t.split()) for t in texts}) == 1 and len(set(want.values())) == 40
+    assert similar_groups(spark, texts) == want
+
+
+def test_the_exact_similarity_decides(spark):
+    texts = []
+    for g in range(12):
+        words = prose(300 + g, 104).split()  # 100 shingles
+        long = prose(400 + g, 24).split()
+        texts += [" ".join(words), " ".join(words + long[:24]), " ".join(words[:94])]
+        # One word of a short text; a passage that comes again and again.
+        short = prose(200 + g, 16).split()
+        texts += [" ".join(short), " ".join(short[:-1] + ["other"]), " ".join(short[:-3] + ["other"] + short[-2:])]
+        again = prose(600 + g, 30).split() * 30
+        texts += [" ".join(words + again), " ".join(words[:52] + again), " ".join(again + prose(800 + g, 40).split())]
+    # 80 shared of 100: a link; 79 of 100: none.
+    edge = prose(77, 104).split()
+    texts += [" ".join(edge), " ".join(edge[:84]), " ".join(prose(78, 104).split()), " ".join(prose(78, 104).split()[:83])]
+    want = brute_groups(texts)
+    n = len(texts)
+    assert want[n - 3] == n - 4 and want[n - 1] == n - 1
+    assert similar_groups(spark, texts) == want
+
+
 def test_one_of_each_group_stays(docs, no_docs):
     kept = simhash.keep_one(docs, find=simhash.similar_documents)
     assert kept.columns == docs.columns
