@@ -7,6 +7,7 @@ import hmac
 import re
 import string
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from insidertrail.llm.common import cut, table
 
 KEY = "surrogates-1"
-ATTEMPTS = 64
 LENGTHEN_EVERY = 8
 
 # Forms of address with the gender they tell ("" where they tell none).
@@ -66,7 +66,7 @@ NUMBER = re.compile(
     r"|(?P<card>\d{4}(?:[ -]?\d{4}){2}(?:[ -]?\d{1,7})|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w))")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
-SECRET = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api_?key)[^\w\s]*\s*[=:][^\w\s]*\s*["']?([0-9a-z_+/-]{8,})(?![\w+/-])""")
+SECRET = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api_?key)[^\w\s]*\s*[=:][^\w\s]*\s*["']?((?=[_+/-]*[0-9a-z])[0-9a-z_+/-]{8,})(?![\w+/-])""")
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 ADDRESSED = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESSES, key=len, reverse=True))})\.? ({_NAME})(?: ({_NAME}))?(?: ({_NAME}))?")
 GENDERS = {name: gender for (_, gender), names in GIVEN_NAMES.items() for name in names}
@@ -180,15 +180,24 @@ def _alike(stream: Stream, value: str) -> str:
                    else stream.pick(small) if c.isalpha() else c for c in value)
 
 
+def _more(stream: Stream, n: int) -> str:
+    return "".join(stream.pick(string.digits) for _ in range(n))
+
+
 def _octet(stream: Stream, octet: str, first: bool) -> str:
     low, high = {1: (1 if first else 0, 9), 2: (11, 99), 3: (128, 191) if first else (100, 255)}[len(octet)]
     return str(low + stream.below(high - low + 1))
 
 
 def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
-    """A replacement in the value's own type and format; each attempt gives another."""
+    """A replacement in the value's own type and format; each attempt gives another.
+
+    Later attempts draw from more and more values, so that no kind runs out of them: names and mailboxes grow
+    first; addresses take octets of any length, then any class, then more octets; numbers and secrets get digits.
+    """
     stream = Stream(key, kind, value, attempt)
     longer = attempt // LENGTHEN_EVERY
+    extra = max(0, longer - 1)
     name, _, detail = kind.partition(":")
     if name == "given":
         script, gender = detail.split(":")
@@ -209,29 +218,34 @@ def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
         octets = value.split(".")
         kept = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or (
             octets[0] == "172" and 16 <= int(octets[1]) <= 31) else 0
-        return ".".join(x if i < kept else _octet(stream, x, i == 0) for i, x in enumerate(octets))
+        if longer > 2:
+            return ".".join(str(stream.below(256)) for _ in range(max(4, longer - 2)))
+        lengths = [stream.pick(("0", "00", "000")) if longer else x for x in octets]
+        return ".".join(x if i < kept else _octet(stream, lengths[i], i == 0) for i, x in enumerate(octets))
     if name == "ssn":
-        return f"9{_alike(stream, value[1:])}"  # no number beginning with 9 is ever given out
+        return f"9{_alike(stream, value[1:])}" + _more(stream, extra)  # no number beginning with 9 is ever given out
     if name == "phone":
         if len(value) == 10 and value[3:6] == "555":  # the exchange kept for made-up numbers stays
-            return stream.pick("23456789") + _alike(stream, value[1:3]) + "555" + _alike(stream, value[6:])
+            return stream.pick("23456789") + _alike(stream, value[1:3]) + "555" + _alike(stream, value[6:]) + _more(stream, extra)
         start = value[:-7] if len(value) > 10 else ""
         return start + (stream.pick("23456789") if value[len(start)] > "1" else value[len(start)]) + _alike(
-            stream, value[len(start) + 1:])
+            stream, value[len(start) + 1:]) + _more(stream, extra)
     if name == "card":
-        digits = value[0] + _alike(stream, value[1:-1]) + "0"
+        digits = value[0] + _alike(stream, value[1:-1]) + _more(stream, extra) + "0"
         return digits[:-1] + str(-luhn_rest(digits) % 10)
     if name == "iban":
-        body = value[:2] + "00" + _alike(stream, value[4:])
+        body = value[:2] + "00" + _alike(stream, value[4:]) + _more(stream, extra)
         return f"{body[:2]}{98 - iban_rest(body):02d}{body[4:]}"
-    return _alike(stream, value)
+    return _alike(stream, value) + _more(stream, extra)
 
 
 def written_like(kind: str, original: str, new: str) -> str:
-    """``new`` in the layout of the mention: its separators, its capitals."""
+    """``new`` in the layout of the mention: its separators, its capitals; what is longer stands at the end."""
     name = kind.partition(":")[0]
     if name in ("phone", "card", "ssn", "iban"):
-        out, rest = [], list(new)
+        own = "".join(c for c in original if c.isalnum())
+        size = len(own) - (name == "phone" and len(own) == 11 and own[0] == "1")
+        out, rest = [new[size:]], list(new[:size])
         for c in reversed(original):
             out.append(rest.pop() if c.isalnum() and rest else c)
         return "".join(reversed(out))
@@ -275,7 +289,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     A surrogate is refused when it is a value of its kind in the data or another value holds it; of
     several that want the same one the smallest value gets it.  The refused try again with the next keyed
-    attempt.  The outcome depends on the set of entities and the key alone.
+    attempt, which draws from more values, until none is left.  The outcome depends on the set of entities and the key alone.
     """
     entities = cut(entities, "pii-entities")
 
@@ -284,7 +298,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         return pa.array([surrogate(key, *x) for x in zip(kind.to_pylist(), value.to_pylist(), attempt.to_pylist())], pa.string())
 
     pending, done = entities, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         # Compared without regard to case, as values are.
         tried = cut(pending.withColumn("surrogate", make("kind", "value", F.lit(attempt))).withColumn("plain", F.lower("surrogate")), "pii-tried")
         real = entities.select("kind", F.lower("value").alias("plain"))
@@ -297,7 +311,6 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = cut(tried.join(won, ["kind", "value"], "left_anti").select("kind", "value"), "pii-pending")
         if pending.isEmpty():
             return done.drop("plain")
-    raise ValueError(f"no free surrogates left after {ATTEMPTS} attempts")
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

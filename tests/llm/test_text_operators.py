@@ -330,6 +330,26 @@ def test_different_entities_stay_different(spark):
     assert len(set(shown)) == len(shown) and not set(shown) & {(k, v.lower()) for k, v in values}
 
 
+def test_blank_forms_are_no_secrets_and_full_formats_are_widened(spark):
+    assert pii.find_mentions("Password: ________ password: -------- Secret: ++++++++ token = __/--/__") == []
+    assert [v for *_, v in pii.find_mentions("password: --__abc1")] == ["--__abc1"]
+    values = [("ip", f"192.168.{i}.{j}") for i in range(10) for j in range(10)] + [("secret", f"_______{c}") for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.assign(spark.createDataFrame(values, "kind string, value string")).collect()
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(got) == len(new) == len(values) and not new & set(values)
+    assert all(s.startswith("192.168.") and all(int(x) <= 255 for x in s.split(".")) for k, s in new if k == "ip")
+
+
+def test_longer_surrogates_are_written_whole():
+    for text in ("123-45-6789", "+1 (212) 555-0199", "(212) 555-0199", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"):
+        (start, stop, kind, value), = pii.find_mentions(text)
+        new = pii.surrogate("k", kind, value, 40)
+        assert len(new) == len(value) + 4
+        shown = "".join(c for c in pii.written_like(kind, text[start:stop], new) if c.isalnum())
+        assert shown.endswith(new)
+    assert len({pii.surrogate("k", "ip", "192.168.0.1", a) for a in range(16, 64)}) == 48
+
+
 # --- quality ----------------------------------------------------------------
 
 
