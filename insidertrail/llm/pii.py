@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import string
+from bisect import bisect
 from collections.abc import Iterator
 from itertools import count
 
@@ -21,7 +22,7 @@ LENGTHEN_EVERY = 8
 # Forms of address with the gender they tell ("" where they tell none).
 ADDRESSES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f",
              "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sra": "f", "Don": "m", "Doña": "f",
-             "Господин": "m", "Госпожа": "f", "Кύριος": "m", "Κυρία": "f"}
+             "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 # Given names by script and gender.
 GIVEN_NAMES = {
     ("latin", "m"): "Adam Albert Andrew Anthony Benjamin Carlos Charles Christopher Daniel David Diego Edward Felix "
@@ -68,9 +69,13 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
 SECRET = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api_?key)[^\w\s]*\s*[=:][^\w\s]*\s*["']?((?=[_+/-]*[0-9a-z])[0-9a-z_+/-]{8,})(?![\w+/-])""")
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-ADDRESSED = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESSES, key=len, reverse=True))})\.? ({_NAME})(?: ({_NAME}))?(?: ({_NAME}))?")
-GENDERS = {name: gender for (_, gender), names in GIVEN_NAMES.items() for name in names}
-GIVEN = re.compile(rf"(?<!\w)({'|'.join(GENDERS)}) ({_NAME})")
+NAME = re.compile(rf"(?<!\w){_NAME}")
+POSSESSIVE = re.compile(r"['’][sS]$")
+# Each form also stands in capitals.
+ADDRESSES |= {a.upper(): gender for a, gender in ADDRESSES.items()}
+GENDERS = {form: gender for (_, gender), names in GIVEN_NAMES.items() for name in names for form in (name, name.upper())}
+ADDRESSED = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESSES, key=len, reverse=True))})(?=\.? ({_NAME})(?: ({_NAME}))?(?: ({_NAME}))?)")
+GIVEN = re.compile(rf"(?<!\w)({'|'.join(sorted(GENDERS, key=len, reverse=True))}) ({_NAME})")
 # Texts without a digit, or without a capitalised word that is known, need no closer look for numbers or names.
 DIGIT = re.compile(r"\d")
 CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я]\w+")
@@ -108,27 +113,62 @@ def _numbers(text: str) -> Iterator[Mention]:
             yield *m.span(), "card", digits
 
 
+def _in_capitals(word: str) -> bool:
+    return len(word) > 1 and word.isupper()
+
+
+def _name(text: str, start: int, stop: int, kind: str) -> Mention:
+    """The mention of a name, without the ending of a possessive."""
+    word = POSSESSIVE.sub("", text[start:stop])
+    return start, start + len(word), f"{kind}:{script_of(word)}", word.casefold()
+
+
 def _names(text: str) -> Iterator[Mention]:
+    """Names after a form of address or begun by a given name; a possessive ends a name."""
     for m in ADDRESSED.finditer(text):
-        words = [i for i in (2, 3, 4) if m.group(i) and m.group(i)[0].isupper()]
-        words = words[:next((n for n, i in enumerate((2, 3, 4)) if i not in words), 3)]
+        words = []
+        for i in (2, 3, 4):
+            word = m.group(i)
+            if not word or word in ADDRESSES or not word[0].isupper() or _in_capitals(m.group(1)) and not _in_capitals(word):
+                break
+            words.append(i)
+            if POSSESSIVE.search(word):
+                break
         gender = ADDRESSES[m.group(1)]
         for i in words:
-            word, last = m.group(i), i == words[-1]
-            if last:
-                yield *m.span(i), f"surname:{script_of(word)}", word.casefold()
+            if i == words[-1]:
+                yield _name(text, *m.span(i), "surname")
             else:
-                sex = GENDERS.get(word) or gender or "f"
-                yield *m.span(i), f"given:{script_of(word)}:{sex}", word.casefold()
+                start, stop, kind, value = _name(text, *m.span(i), "given")
+                yield start, stop, f"{kind}:{GENDERS.get(m.group(i)) or gender or 'f'}", value
     for m in GIVEN.finditer(text):
-        if m.group(2)[0].isupper():
-            word = m.group(1)
+        word, other = m.groups()
+        if other[0].isupper() and (not _in_capitals(word) or _in_capitals(other)):
             yield *m.span(1), f"given:{script_of(word)}:{GENDERS[word]}", word.casefold()
-            yield *m.span(2), f"surname:{script_of(m.group(2))}", m.group(2).casefold()
+            yield _name(text, *m.span(2), "surname")
+
+
+def _bare_names(text: str, names: list[Mention], taken: list[tuple[int, int]]) -> Iterator[Mention]:
+    """Mentions outside ``taken`` (in order) of single words of ``names``, those in capitals of any, others of names so written."""
+    kinds: dict[tuple[bool, str], tuple[str, str]] = {}
+    for start, stop, kind, value in names:
+        for capitals in {True, _in_capitals(text[start:stop])}:
+            kinds.setdefault((capitals, value), (kind, value))
+    for m in NAME.finditer(text):
+        word = POSSESSIVE.sub("", m.group())
+        found = kinds.get((_in_capitals(word), word.casefold())) if word[0].isupper() else None
+        if found:
+            start, stop = m.start(), m.start() + len(word)
+            at = bisect(taken, (start, stop))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= stop):
+                yield start, stop, *found
 
 
 def find_mentions(text: str | None) -> list[Mention]:
-    """Entities of a whole text in order; of overlapping finds the earlier kind in this list counts."""
+    """Entities of a whole text in order; of overlapping finds the earlier kind in this list counts.
+
+    The words of a name found once are its mentions wherever else they stand alone in the text.
+    """
     text = text or ""
     found: list[Mention] = []
     if "@" in text:
@@ -150,6 +190,9 @@ def find_mentions(text: str | None) -> list[Mention]:
         if all(mention[1] <= a or mention[0] >= b for a, b in taken):
             taken.append(mention[:2])
             out.append(mention)
+    names = sorted(m for m in out if m[2].startswith(("given:", "surname:")))
+    if names:
+        out += list(_bare_names(text, names, sorted(taken)))
     return sorted(out)
 
 
