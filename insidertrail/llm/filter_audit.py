@@ -153,12 +153,12 @@ def audit(counters: DataFrame, names: str) -> DataFrame:
     ``names`` holds a letter per bit of the mask.  Per part there are at most 2 to the number of filters masks, so the
     orders (factorial of that number) are worked out on one array of counts per part.
     """
-    def count(mask: int, which: Column) -> Column:
-        return F.coalesce(F.sum(F.when((F.col("mask") == mask) & which, F.col("n"))), F.lit(0)).cast("long")
+    def counts(which: str) -> Column:
+        each = (f"sum(if(mask = {m} and {which}, n, 0L))" for m in range(1 << len(names)))
+        return F.expr(f"array({', '.join(each)})")
 
-    masks = range(1 << len(names))
-    cells = counters.groupBy("part").agg(*[F.array(*[count(m, which) for m in masks]).alias(name) for name, which in (
-        ("total", F.lit(True)), ("of_good", F.col("good")), ("of_toxic", F.col("toxic")))])
+    cells = counters.groupBy("part").agg(
+        counts("true").alias("total"), counts("good").alias("of_good"), counts("toxic").alias("of_toxic"))
     bits = {c: 1 << i for i, c in enumerate(names)}
     steps = [("".join(order), i + 1, sum(bits[c] for c in order[:i]), bits[c])
              for order in permutations(names) for i, c in enumerate(order)]
@@ -167,21 +167,15 @@ def audit(counters: DataFrame, names: str) -> DataFrame:
                        "array<struct<o: string, s: int, b: int, f: int>>")
     rows = cells.withColumn("step", F.explode(plan)).select("*", "step.*")
 
-    def total(counts: str, keep) -> Column:
-        kept = F.transform(counts, lambda n, m: F.when(keep(m.cast("int")), n).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(kept, F.lit(0).cast("long"), lambda a, n: a + n)
+    def total(counts: str, keep: str) -> Column:
+        return F.expr(f"aggregate(transform({counts}, (n, m) -> if({keep}, n, 0L)), 0L, (a, n) -> a + n)")
 
-    before, own = F.col("b"), F.col("f")
-    earlier = lambda m: m.bitwiseAND(before) != 0
-    fails = lambda m: m.bitwiseAND(own) != 0
+    first = "m & f <> 0 and m & b = 0"  # fails here and nowhere before
     done = rows.select(
         "part", F.col("o").alias("filter_order"), F.col("s").alias("step"), "f",
-        total("total", lambda m: m.bitwiseAND(before.bitwiseOR(own)) == 0).alias("kept"),
-        total("total", lambda m: fails(m) & ~earlier(m)).alias("removed"),
-        total("total", lambda m: fails(m) & earlier(m)).alias("redundant"),
-        total("total", lambda m: m == own).alias("unique_fails"),
-        total("of_good", lambda m: fails(m) & ~earlier(m)).alias("good_lost"),
-        total("of_toxic", lambda m: fails(m) & ~earlier(m)).alias("toxic_lost"))
+        total("total", "m & (b | f) = 0").alias("kept"), total("total", first).alias("removed"),
+        total("total", "m & f <> 0 and m & b <> 0").alias("redundant"), total("total", "m = f").alias("unique_fails"),
+        total("of_good", first).alias("good_lost"), total("of_toxic", first).alias("toxic_lost"))
     return done.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "f"))).drop("f")
 
 

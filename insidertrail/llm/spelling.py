@@ -127,7 +127,7 @@ def _deletion_keys(words: DataFrame) -> DataFrame:
     return words.select("word", "id").mapInArrow(run, "key long, length int, at int, id string")
 
 
-def _long_pairs(words: DataFrame) -> DataFrame:
+def _long_pairs(words: DataFrame, trie_length: int) -> DataFrame:
     """(word, other): pairs of ``words`` one edit apart of which one is too long for the trie.
 
     Such words meet at equal digests of what one of them is without a letter: a replacement at the same
@@ -143,34 +143,34 @@ def _long_pairs(words: DataFrame) -> DataFrame:
                .join(whole.select("key", "length", F.col("id").alias("b")), ["key", "length"]).select("a", "b"))
     texts = [named.select(F.col("id").alias(c), F.col("word").alias(n)) for c, n in (("a", "word"), ("b", "other"))]
     return (replaced.unionByName(deleted).distinct().join(texts[0], "a").join(texts[1], "b").select("word", "other")
-            .filter(F.greatest(F.length("word"), F.length("other")) > TRIE_LENGTH)
+            .filter(F.greatest(F.length("word"), F.length("other")) > trie_length)
             .filter(F.levenshtein("word", "other", 1) == 1))
 
 
-def near_words(words: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def near_words(words: DataFrame, most: int = BROADCAST_ROWS, trie_length: int = TRIE_LENGTH) -> DataFrame:
     """(word, other), both ways and once each: the pairs of distinct ``words`` (word) exactly one edit apart.
 
-    An edit inserts, deletes or replaces one code point.  A level of the trie with at most ``most`` edges is broadcast.
+    An edit inserts, deletes or replaces one code point.  A level of the trie with at most ``most`` edges is broadcast;
+    pairs with a word of more than ``trie_length`` (at most 62) code points are found without the trie.
     """
     words = words.select("word").filter("word <> ''")
-    short = words.filter(F.length("word") <= TRIE_LENGTH)
-    found = _trie_pairs(short, most)
-    long = words.filter(F.length("word") >= TRIE_LENGTH)
-    if not long.filter(F.length("word") > TRIE_LENGTH).isEmpty():
-        found = found.unionByName(_long_pairs(long))
+    found = _trie_pairs(words.filter(F.length("word") <= trie_length), most)
+    long = words.filter(F.length("word") >= trie_length)
+    if not long.filter(F.length("word") > trie_length).isEmpty():
+        found = found.unionByName(_long_pairs(long, trie_length))
     both = F.explode(F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"))))
     return found.select(both.alias("pair")).select("pair.*").distinct()
 
 
-def variants(counts: DataFrame, ratio: int = RATIO, most: int = BROADCAST_ROWS) -> DataFrame:
+def variants(counts: DataFrame, ratio: int = RATIO, **options) -> DataFrame:
     """(word, n, n_near, form, form_n, root): one row per word of ``counts`` (word, n; a word once).
 
     A word's form is its near word of largest n, of equal ones the smallest in code-point order, if that n is at
     least ``ratio`` (over 1) times its own.  ``root`` follows forms to the last.  Counts at least double from form to
-    form, so chains are short; they are followed by doubling, each round a join by word.
+    form, so chains are short; they are followed by doubling, each round a join by word.  ``options`` are those of ``near_words``.
     """
     counts = cut(counts, "spelling-words")
-    pairs = near_words(counts, most)
+    pairs = near_words(counts, **options)
     best = (pairs.join(counts.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
             .groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("other_n"), "other")).alias("best")))
     larger = -F.col("best.col1") >= ratio * F.col("n")
