@@ -24,11 +24,11 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insidertrail.llm.common import table
+from insidertrail.llm.common import release_memory, released, table
 
 MARK = "▁"
-BLOCK_BYTES = 16 << 20
-TOKENS_AT_ONCE = 1 << 20
+BLOCK_BYTES = 8 << 20
+TOKENS_AT_ONCE = 1 << 18
 MODEL_FILE = "piece_bpe_32k.model"
 
 
@@ -141,7 +141,7 @@ def _chunk_lists(rows: DataFrame, parts: int) -> DataFrame:
                     [pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(words, pa.binary())],
                     ["block", "part", "words"])
 
-    return rows.mapInArrow(run, "block string, part int, words binary")
+    return rows.mapInArrow(released(run), "block string, part int, words binary")
 
 
 def _segmented(lists: DataFrame, model: bytes) -> DataFrame:
@@ -160,18 +160,21 @@ def _segmented(lists: DataFrame, model: bytes) -> DataFrame:
                      pa.array([_pack(np.array([len(i) for i in ids]))], pa.binary()),
                      pa.array([_pack(np.concatenate(ids))], pa.binary())], ["block", "part", "lengths", "ids"])
 
-    return lists.mapInArrow(run, "block string, part int, lengths binary, ids binary")
+    return lists.mapInArrow(released(run), "block string, part int, lengths binary, ids binary")
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", decoded: bool = False,
+           digests: bool = False) -> DataFrame:
     """(key, ids): the ids of every whole text, as ``SentencePieceProcessor.encode`` gives them.
 
-    With ``decoded`` also ``decoded``, the text that the library's ``decode`` makes of these ids.
+    With ``decoded`` also ``decoded``, the text that the library's ``decode`` makes of these ids.  With ``digests``
+    the number of ids and the digests of ids and decoded text stand for both, so that only these leave the worker.
 
     Neither begin nor end ids, no sampling.  Null and empty texts have no ids.  Repeated rows and null keys
     give a row each; an empty table gives none.  A literal white-space mark in a text counts as a space, as
     in the library.  ``docs`` is read twice and must give the same rows both times; otherwise the
-    blocks of the two readings do not match and the job fails.
+    blocks of the two readings do not match and the job fails.  A task keeps the distinct chunks of its part, so
+    ``spark.sql.shuffle.partitions`` has to follow the size of the data, as for any shuffle.
     """
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,20 +192,30 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
                      pa.array([_pack(codes)], pa.binary()), pa.array([_pack(part)], pa.binary())],
                     ["block", "keys", "lengths", "codes", "part"])
 
-    coded = rows.mapInArrow(code, f"block string, keys array<{kind.simpleString()}>, lengths binary, codes binary, part binary")
+    coded = rows.mapInArrow(released(code), f"block string, keys array<{kind.simpleString()}>, lengths binary, codes binary, part binary")
+
+    if digests:
+        columns = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    else:
+        columns = [("ids", pa.list_(pa.int32()), "array<int>")] + [("decoded", pa.string(), "string")] * decoded
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = {p: (n, i) for p, n, i in zip(*(right.column(c).to_pylist() for c in ("part", "lengths", "ids")))}
         key_type = left.schema.field("keys").type.value_type
-        fields = [("key", key_type), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decoded
+        schema = pa.schema([("key", key_type)] + [(name, kind) for name, kind, _ in columns])
         sp, batches = _processor(model), []
         for row in left.to_pylist():
             for keys, ids in _ids_of_block(row, by_part):
-                columns = [pa.array(keys, key_type), ids] + [_decoded(sp, ids)] * decoded
-                batches.append(pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)))
-        return pa.Table.from_batches(batches, pa.schema(fields))
-
-    schema = f"key {kind.simpleString()}, ids array<int>" + ", decoded string" * decoded
+                if digests:
+                    values = _digests(sp, ids)
+                else:
+                    values = [ids] + [_decoded(sp, ids)] * decoded
+                batches.append(pa.RecordBatch.from_arrays([pa.array(keys, key_type), *values], schema=schema))
+        out = pa.Table.from_batches(batches, schema)
+        release_memory()
+        return out
+
+    schema = f"key {kind.simpleString()}, " + ", ".join(f"{name} {sql}" for name, _, sql in columns)
     return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, schema).withColumnRenamed("key", key)
 
 
@@ -241,6 +254,22 @@ def _decoded(sp: sentencepiece.SentencePieceProcessor, lists: pa.ListArray) -> p
                     pa.string())
 
 
+@cache
+def _decimals(pieces: int) -> list[str]:
+    return [str(i) for i in range(pieces)]
+
+
+def _digests(sp: sentencepiece.SentencePieceProcessor, lists: pa.ListArray) -> list[pa.Array]:
+    """Numbers of ids, digests of the decimal ids joined by commas, digests of the decoded texts."""
+    names, counts, listed, texts = _decimals(sp.get_piece_size()), [], [], []
+    for x in lists:
+        ids = x.values.to_numpy().tolist()
+        counts.append(len(ids))
+        listed.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+        texts.append(hashlib.sha256((sp.decode(ids) if ids else "").encode()).hexdigest())
+    return [pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(texts, pa.string())]
+
+
 def decode(ids: Column, model: bytes) -> Column:
     """The text of each list of ids, as ``SentencePieceProcessor.decode`` gives it; null stays null."""
     return F.arrow_udf(lambda lists: _decoded(_processor(model), lists), "string")(ids)
@@ -255,7 +284,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     model = load_model(path or public_tokenizers.path(MODEL_FILE))
-    done = encode(docs, model, decoded=True)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, model, digests=True)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insidertrail.llm.common import cut, table
+from insidertrail.llm.common import cut, release_memory, table
 
 KEY = "surrogates-1"
 LENGTHEN_EVERY = 8
@@ -303,6 +303,7 @@ def mentions(text: Column) -> Column:
     @F.arrow_udf("array<struct<kind: string, value: string>>")
     def run(texts: pa.Array) -> pa.Array:
         found = [sorted({m[2:] for m in find_mentions(t.as_py())}) for t in texts]
+        release_memory()
         return pa.array([[{"kind": k, "value": v} for k, v in f] for f in found],
                         pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
@@ -322,6 +323,7 @@ def replaced(text: Column, known: Column) -> Column:
                 parts += [t[at:start], written_like(kind, t[start:stop], new[kind, value])]
                 at = stop
             out.append(None if t is None else "".join(parts) + t[at:])
+        release_memory()
         return pa.array(out, pa.string())
 
     return run(text, known)
@@ -356,24 +358,25 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
             return done.drop("plain")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs``, all columns and rows, with the entities of ``text`` replaced, and ``entities``, their number.
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, number: str | None = "entities") -> DataFrame:
+    """``docs``, all columns and rows, with the entities of ``text`` replaced, and ``number``, how many there were.
 
     One entity has one surrogate in all documents, in the layout of each mention; different entities of a kind
     have different ones, none of which is an entity of the data.  Texts without entities, null and empty
     ones are unchanged.  Only texts with entities are shuffled, by digest; copies share one list of surrogates.
-    A column named ``entities`` is replaced.
+    A column named ``number`` is replaced; with None no column is added, and a caller's own stay whatever their names.
     """
-    rows = docs.withColumn("__found", F.size(mentions(F.col(text))))
-    digest = F.sha2(F.col(text), 256)
-    marks = cut(docs.select(digest.alias("__digest"), F.explode(mentions(F.col(text))).alias("m"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"), F.size(mentions(F.col(text))).alias("__found"))
+    digest = F.sha2(F.col("__text"), 256)
+    marks = cut(docs.select(F.col(text).alias("__text")).select(digest.alias("__digest"), F.explode(mentions(F.col("__text"))).alias("m"))
                 .select("__digest", "m.kind", "m.value").distinct(), "pii-marks")
     given = assign(marks.select("kind", "value").distinct(), key)
     lists = cut(marks.join(given, ["kind", "value"]).groupBy("__digest").agg(
         F.collect_list(F.struct("kind", "value", "surrogate")).alias("__known")), "pii-lists")
     some = rows.filter("__found > 0").withColumn("__digest", digest).join(lists, "__digest").withColumn(
-        text, replaced(F.col(text), F.col("__known")))
-    names = [F.col(f"`{c}`") for c in docs.columns if c != "entities"] + [F.col("__found").alias("entities")]
+        "__text", replaced(F.col("__text"), F.col("__known")))
+    names = [F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != number]
+    names += [F.col("__found").alias(number)] if number else []
     return rows.filter("__found <= 0").select(*names).unionByName(some.select(*names))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insidertrail.llm.common import cut, table
+from insidertrail.llm.common import cut, release_memory, released, table
 
 ROUNDS = 3
 CONFIDENT = 0.98  # calibrated probability from which a view's opinion becomes a label for the other
@@ -83,6 +83,7 @@ def features(text: Column, lang: Column, source: Column, length: Column) -> Colu
             t = t.as_py()
             out[i, :CONTENT] = content_features(t)
             out[i, CONTENT:] = metadata_features(*meta, len(t or ""))
+        release_memory()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.reshape(-1)))
 
     return run(text, lang.cast("string"), source.cast("string"), length.cast("long"))
@@ -129,7 +130,7 @@ def _summed(rows: DataFrame, per_batch, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "value"])
 
-    sums = rows.select("x", "label", "fold").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value"))
+    sums = rows.select("x", "label", "fold").mapInArrow(released(run), "at int, value double").groupBy("at").agg(F.sum("value"))
     out = np.zeros(size)
     for at, value in sums.collect():  # as many rows as the model has numbers
         out[at] = value

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from insidertrail.llm.common import cut, table
+from insidertrail.llm.common import cut, released, table
 from insidertrail.llm.components import connected_components
 
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], ["key", "fp"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(released(run), f"key {rows.schema['key'].dataType.simpleString()}, fp long")
 
 
 @cache
@@ -141,7 +141,7 @@ def anchored(rows: DataFrame, extra: int) -> DataFrame:
                 row, anchor = anchors_around(some.column(1).to_numpy(zero_copy_only=False), extra)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), *some.take(pa.array(row)).columns], ["anchor", "tag", "fp", "id"])
 
-    return rows.select("tag", "fp", "id").mapInArrow(run, "anchor long, tag int, fp long, id long")
+    return rows.select("tag", "fp", "id").mapInArrow(released(run), "anchor long, tag int, fp long, id long")
 
 
 def linked_fingerprints(rows: DataFrame, threshold: int) -> DataFrame:
@@ -214,7 +214,7 @@ def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: np.n
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *first(sets)], names)
 
     names = ["key", "digest"] + [c.split()[0] for c in columns.split(", ")]
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, digest long, {columns}")
+    return docs.mapInArrow(released(run), f"key {docs.schema['key'].dataType.simpleString()}, digest long, {columns}")
 
 
 def _ids(sets: list[np.ndarray]) -> pa.Array:
