@@ -70,9 +70,9 @@ def trade_ledger(candidates: DataFrame, prices: DataFrame, *, hold_days: int = S
            .select(*keep, "final", "leg.*"))
 
     if csuite_sells is not None:
-        out = _earlier_exit(out, _sell_exits(csuite_sells, prices))
+        out = _earlier_exit(out, sell_exits(csuite_sells, prices))
     if earnings is not None:
-        out = _earlier_exit(out, _earnings_exits(earnings, prices, earnings_k, after_earnings))
+        out = _earlier_exit(out, earnings_exits(earnings, prices, earnings_k, after_earnings))
     out = out.withColumn("forced", F.col("exit.date").isNull()).withColumns({
         "exit_date": F.coalesce("exit.date", "final.date"),
         "exit_price": F.coalesce("exit.adj_close", "final.adj_close")}).drop("exit", "final")
@@ -101,14 +101,16 @@ def _earlier_exit(trades: DataFrame, exits: DataFrame) -> DataFrame:
     return joined.withColumn("exit", F.when(sooner, event["row"]).otherwise(F.col("exit"))).drop("next")
 
 
-def _sell_exits(sells: DataFrame, prices: DataFrame) -> DataFrame:
+def sell_exits(sells: DataFrame, prices: DataFrame) -> DataFrame:
+    """Exit events at sales: triggered on the day, closed at the first price from then on."""
     days = sells.select("ticker", "date").distinct()
     px = asof.bracket(days.select("ticker", F.col("date").alias("as_of")), prices, prev=False)
     return px.select("ticker", F.col("as_of").alias("date"), F.struct(
         F.col("as_of").alias("trigger"), F.col("next").alias("row")).alias("xq"))
 
 
-def _earnings_exits(earnings: DataFrame, prices: DataFrame, k: int, n_rows: int) -> DataFrame:
+def earnings_exits(earnings: DataFrame, prices: DataFrame, k: int, n_rows: int) -> DataFrame:
+    """Exit events ``n_rows`` price rows after the kth earnings day."""
     days = asof.nth_after(earnings, k=k)
     led = asof.with_leads(prices.select("ticker", "date", "adj_close"), [n_rows])
     px = asof.bracket(days.select("ticker", F.col("kth_date").alias("as_of")), led,

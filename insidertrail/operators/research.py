@@ -23,10 +23,13 @@ from insidertrail.operators.single import single_row
 from insidertrail.params import RESEARCH, ResearchParams
 
 SPEC_SCHEMA = "id string, base string, atoms array<string>, hold_days int, window string"
+LEVER_SCHEMA = SPEC_SCHEMA + ", exits array<string>, sizing struct<type: string, k: double>"
 WINDOW_SCHEMA = "window string, start_date date, end_date date"
 DEFAULT_BASE = "cluster_buy"
 EULER_GAMMA = 0.5772156649015329
 CELL = ["required", "hold_days", "window"]
+LEVERS = ["exit_bits", "size_index"]
+FLAT = (None, 0.0)  # the sizing of a spec that names none
 
 
 def seeded_rank(seed: Column, by: Sequence[str]) -> Column:
@@ -44,26 +47,50 @@ def _bits(names: Column, atoms: Sequence[str]) -> Column:
                        F.lit(0), lambda acc, b: acc.bitwiseOR(b))
 
 
+def core_key(base: Column, sizing: Column, exits: Column) -> Column:
+    """What a spec is at its core, as text: base signal, kind and strength of sizing, exits in order; atoms do not count."""
+    k = F.round(F.coalesce(sizing["k"], F.lit(0.0)), 4).cast("string")
+    return F.concat_ws("|", base, F.coalesce(sizing["type"], F.lit("")), k, F.array_join(F.array_sort(exits), ","))
+
+
 def resolve_specs(specs: DataFrame, windows: DataFrame, *, atoms: Mapping = ATOMS,
-                  bases: Sequence[str] = (DEFAULT_BASE,)) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): accepted specs carry required bits and complexity.
+                  bases: Sequence[str] = (DEFAULT_BASE,), exits: Sequence[str] = (), sizes: Sequence[tuple] = (FLAT,),
+                  banned: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): accepted specs carry required bits, complexity, ``exit_bits``, ``size_index`` and core key.
 
     Atoms replace the base signal: a spec with atoms is gated by them alone, one
-    without is gated by its base signal (the bit after the atoms).
+    without is gated by its base signal (the bit after the atoms).  ``exits`` names the exit rules in use, ``sizes`` the
+    (type, k) sizings; specs may lack both columns.  ``banned`` maps reasons to conditions on a spec; a banned one is
+    rejected before anything else is looked at.
     """
     names = list(atoms)
-    filled = specs.withColumns({
+    levers = {"exits": "array<string>", "sizing": "struct<type: string, k: double>"}
+    given = specs.withColumns({c: F.lit(None).cast(kind) for c, kind in levers.items() if c not in specs.columns})
+    filled = given.withColumns({
         "base": F.coalesce("base", F.lit(DEFAULT_BASE)), "hold_days": F.coalesce("hold_days", F.lit(60)),
-        "atoms": F.coalesce("atoms", F.array().cast("array<string>"))})
+        "atoms": F.coalesce("atoms", F.array().cast("array<string>")),
+        "exits": F.coalesce("exits", F.array().cast("array<string>")),
+        "sizing": F.struct(F.col("sizing.type").alias("type"), F.round(F.coalesce("sizing.k", F.lit(0.0)), 4).alias("k"))})
+    same = [F.col("sizing.type").eqNullSafe(F.lit(name)) & (F.col("sizing.k") == round(k, 4)) for name, k in sizes]
+    filled = filled.withColumn("size_index", F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(same)]))
     known = windows.select("window").distinct().withColumn("_w", F.lit(True))
-    checked = filled.join(known, "window", "left").withColumn("reason", F.when(
-        ~F.col("base").isin(list(bases)), F.concat(F.lit("unknown base signal "), "base")).when(
-        F.size(F.array_except("atoms", F.array(*[F.lit(a) for a in names]))) > 0, F.lit("unknown atom")).when(
-        F.col("_w").isNull() & F.col("window").isNotNull(), F.concat(F.lit("unknown window "), "window"))).drop("_w")
+
+    def unknown(column: str, allowed: Sequence[str]) -> Column:
+        return F.size(F.array_except(column, F.array(*[F.lit(a) for a in allowed]).cast("array<string>"))) > 0
+
+    reason = F.when(F.lit(False), F.lit(None).cast("string"))
+    for why, condition in (banned or {}).items():
+        reason = reason.when(condition, F.lit(f"banned spec: {why}"))
+    reason = (reason.when(~F.col("base").isin(list(bases)), F.concat(F.lit("unknown base signal "), "base"))
+              .when(unknown("atoms", names), F.lit("unknown atom")).when(unknown("exits", exits), F.lit("unknown exit"))
+              .when(F.col("size_index").isNull(), F.lit("unknown sizing"))
+              .when(F.col("_w").isNull() & F.col("window").isNotNull(), F.concat(F.lit("unknown window "), "window")))
+    checked = filled.join(known, "window", "left").withColumn("reason", reason).drop("_w")
     required = F.when(F.size("atoms") == 0, F.lit(1 << len(names))).otherwise(_bits(F.col("atoms"), names))
     accepted = checked.where(F.col("reason").isNull()).drop("reason").withColumns({
         "required": required, "complexity": F.size("atoms") + (F.col("base") != DEFAULT_BASE).cast("int"),
-        "core_key": F.concat_ws("|", "base", F.lit(""), F.lit("0.0"), F.lit(""))})
+        "core_key": core_key(F.col("base"), F.col("sizing"), F.col("exits")),
+        "exit_bits": _bits(F.col("exits"), exits) if exits else F.lit(0)}).drop("exits", "sizing")
     return accepted, checked.where(F.col("reason").isNotNull()).select("id", "reason")
 
 
@@ -77,13 +104,18 @@ def refuse_locked_window(specs: DataFrame, *, allow_test: bool = False) -> DataF
 # --- evaluation -------------------------------------------------------------
 
 
-def spec_trades(flagged: DataFrame, prices: DataFrame, hold_days: Sequence[int], base_signal: Column, *,
-                atoms: Mapping = ATOMS) -> DataFrame:
-    """Ledger rows for each hold length with the trade's own atom bits."""
+def own_bits(base_signal: Column, atoms: Mapping = ATOMS) -> Column:
+    """A trade's atoms as bits, the base signal as the bit after them."""
     own = F.when(F.coalesce(base_signal, F.lit(False)), F.lit(1 << len(atoms))).otherwise(F.lit(0))
     for i, build in enumerate(atoms.values()):
         own = own.bitwiseOR(F.when(build(), F.lit(1 << i)).otherwise(F.lit(0)))
-    rows = flagged.withColumn("own", own).withColumn("known_on", F.coalesce("filing_date", "transaction_date"))
+    return own
+
+
+def spec_trades(flagged: DataFrame, prices: DataFrame, hold_days: Sequence[int], base_signal: Column, *,
+                atoms: Mapping = ATOMS) -> DataFrame:
+    """Ledger rows for each hold length with the trade's own atom bits."""
+    rows = flagged.withColumn("own", own_bits(base_signal, atoms)).withColumn("known_on", F.coalesce("filing_date", "transaction_date"))
     from insidertrail.operators import asof
 
     led = asof.with_leads(prices.select("ticker", "date", "adj_close"), list(hold_days))
@@ -102,31 +134,33 @@ def spec_trades(flagged: DataFrame, prices: DataFrame, hold_days: Sequence[int],
         F.lit(500.0).alias("cost_basis")))
 
 
-ENTRY = ["insider_id", "ticker", "entry_date", "hold_days", "window"]
+CARRIED = ("txn_id", "exit_date", "pnl", "pnl_pct")
 
 
-def counted_trades(trades: DataFrame, required: Sequence[int], windows: Sequence[tuple]) -> DataFrame:
+def counted_trades(trades: DataFrame, required: Sequence[int], windows: Sequence[tuple], *,
+                   by: Sequence[str] = ("hold_days",), carried: Sequence[str] = CARRIED) -> DataFrame:
     """Trades as they count: ``bits`` with ``exact`` false serves every set within them, with ``exact`` true that set alone.
 
     A trade repeating (insider, ticker, entry date) counts only where no earlier one of the window satisfied
     the same bits, so of the trades of one entry that have the same bits only the first matters.  Most
     entries then have one; only where bits differ is the first trade looked up set by set.  ``required``
-    holds the distinct bit sets in use.
+    holds the distinct bit sets in use, ``by`` further keys of a trade, ``carried`` the columns kept.
     """
+    entry = ["insider_id", "ticker", "entry_date", *by, "window"]
     known = F.col("known_on")
     spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(a).cast("date").alias("a"),
                                F.lit(b).cast("date").alias("b")) for n, a, b in windows])
     inside = F.filter(spans, lambda s: (s["a"].isNull() | (known >= s["a"])) & (s["b"].isNull() | (known <= s["b"])))
-    values = F.struct("txn_id", "exit_date", "pnl", "pnl_pct")
+    values = F.struct(*carried)
     order = F.struct("known_on", "txn_id")
     rows = trades.withColumn("window", F.explode(F.transform(inside, lambda s: s["window"])))
-    firsts = rows.groupBy(*ENTRY, "own").agg(F.min(order).alias("order"), F.min_by(values, order).alias("v"))
-    entries = firsts.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("bits"), F.first("v").alias("v"))
-    alone = entries.where("n = 1").select("bits", F.lit(False).alias("exact"), "hold_days", "window", "v.*")
-    differing = (firsts.join(entries.where("n > 1").select(*ENTRY), ENTRY, "left_semi")
+    firsts = rows.groupBy(*entry, "own").agg(F.min(order).alias("order"), F.min_by(values, order).alias("v"))
+    entries = firsts.groupBy(*entry).agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("bits"), F.first("v").alias("v"))
+    alone = entries.where("n = 1").select("bits", F.lit(False).alias("exact"), *by, "window", "v.*")
+    differing = (firsts.join(entries.where("n > 1").select(*entry), entry, "left_semi")
                  .withColumn("bits", F.explode(_sets_within(F.col("own"), required)))
-                 .groupBy(*ENTRY, "bits").agg(F.min_by("v", "order").alias("v"))
-                 .select("bits", F.lit(True).alias("exact"), "hold_days", "window", "v.*"))
+                 .groupBy(*entry, "bits").agg(F.min_by("v", "order").alias("v"))
+                 .select("bits", F.lit(True).alias("exact"), *by, "window", "v.*"))
     return alone.unionByName(differing)
 
 
@@ -134,13 +168,14 @@ def _sets_within(bits: Column, required: Sequence[int]) -> Column:
     return F.filter(F.array(*[F.lit(m) for m in required]), lambda m: bits.bitwiseAND(m) == m)
 
 
-def cell_metrics(counted: DataFrame, required: Sequence[int], *, capital: float = 10_000.0) -> DataFrame:
-    """Trade statistics, return, drawdown and concentration per (required bits, hold, window).
+def cell_metrics(counted: DataFrame, required: Sequence[int], *, capital: float = 10_000.0,
+                 levers: Sequence[str] = ()) -> DataFrame:
+    """Trade statistics, return, drawdown and concentration per (required bits, hold, window) and ``levers``.
 
     Sums are made per own bits; only these few rows are added up for each set.  Every trade is kept, so the order
-    of trades cannot matter and ``cv``, the spread over orders, is 0.
+    of trades cannot matter and ``cv``, the spread over orders, is 0; ``levers.with_spread`` replaces it.
     """
-    own = ["bits", "exact", "hold_days", "window"]
+    cell, own = [*CELL, *levers], ["bits", "exact", "hold_days", "window", *levers]
 
     def per_set(sums: DataFrame) -> DataFrame:
         sets = F.when(F.col("exact"), F.array("bits")).otherwise(_sets_within(F.col("bits"), required))
@@ -149,36 +184,36 @@ def cell_metrics(counted: DataFrame, required: Sequence[int], *, capital: float
     pct = F.col("pnl_pct")
     powers = [F.sum(F.pow(pct, F.lit(float(k)))).alias(f"s{k}") for k in (1, 2, 3, 4)]
     sums = (per_set(counted.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), *powers, F.sum("pnl").alias("pnl")))
-            .groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "pnl")]))
+            .groupBy(*cell).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "pnl")]))
     n, (m1, r2, r3, r4) = F.col("n"), [F.col(f"s{k}") / F.col("n") for k in (1, 2, 3, 4)]
     m2 = r2 - m1 * m1
     m2 = F.when(m2 > 1e-14 * r2, m2)  # equal returns have no spread
     base = sums.select(
-        *CELL, n.cast("double").alias("trades"), (F.col("pnl") / capital).alias("ret"),
+        *cell, n.cast("double").alias("trades"), (F.col("pnl") / capital).alias("ret"),
         F.when(n > 1, F.coalesce(m1 / F.sqrt(m2 * n / (n - 1)), F.lit(0.0))).otherwise(0.0).alias("sr_hat"),
         ((r3 - 3 * m1 * r2 + 2 * m1 * m1 * m1) / F.pow(m2, F.lit(1.5))).alias("skew"),
         ((r4 - 4 * m1 * r3 + 6 * m1 * m1 * r2 - 3 * F.pow(m1, F.lit(4.0))) / (m2 * m2)).alias("kurtosis"))
     daily = (per_set(counted.groupBy(*own, "exit_date").agg(F.sum("pnl").alias("day_pnl")))
-             .groupBy(*CELL, "exit_date").agg(F.sum("day_pnl").alias("day_pnl")))
-    w = W.partitionBy(*CELL).orderBy("exit_date").rowsBetween(W.unboundedPreceding, 0)
+             .groupBy(*cell, "exit_date").agg(F.sum("day_pnl").alias("day_pnl")))
+    w = W.partitionBy(*cell).orderBy("exit_date").rowsBetween(W.unboundedPreceding, 0)
     equity = daily.withColumn("equity", capital + F.sum("day_pnl").over(w))
     peak = F.greatest(F.lit(capital), F.max("equity").over(w))
-    dd = (equity.withColumn("dd", (F.col("equity") - peak) / peak).groupBy(*CELL)
+    dd = (equity.withColumn("dd", (F.col("equity") - peak) / peak).groupBy(*cell)
           .agg(F.least(F.min("dd"), F.lit(0.0)).alias("maxdd")))
     gains = counted.where("pnl > 0")
     best = W.partitionBy(*own).orderBy(F.col("pnl").desc(), "txn_id")
     leading = per_set(gains.withColumn("r", F.row_number().over(best)).where("r <= 20").drop("r"))
-    whole = (per_set(gains.groupBy(*own).agg(F.sum("pnl").alias("gain"))).groupBy(*CELL).agg(F.sum("gain").alias("gain")))
-    again = W.partitionBy(*CELL).orderBy(F.col("pnl").desc(), "txn_id")
-    top = (leading.withColumn("r", F.row_number().over(again)).where("r <= 20").groupBy(*CELL)
-           .agg(F.sum("pnl").alias("best")).join(whole, CELL).select(*CELL, (F.col("best") / F.col("gain")).alias("top20")))
-    return (base.join(dd, CELL).join(top, CELL, "left")
+    whole = (per_set(gains.groupBy(*own).agg(F.sum("pnl").alias("gain"))).groupBy(*cell).agg(F.sum("gain").alias("gain")))
+    again = W.partitionBy(*cell).orderBy(F.col("pnl").desc(), "txn_id")
+    top = (leading.withColumn("r", F.row_number().over(again)).where("r <= 20").groupBy(*cell)
+           .agg(F.sum("pnl").alias("best")).join(whole, cell).select(*cell, (F.col("best") / F.col("gain")).alias("top20")))
+    return (base.join(dd, cell).join(top, cell, "left")
             .withColumn("sharpe", F.col("sr_hat") * F.sqrt(252 / F.col("hold_days")))
             .withColumn("n_obs", F.col("trades")).withColumn("cv", F.lit(0.0)))
 
 
-def evaluate(specs: DataFrame, metrics: DataFrame) -> DataFrame:
-    return specs.join(metrics, CELL)
+def evaluate(specs: DataFrame, metrics: DataFrame, levers: Sequence[str] = ()) -> DataFrame:
+    return specs.join(metrics, [*CELL, *levers])
 
 
 # --- overfitting statistics -------------------------------------------------
@@ -301,6 +336,14 @@ def next_stall_counter(current: int, gated: DataFrame) -> DataFrame:
         F.when(F.col("n") > 0, F.lit(0)).otherwise(F.lit(current + 1)).alias("stall_counter"))
 
 
+def lever_grid(spark: SparkSession, atom_sets: Sequence[Sequence[str]], hold_days: Sequence[int], exits: Sequence[str],
+               sizes: Sequence[tuple], window: str) -> DataFrame:
+    """Every atom set with every hold length, set of exits and sizing."""
+    rows = [(f"a{a}_h{h}_e{e}_s{s}", DEFAULT_BASE, list(names), h, window, [x for i, x in enumerate(exits) if e >> i & 1], size)
+            for a, names in enumerate(atom_sets) for h in hold_days for e in range(1 << len(exits)) for s, size in enumerate(sizes)]
+    return spark.createDataFrame(rows, LEVER_SCHEMA)
+
+
 def spec_grid(spark: SparkSession, atoms: Sequence[str], hold_days: Sequence[int], window: str) -> DataFrame:
     """Every atom subset with every hold length."""
     rows = [(f"m{m}_h{h}", DEFAULT_BASE, [a for i, a in enumerate(atoms) if m >> i & 1], h, window)

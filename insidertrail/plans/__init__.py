@@ -8,6 +8,7 @@ from insidertrail.plans import serving  # noqa: F401
 from insidertrail.plans import streams  # noqa: F401
 from insidertrail.plans import trades  # noqa: F401
 from insidertrail.plans import research  # noqa: F401
+from insidertrail.plans import levers  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
