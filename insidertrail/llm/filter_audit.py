@@ -3,28 +3,25 @@
 The files of a table are read as available-now micro-batches.  Every row gets a mask of the filters it fails.  Whether a
 text repeats one of a smaller id is known only once all files are read, so a state per text keeps its smallest id and
 the masks counted for it: a smaller id takes the earlier masks back from the counters and counts them again as repeats.
+The state is a table keyed by the text's digest, which each micro-batch joins and adds to.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
 from itertools import permutations
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
-from insidertrail.llm.common import WORD, table, work_path
+from insidertrail.llm.common import WORD, cut, table, work_path
 
 BATCHES = 4  # micro-batches of a run, each a like share of the files
-GROUPS_HELD = 200_000  # a task folds rows of equal texts together, this many groups at a time
 COUNTED = "part string, mask int, good boolean, toxic boolean, delta long"
-FOLDED = "digest binary, part string, mask int, good boolean, toxic boolean, least long, at_least long, above long, unknown long"
+STATE = ("digest binary, part string, mask int, good boolean, toxic boolean, least long, at_least long, above long, unknown long, "
+         "old boolean, smallest long")
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -38,78 +35,66 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text, part and label become one: the smallest id, the rows with it, with larger ids and without one."""
-    names = [c.split()[0] for c in FOLDED.split(", ")]
-    kinds = [pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    held: dict[tuple, list] = {}
-
-    def out() -> pa.RecordBatch:
-        columns = zip(*(k + tuple(v) for k, v in held.items()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    for batch in batches:
-        for *group, key in zip(*(c.to_pylist() for c in batch.columns)):
-            found = held.setdefault(tuple(group), [None, 0, 0, 0])
-            least = found[0]
-            if key is None:
-                found[3] += 1
-            elif least is None or key < least:
-                found[0], found[1], found[2] = key, 1, found[1] + found[2]
-            elif key == least:
-                found[1] += 1
-            else:
-                found[2] += 1
-        if len(held) >= GROUPS_HELD:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
-
-
-def _settle(repeat: int):
-    """The state of a text: (smallest id, rows with that id by part and label); gives changes of the counters."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for frame in frames for r in frame.itertuples(index=False, name=None)]
-        least, held = state.get if state.exists else (None, "[]")
-        at_least = {(p, m, g, t): n for p, m, g, t, n in json.loads(held)}
-        change: dict[tuple, int] = {}
-
-        def count(part, mask, good, toxic, n):
-            change[part, mask, good, toxic] = change.get((part, mask, good, toxic), 0) + n
-
-        new = min((int(r[5]) for r in rows if r[5] == r[5] and r[5] is not None), default=None)
-        if new is not None and (least is None or new < least):
-            for (part, mask, good, toxic), n in at_least.items():
-                count(part, mask, good, toxic, -n)
-                count(part, mask | repeat, good, toxic, n)
-            least, at_least = new, {}
-        for _, part, mask, good, toxic, own, n, above, unknown in rows:
-            label = part, int(mask), bool(good), bool(toxic)
-            if unknown:
-                count(*label, int(unknown))
-            if above:
-                count(part, int(mask) | repeat, *label[2:], int(above))
-            if n and int(own) == least:
-                count(*label, int(n))
-                at_least[label] = at_least.get(label, 0) + int(n)
-            elif n:
-                count(part, int(mask) | repeat, *label[2:], int(n))
-        state.update((least, json.dumps([[*k, n] for k, n in at_least.items()])))
-        made = [(*k, n) for k, n in change.items() if n]
-        if made:
-            yield pd.DataFrame(made, columns=["part", "mask", "good", "toxic", "delta"])
-
-    return run
-
-
-def _store(path: str):
-    """Each batch's changes, added up, under its own number: a batch that is run again replaces itself."""
+def _folded(rows: DataFrame) -> DataFrame:
+    """Rows (digest, part, mask, good, toxic, key) with the smallest key of each group and the rows that have it.
+
+    ``above`` counts rows with larger keys, ``unknown`` those without one.  Both steps add up before they shuffle, and
+    the first deals copies of one text over all tasks by their keys.
+    """
+    group = ["digest", "part", "mask", "good", "toxic"]
+    each = rows.groupBy(*group, "key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "n")))
+    known = F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0))
+    return each.groupBy(*group).agg(first.alias("first"), known.alias("known"), F.sum("n").alias("all")).select(
+        *group, F.col("first.key").alias("least"), F.coalesce("first.n", F.lit(0)).alias("at_least"),
+        (F.col("known") - F.coalesce("first.n", F.lit(0))).alias("above"), (F.col("all") - F.col("known")).alias("unknown"))
+
+
+def _settled(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """``new`` folded rows and the stored ones of their texts, each with ``smallest``, the smallest key of its text so far.
+
+    ``stored`` holds a text's rows in the version of each batch that met it; the last version counts.  A text has
+    at most one row per part, label and origin, so its window is small whatever its number of copies.
+    """
+    text = W.partitionBy("digest")
+    old = stored.join(new.select("digest").distinct(), "digest", "left_semi").withColumn("last", F.max("batch_id").over(text))
+    old = old.filter("batch_id = last and least = smallest").groupBy("digest", "part", "mask", "good", "toxic", "least").agg(
+        F.sum("at_least").alias("at_least")).withColumns({"above": F.lit(0).cast("long"), "unknown": F.lit(0).cast("long"), "old": F.lit(True)})
+    both = new.withColumn("old", F.lit(False)).unionByName(old)
+    return both.withColumn("smallest", F.min("least").over(text))
+
+
+def _changes(settled: DataFrame, repeat: int) -> DataFrame:
+    """What a batch changes in the counters: new rows in, earlier ones that a smaller key made repeats out and in again."""
+    mask, failing = F.col("mask"), F.col("mask").bitwiseOR(F.lit(repeat))
+    beaten = F.col("least") > F.col("smallest")
+    moves = F.array(F.struct(F.when(F.col("old"), F.when(beaten, -F.col("at_least"))).when(~beaten, F.col("at_least")).alias("delta"), mask.alias("to")),
+                    F.struct(F.when(beaten, F.col("at_least")).alias("delta"), failing.alias("to")),
+                    F.struct(F.col("above").alias("delta"), failing.alias("to")), F.struct(F.col("unknown").alias("delta"), mask.alias("to")))
+    return (settled.select("part", "good", "toxic", F.explode(moves).alias("move")).filter("move.delta <> 0")
+            .groupBy("part", F.col("move.to").alias("mask"), "good", "toxic").agg(F.sum("move.delta").alias("delta")))
+
+
+def _settle(folder: str, labels: DataFrame, repeat: int):
+    """The handler of a batch: the state of its texts and its changes, each under the batch's number.
+
+    A batch that is run again reads only earlier batches' states and replaces its own folders.
+    """
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(
+        F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("is_good"),
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("is_toxic"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        added = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta"))
-        added.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.join(marks, batch["key"] == marks["labelled"], "left").select(
+            "digest", "part", "mask", "key", F.coalesce("is_good", F.lit(False)).alias("good"),
+            F.coalesce("is_toxic", F.lit(False)).alias("toxic"))
+        new = cut(_folded(rows), "audit-batch")
+        stored = spark.read.schema(STATE + ", batch_id long").parquet(f"{folder}/state").filter(F.col("batch_id") < batch_id)
+        state = f"{folder}/state/batch_id={batch_id}"
+        _settled(new, stored).write.mode("overwrite").parquet(state)
+        settled = spark.read.schema(STATE).parquet(state)
+        _changes(settled, repeat).write.mode("overwrite").parquet(f"{folder}/changes/batch_id={batch_id}")
 
     return handle
 
@@ -119,32 +104,23 @@ def mask_counters(stream: DataFrame, labels: DataFrame, folder: str, *, key: str
     """(part, mask, good, toxic, n): rows of a file stream by the filters they fail, everything available read.
 
     Bit i of the mask is the ith filter, the last bit says that a smaller key has the same text.  ``folder`` keeps the
-    stream's checkpoint and the changes of each batch: a later call on the same folder reads new files only and
-    goes on from there.
+    stream's checkpoint, the states of texts and the changes of each batch: a later call on the same folder reads new
+    files only and goes on from there.  A state is one narrow row per text (and label), without the text.
     """
     spark = stream.sparkSession
-    whole = F.coalesce(F.col(text), F.lit(""))
     failing = filters(F.col("text"))
     mask = F.lit(0)
     for i, fails in enumerate(failing.values()):
         mask = mask + F.when(fails, F.lit(1 << i)).otherwise(F.lit(0))
-    marks = labels.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(
-        F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("is_good"),
-        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("is_toxic"))
-    rows = stream.select(F.col(key).cast("long").alias("key"), whole.alias("text"),
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                          F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     rows = rows.select("key", "part", F.unhex(F.sha2("text", 256)).alias("digest"), mask.alias("mask"))
-    rows = rows.join(marks, rows["key"] == marks["labelled"], "left").select(
-        "digest", "part", "mask", F.coalesce("is_good", F.lit(False)).alias("good"),
-        F.coalesce("is_toxic", F.lit(False)).alias("toxic"), "key")
-    changes = (rows.mapInArrow(_fold, FOLDED).groupBy("digest")
-               .applyInPandasWithState(_settle(1 << len(failing)), COUNTED, "least long, held string", "update",
-                                       GroupStateTimeout.NoTimeout))
-    spark.createDataFrame([], COUNTED).write.mode("overwrite").parquet(f"{folder}/changes/batch_id=-1")
-    (changes.writeStream.outputMode("update").foreachBatch(_store(f"{folder}/changes"))
+    for name, schema in (("state", STATE), ("changes", COUNTED)):  # there to be read before the first batch
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}/batch_id=-1")
+    (rows.writeStream.foreachBatch(_settle(folder, labels, 1 << len(failing)))
      .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     stored = spark.read.schema(COUNTED).parquet(f"{folder}/changes")
-    return (stored.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("n")).filter("n <> 0"))
+    return stored.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("n")).filter("n <> 0")
 
 
 def audit(counters: DataFrame, names: str) -> DataFrame:
@@ -176,7 +152,7 @@ def audit(counters: DataFrame, names: str) -> DataFrame:
         total("total", "m & (b | f) = 0").alias("kept"), total("total", first).alias("removed"),
         total("total", "m & f <> 0 and m & b <> 0").alias("redundant"), total("total", "m = f").alias("unique_fails"),
         total("of_good", first).alias("good_lost"), total("of_toxic", first).alias("toxic_lost"))
-    return done.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "f"))).drop("f")
+    return done.withColumn("shapley", F.sum("removed").over(W.partitionBy("part", "f"))).drop("f")
 
 
 def filter_audit(spark: SparkSession, path: str, labels: DataFrame, *, batches: int = BATCHES, folder: str | None = None,

@@ -98,11 +98,16 @@ def test_audit_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
-    store = filter_audit._store(f"{tmp_path}/changes")
-    change = spark.createDataFrame([("en", 1, True, False, 2), ("en", 1, True, False, -1)], filter_audit.COUNTED)
-    store(change, 0)
-    store(change, 0)
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/changes").drop("batch_id").collect()] == [("en", 1, True, False, 1)]
+    for name, schema in (("state", filter_audit.STATE), ("changes", filter_audit.COUNTED)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}/batch_id=-1")
+    handle = filter_audit._settle(str(tmp_path), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"), 16)
+    kind = "key long, part string, digest binary, mask int"
+    later = spark.createDataFrame([(5, "en", b"x", 1), (7, "en", b"x", 1), (7, "de", b"y", 2)], kind)
+    sooner = spark.createDataFrame([(3, "en", b"x", 1), (7, "de", b"y", 2), (None, "de", b"y", 2)], kind)
+    for batch, number in ((later, 0), (later, 0), (sooner, 1), (sooner, 1), (later.limit(0), 2)):
+        handle(batch, number)
+    sums = spark.read.parquet(f"{tmp_path}/changes").groupBy("part", "mask").agg(F.sum("delta").alias("n")).filter("n <> 0")
+    assert {tuple(r) for r in sums.collect()} == {("en", 1, 1), ("en", 17, 2), ("de", 2, 3)}
 
 
 def test_audit_of_nothing(spark, tmp_path):
