@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,7 +27,8 @@ HASHES_AT_ONCE = 255  # so that counts of bits fit a byte
 SAMPLE, FREQUENT = 16, 500_000
 FILTER_BITS = 26  # of the filter of texts that take part in a pair; it may let others pass
 ROWS_AT_ONCE = 1000
-PARITIES = 1024  # bits that tell the parity of the shingles of a set that fall on each
+PARITIES = 1024  # least number of bits that tell the parity of the shingles of a set that fall on each
+HUB_TURNS = 2
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
@@ -198,7 +200,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view("<i8")))
 
 
-def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: np.ndarray | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: Broadcast | None = None) -> DataFrame:
     """``docs`` (key, text, digest) with ``columns``: those of ``first``, a function of a list of shingle sets to arrays.
 
     ``passing`` are words of bits; rows whose digest has no bit set there are left out before they are read.
@@ -207,7 +209,7 @@ def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: np.n
         for batch in batches:
             if passing is not None:
                 at = batch.column(2).to_numpy(zero_copy_only=False).view("<u8") & np.uint64((1 << FILTER_BITS) - 1)
-                batch = batch.filter(pa.array((passing[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+                batch = batch.filter(pa.array((passing.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
                 sets = [shingle_set(t.as_py(), width) for t in some.column(1)]
@@ -222,7 +224,12 @@ def _ids(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _parities(sets: list[np.ndarray]) -> pa.Array:
-    return _lists([np.packbits((np.bincount((s % PARITIES).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view("<u8") for s in sets])
+    """Per set, the parities of the shingles that fall on each of at least twice as many bits, a power of two."""
+    out = []
+    for s in sets:
+        bits = max(PARITIES, 1 << (2 * len(s) - 1).bit_length()) if len(s) else PARITIES
+        out.append(np.packbits((np.bincount((s % bits).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<u8"))
+    return _lists(out)
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,28 +245,77 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return found.view("<u8")[order], n[order]
 
 
-def candidate_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b), once each: every pair of ``nodes`` (id, size, first, parities) of Jaccard similarity ``share`` or more, and some others.
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(shingle, id, size, at): the first shingles of ``nodes`` (id, size, first) that more than one of them has.
 
-    ``first`` are the first shingles of a node in one order for all.  Similar sets share one of them: of the
-    larger set, among as many as it could miss of the smallest similar one; of the smaller, among as many
-    as it could miss of one of its own size.  Of the shared shingles the first one stands so early in both
-    that enough can follow, and sizes lie within ``share`` of each other; other meetings are left out, as are
-    pairs whose parities tell that they differ in too many shingles.
+    Rows are shuffled once; counting and looking up read the same partitions, row by row.
+    """
+    rows = nodes.select("id", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")
+    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    return rows.join(several, "shingle").select("shingle", "id", "size", "at")
+
+
+def _oriented(rows: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b), b the smaller, once each: those of ``rows`` (x and y, each id, size and at, of one shared shingle) that may be similar.
+
+    Similar sets share a shingle that in both stands so early that enough can follow; the smaller one has it among
+    as many as it could miss of one of its own size, and sizes lie within ``share`` of each other.  Sets differ in at
+    least as many shingles as their parities do in bits; those of the larger set are folded to the length of the other's.
     """
     num, den = share.numerator, share.denominator
-    rows = nodes.select("id", "size", F.posexplode("first").alias("at", "shingle"))
-    misses = F.col("size") - F.ceil(2 * num * F.col("size") / F.lit(num + den) - F.lit(1e-9))
-    large = rows.select("shingle", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    small = rows.filter(F.col("at") <= misses).select("shingle", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
-    sizes = F.col("size_a") + F.col("size_b")
-    near = ((F.struct("size_b", "b") < F.struct("size_a", "a")) & (den * F.col("size_b") >= num * F.col("size_a"))
-            & ((num + den) * F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= num * sizes))
-    pairs = large.join(small.hint("shuffle_hash"), "shingle").filter(near).select("a", "b").distinct()
-    # Sets differ in at least as many shingles as their parities do in bits.
+    order = F.struct("x.size", "x.id") < F.struct("y.size", "y.id")
+    a, b = F.when(order, F.col("y")).otherwise(F.col("x")), F.when(order, F.col("x")).otherwise(F.col("y"))
+    both = rows.select(a.alias("a"), b.alias("b"))
+    sizes = F.col("a.size") + F.col("b.size")
+    misses = F.col("b.size") - F.ceil(2 * num * F.col("b.size") / F.lit(num + den) - F.lit(1e-9))
+    near = ((den * F.col("b.size") >= num * F.col("a.size")) & (F.col("b.at") <= misses) & (F.col("a.id") != F.col("b.id"))
+            & ((num + den) * F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= num * sizes))
+    pairs = both.filter(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     one, other = (nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"bits_{c}")) for c in "ab")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(one, "a").join(other, "b").filter((num + den) * apart <= (den - num) * sizes).select("a", "b")
+    words = F.least(F.size("bits_a"), F.size("bits_b"))
+
+    def folded(bits: str) -> Column:
+        halves = F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > words, halves).otherwise(F.col(bits))
+
+    apart = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    alike = (num + den) * apart <= (den - num) * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(one, "a").join(other, "b").filter(alike).select("a", "b")
+
+
+def _with_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """``shared`` with the component of each node; shingles whose nodes are all in one are left out."""
+    groups = cut(connected_components(edges), "simhash-groups")
+    rows = shared.drop("group").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = cut(rows.select("shingle", "id", "size", "at", F.coalesce("component", "id").alias("group")), "simhash-grouped")
+    mixed = rows.groupBy("shingle").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most")
+    return cut(rows.join(mixed.select("shingle"), "shingle", "left_semi"), "simhash-mixed")
+
+
+POINT = ("id", "size", "at", "group")
+
+
+def hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
+    """(x, y): each shingle's nodes against one of them, its hub; a node is hub of as many of its shingles as may be.
+
+    A group of similar texts that share many shingles so gives one star, not a pair for any two of its members.
+    """
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), *POINT)).alias("hub"))
+    hubs = hubs.select("shingle", F.struct(*[F.col(f"hub.{c}").alias(c) for c in POINT]).alias("x"))
+    met = shared.select("shingle", F.struct(*POINT).alias("y")).join(hubs, "shingle")
+    return met.filter(F.col("x.group") != F.col("y.group")).select("x", "y")
+
+
+def rest_pairs(shared: DataFrame) -> DataFrame:
+    """(x, y): all pairs of a shingle's nodes that are in different groups.
+
+    Of two such nodes at least one is outside the shingle's largest group, so only those nodes meet the others.
+    """
+    groups = shared.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+    outside = shared.join(largest, "shingle").filter("group <> largest").select("shingle", F.struct(*POINT).alias("x"))
+    met = shared.select("shingle", F.struct(*POINT).alias("y")).join(outside, "shingle")
+    return met.filter(F.col("x.group") != F.col("y.group")).select("x", "y")
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, share: Fraction) -> DataFrame:
@@ -273,6 +329,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(digest & 63 as int))")).alias("bits")).toArrow())
     passing = np.zeros(1 << FILTER_BITS - 6, "<u8")
     passing[words.column("word").to_numpy()] = words.column("bits").to_numpy().view("<u8")
+    passing = docs.sparkSession.sparkContext.broadcast(passing)  # 8 MB, whatever the number of pairs
     sets = shingle_sets(docs, width, lambda sets: [_ids(sets), _lists(sets)], "id long, shingles array<long>", passing)
     sets = cut(sets.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
     one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
@@ -288,17 +345,18 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Documents link when the sets of their ``width``-word shingles have a Jaccard similarity of at least
     ``similarity``; every such pair is found.  A single 64-bit fingerprint tells such documents about ten bits
-    apart, too far for any covering code, so pairs meet at their rarest shingles (``candidate_pairs``) and the sets
-    decide.  Documents with equal sets are one node, whose id is the digest of the set.  Where pairs are many,
-    each node is first held against one other; of the rest only pairs that this has not joined are looked at.
+    apart, too far for any covering code, so pairs meet at their rarest shingles and the sets decide.  Documents with
+    equal sets are one node, whose id is the digest of the set.  First a shingle's nodes are held against one of them,
+    in ``HUB_TURNS`` turns with another one each; then every pair that this has not brought into one group is looked at.
+    Large groups of similar texts so cost a few comparisons per member, and no pair is missed.
     Null texts and texts without words are one group; keys and repeated rows as in ``near_duplicates``.
     """
     share = Fraction(str(similarity))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
-    common, counts = frequent_shingles(rows, width)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
 
     def first(sets: list[np.ndarray]) -> list[pa.Array]:
-        lists = []
+        lists, (common, counts) = [], frequent.value
         for s in sets:
             if len(common):
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -309,17 +367,22 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     marked = cut(shingle_sets(rows, width, first, "id long, size int, first array<long>, parities array<long>"), "simhash-marked")
     nodes = cut(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("digest").alias("digest"), *[
         F.any_value(c).alias(c) for c in ("size", "first", "parities")]), "simhash-nodes")
-    pairs = cut(candidate_pairs(nodes, share), "simhash-pairs")
-    stars, edges = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")), None
-    if pairs.count() > 4 * stars.count():
-        edges = cut(similar_pairs(stars, rows, nodes, width, share), "simhash-stars")
-        group = cut(connected_components(edges), "simhash-groups")
-        for c in "ab":
-            pairs = pairs.join(group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-        pairs = cut(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "simhash-rest")
-    rest = similar_pairs(pairs, rows, nodes, width, share)
-    edges = rest if edges is None else edges.unionByName(rest)
-    labels = labelled(nodes.select("id", "least"), edges)
+    shared = cut(shared_shingles(nodes).withColumn("group", F.col("id")), "simhash-shared")
+    seen, edges = [], []
+    for turn in range(HUB_TURNS + 1):
+        met = hub_pairs(shared, turn) if turn < HUB_TURNS else rest_pairs(shared)
+        pairs = _oriented(met, nodes, share)
+        for earlier in seen:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        seen.append(cut(pairs, "simhash-pairs"))
+        if seen[-1].isEmpty():
+            continue
+        edges.append(cut(similar_pairs(seen[-1], rows, nodes, width, share), "simhash-similar"))
+        if turn < HUB_TURNS:
+            shared = _with_groups(shared, reduce(DataFrame.unionByName, edges))
+    if not edges:
+        edges = [docs.sparkSession.createDataFrame([], "a long, b long")]
+    labels = labelled(nodes.select("id", "least"), reduce(DataFrame.unionByName, edges))
     return marked.select("key", "id").join(labels, "id").select(F.col("key").alias(key), "component_id")
 
 
