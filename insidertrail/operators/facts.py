@@ -14,23 +14,22 @@ def facts_as_of(trades: DataFrame, facts: DataFrame, concepts: dict[str, str], *
     """Latest known fact per concept for each distinct (company, trade day).
 
     Only facts filed on or before the day count; among those the latest period
-    wins, then the latest filing.  One struct column per concept.
+    wins, then the latest filing.  One struct column per concept, null where none is known.  Trades without
+    a company or day know nothing and get no row.
     """
-    w = (W.partitionBy("company_id", "concept").orderBy("filed_date")
-         .rowsBetween(W.unboundedPreceding, 0))
-    # A filing day keeps its best fact, and later days carry the best one so far.
-    best = F.max(F.struct("period_end", "filed_date", "value"))
-    daily = (facts.where(F.col("concept").isin(list(concepts)))
-             .groupBy("company_id", "concept", "filed_date").agg(best.alias("f"))
-             .withColumn("f", F.max("f").over(w)))
-    out = trades.select("company_id", F.col(on)).distinct()
-    for concept, name in concepts.items():
-        series = daily.where(F.col("concept") == concept)
-        found = asof.bracket(out.select("company_id", F.col(on).alias("as_of")), series,
-                             key="company_id", on="filed_date", values=["f"], next=False)
-        out = asof.attach(out, found, key="company_id", on=on).select(
-            *out.columns, F.col("prev.f").alias(name))
-    return out
+    # One merge of facts and asked days per company, whatever the number of concepts.  A filing day is one row with
+    # a slot per concept; each slot's running best is a maximum, so amendments and late filings need no second look.
+    fact = F.struct("period_end", "filed_date", "value")
+    slots = {name: F.max(F.when(F.col("concept") == concept, fact)).alias(name) for concept, name in concepts.items()}
+    daily = (facts.where(F.col("concept").isin(list(concepts)) & F.col("company_id").isNotNull() & F.col("filed_date").isNotNull())
+             .groupBy("company_id", F.col("filed_date").alias("day")).agg(*slots.values()))
+    asked = (trades.select("company_id", F.col(on).alias("day")).where(F.col("company_id").isNotNull() & F.col("day").isNotNull())
+             .distinct().withColumn("asked", F.lit(True)))
+    both = daily.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    # Of a day its filings come first.
+    w = W.partitionBy("company_id").orderBy("day", "asked").rowsBetween(W.unboundedPreceding, 0)
+    known = both.withColumns({name: F.max(name).over(w) for name in slots}).where("asked")
+    return known.select("company_id", F.col("day").alias(on), *slots)
 
 
 def short_pressure(trades: DataFrame, short_volume: DataFrame, *, on: str = "trade_date") -> DataFrame:

@@ -8,18 +8,22 @@ their cell up.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insidertrail.functions.distributions import normal_cdf
+from insidertrail.functions.distributions import normal_cdf, normal_quantile
 from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import ledger as L
 from insidertrail.operators.single import single_row
+from insidertrail.operators.staged import written
 from insidertrail.params import RESEARCH, ResearchParams
 
 SPEC_SCHEMA = "id string, base string, atoms array<string>, hold_days int, window string"
@@ -219,26 +223,44 @@ def evaluate(specs: DataFrame, metrics: DataFrame, levers: Sequence[str] = ()) -
 # --- overfitting statistics -------------------------------------------------
 
 
-def expected_max_sharpe(n_trials: int, sr_variance: float) -> float:
-    from math import e, sqrt
-    from statistics import NormalDist
+def expected_max_sharpe(n_trials: Column, sr_variance: Column) -> Column:
+    """The largest Sharpe that ``n_trials`` without skill would be expected to reach; 0 for fewer than two."""
+    n = n_trials.cast("double")
+    best = (1 - EULER_GAMMA) * normal_quantile(1 - 1 / n) + EULER_GAMMA * normal_quantile(1 - 1 / (n * math.e))
+    return F.when((n >= 2) & (sr_variance > 0), F.sqrt(sr_variance) * best).otherwise(F.lit(0.0))
 
-    if n_trials < 2 or sr_variance <= 0:
-        return 0.0
-    q = NormalDist().inv_cdf
-    return sqrt(sr_variance) * ((1 - EULER_GAMMA) * q(1 - 1 / n_trials) + EULER_GAMMA * q(1 - 1 / (n_trials * e)))
 
+def with_deflated_sharpe(rows: DataFrame, n_trials: int = 0, sr_variance: float = 0.0, *, chance: Column | None = None) -> DataFrame:
+    """Probability that the true Sharpe beats the best of ``n_trials`` null trials.
 
-def with_deflated_sharpe(rows: DataFrame, n_trials: int, sr_variance: float) -> DataFrame:
-    """Probability that the true Sharpe beats the best of ``n_trials`` null trials."""
+    ``chance`` is that best one where it is known already, such as that of ``ledger_trials``.
+    """
+    if chance is None:
+        chance = expected_max_sharpe(F.lit(n_trials), F.lit(sr_variance))
     sr, n = F.col("sr_hat"), F.col("n_obs")
     spread = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr))
-    z = (sr - expected_max_sharpe(n_trials, sr_variance)) * F.sqrt(n - 1) / spread
+    z = (sr - F.col("_chance")) * F.sqrt(n - 1) / spread
     # An undefined shape (constant returns) reads as normal.
     filled = rows.withColumns({"skew": F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)),
-                               "kurtosis": F.coalesce(F.nanvl("kurtosis", F.lit(3.0)), F.lit(3.0))})
+                               "kurtosis": F.coalesce(F.nanvl("kurtosis", F.lit(3.0)), F.lit(3.0)),
+                               "_chance": chance})
     return (filled.withColumn("_z", F.when(n >= 2, z)).withColumn("_p", normal_cdf("_z"))
-            .withColumn("deflated_sharpe", F.coalesce("_p", F.lit(0.0))).drop("_z", "_p"))
+            .withColumn("deflated_sharpe", F.coalesce("_p", F.lit(0.0))).drop("_z", "_p", "_chance"))
+
+
+def ledger_trials(ledger: DataFrame) -> dict[str, Column]:
+    """Number of trials, Sharpe variance and best Sharpe by chance of a stored ledger (batch, id, sr_hat), as one-row subqueries.
+
+    Every record is a trial.  The variance is carried from batch to batch: half the old one plus half the population
+    variance of the batch's Sharpes, to six digits, where a batch has at least two.
+    """
+    batches = ledger.groupBy("batch").agg(F.count(F.lit(1)).alias("trials"), F.count("sr_hat").alias("n"), F.var_pop("sr_hat").alias("v"))
+    # One row per batch from here on.
+    listed = batches.agg(F.sum("trials").alias("n_trials"), F.array_sort(F.collect_list(F.struct("batch", "n", "v"))).alias("b"))
+    carried = F.aggregate("b", F.lit(0.0), lambda old, b: F.when(b["n"] >= 2, F.round(0.5 * old + 0.5 * b["v"], 6)).otherwise(old))
+    numbers = listed.select(F.coalesce("n_trials", F.lit(0)).alias("n_trials"), carried.alias("sr_variance"))
+    row = single_row(numbers.withColumn("chance", expected_max_sharpe(F.col("n_trials"), F.col("sr_variance"))))
+    return {name: row[name] for name in ("n_trials", "sr_variance", "chance")}
 
 
 # --- screening, ledger and nominees -----------------------------------------
@@ -275,46 +297,87 @@ OBJECTIVES = {"val_sharpe": 1, "val_ret": 1, "val_maxdd": 1, "val_top20": -1, "v
 FRONTIER_BLOCK = 4096
 
 
+def _beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points some row of ``by`` equals or exceeds in every objective and exceeds in one."""
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(points), 64):
+        some = points[at:at + 64, None, :]
+        out[at:at + 64] = ((by >= some).all(axis=2) & (by > some).any(axis=2)).any(axis=1)
+    return out
+
+
+def _own_frontier(points: np.ndarray, block: int) -> np.ndarray:
+    """Places of the points that no other of ``points`` beats: strongest sums first, against those kept so far."""
+    order = np.argsort(-points.sum(axis=1), kind="stable")
+    kept = np.zeros(0, np.int64)
+    for at in range(0, len(order), block):
+        some = order[at:at + block]
+        some = some[~_beaten(points[some], points[kept])]
+        kept = np.concatenate([kept, some[~_beaten(points[some], points[some])]])
+    return kept
+
+
+def _points(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
 def pareto_frontier(records: DataFrame, objectives: Mapping[str, int] = OBJECTIVES, *,
-                    key: str = "id") -> DataFrame:
+                    key: str = "id", block: int = FRONTIER_BLOCK) -> DataFrame:
     """Records no other record beats in one objective without losing in another.
 
-    Every partition drops what it can dominate itself, a block at a time.  What is left is packed into blocks, and
-    each block meets every other: a frontier may be the whole input, and no task holds more than two blocks.
+    What beats a record has a larger sum of objectives.  So the ``block`` records of largest sums come first: their
+    own frontier, which is sent to every task, leaves few others.  These are ordered by the first objective and cut
+    into blocks, which drop what they beat themselves.  A block then meets only those whose largest values reach its
+    smallest in every objective; a frontier may still be the whole input, and no task holds more than two blocks.
     """
-    names = list(objectives)
-    pts = records.where(F.col("val_trades") > 0).select(F.col(key).cast("string").alias(key), F.array(*[
-        (F.coalesce(F.col(n), F.lit(1.0) if s < 0 else F.lit(0.0)) * s).cast("double") for n, s in objectives.items()]).alias("p"))
-
-    def beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(points), bool)
-        for at in range(0, len(points), 64):
-            some = points[at:at + 64, None, :]
-            out[at:at + 64] = ((by >= some).all(axis=2) & (by > some).any(axis=2)).any(axis=1)
-        return out
-
-    def local(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), FRONTIER_BLOCK):
-                some = pdf.iloc[at:at + FRONTIER_BLOCK]
-                points = np.array(some["p"].tolist())
-                yield some[~beaten(points, points)]
-
-    alive = pts.mapInPandas(local, f"{key} string, p array<double>")
-    n_blocks = max(1, -(-pts.count() // FRONTIER_BLOCK))
-    blocks = (alive.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")).groupBy("block")
-              .agg(F.collect_list(F.struct(key, "p")).alias("points")))
-    pairs = blocks.join(blocks.select(F.col("points").alias("others"), F.explode(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")), "block")
-
-    def compared(batches):
-        for pdf in batches:
-            for points, others in zip(pdf["points"], pdf["others"]):
-                lost = beaten(np.array([x["p"] for x in points]), np.array([x["p"] for x in others]))
-                yield pd.DataFrame({key: [x[key] for x, out in zip(points, lost) if out]}, dtype=object)
-
-    lost = pairs.select("points", "others").mapInPandas(compared, f"{key} string").distinct()
-    return alive.select(key).join(lost, key, "left_anti")
+    values = F.array(*[(F.coalesce(F.col(n), F.lit(1.0) if s < 0 else F.lit(0.0)) * s).cast("double") for n, s in objectives.items()])
+    pts = records.where(F.col("val_trades") > 0).select(F.col(key).cast("string").alias(key), values.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    strongest = pts.orderBy(total.desc(), key).limit(block).select("p").toArrow()  # at most ``block`` rows
+    first = np.array(strongest.column("p").to_pylist(), float).reshape(strongest.num_rows, len(objectives))
+    first = pts.sparkSession.sparkContext.broadcast(first[_own_frontier(first, 512)])
+
+    def unbeaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_beaten(_points(batch, "p"), first.value)))
+
+    left = pts.mapInArrow(unbeaten, f"{key} string, p array<double>")
+    left = written(left.repartitionByRange(F.col("p")[0], F.col("p")[1], key).withColumn("part", F.spark_partition_id()), "frontier")
+    names = [f"p{i}" for i in range(len(objectives))]
+    box = ", ".join(f"low_{n} double, high_{n} double" for n in names)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                some = batch.slice(at, block)
+                points = _points(some, "p")
+                kept = _own_frontier(points, 512)
+                some, points = some.take(pa.array(kept)), points[kept]
+                lists = [pa.array([some.column(0).to_pylist()], pa.list_(pa.string())), pa.array([points.ravel()], pa.list_(pa.float64()))]
+                bounds = [pa.array([edge], pa.float64()) for c in range(points.shape[1]) for edge in (points[:, c].min(), points[:, c].max())]
+                yield pa.RecordBatch.from_arrays([*lists, *bounds], [key + "s", "ps", *[f"{e}_{n}" for n in names for e in ("low", "high")]])
+
+    packed = left.select(key, "p").mapInArrow(blocks, f"{key}s array<string>, ps array<double>, {box}")
+    packed = written(packed.withColumn("block", F.monotonically_increasing_id()), "frontier-blocks")
+    ours, theirs = packed.alias("x"), packed.alias("y")
+    reach = [F.col(f"y.high_{n}") >= F.col(f"x.low_{n}") for n in names]
+    # Blocks are few; their points follow once the boxes have told which of them meet.
+    meets = ours.select("block", *[f"low_{n}" for n in names]).alias("x").join(
+        theirs.select("block", *[f"high_{n}" for n in names]).alias("y"), reduce(and_, reach, F.col("x.block") != F.col("y.block")))
+    meets = meets.select(F.col("x.block").alias("block"), F.col("y.block").alias("other"))
+    pairs = (meets.join(packed.select("block", f"{key}s", "ps"), "block")
+             .join(packed.select(F.col("block").alias("other"), F.col("ps").alias("others")), "other"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, points, others = (batch.column(c)[at].values for c in (f"{key}s", "ps", "others"))
+                shape = (-1, len(names))
+                lost = _beaten(points.to_numpy().reshape(shape), others.to_numpy().reshape(shape))
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(lost))], [key])
+
+    lost = pairs.select(f"{key}s", "ps", "others").mapInArrow(compared, f"{key} string").distinct()
+    return packed.select(F.explode(f"{key}s").alias(key)).join(lost, key, "left_anti")
 
 
 def nominees(records: DataFrame, incumbents: DataFrame, frontier: DataFrame,

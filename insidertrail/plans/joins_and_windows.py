@@ -172,6 +172,30 @@ def j12(t):
         F.round("revenues.value", 2).alias("revenues"))
 
 
+_CONCEPTS = {"us-gaap:Revenues": "revenues", "us-gaap:NetIncomeLoss": "income", "us-gaap:Assets": "assets"}
+_FACTS_SQL = """
+SELECT company_id, concept, period_end, filed_date, value FROM fx_fundamentals
+UNION ALL SELECT company_id, 'us-gaap:NetIncomeLoss', period_end, filed_date + CAST(company_id % 40 AS INT), value * 3 FROM fx_fundamentals
+UNION ALL SELECT company_id, 'us-gaap:Assets', period_end, filed_date + 3, value * 4 FROM fx_fundamentals
+UNION ALL SELECT company_id, concept, period_end, filed_date + 100, value + 1 FROM fx_fundamentals"""
+
+
+@query("j12_facts_in_one_merge", f"""
+SELECT t.company_id, t.d AS transaction_date, f.concept, f.period_end, round(f.value, 2) AS value
+FROM (SELECT DISTINCT company_id, transaction_date AS d FROM fx_transactions WHERE is_discretionary) t
+JOIN ({_FACTS_SQL}) f ON f.company_id = t.company_id AND f.filed_date <= t.d
+QUALIFY row_number() OVER (PARTITION BY t.company_id, t.d, f.concept ORDER BY f.period_end DESC, f.filed_date DESC) = 1""")
+def j12_all(t):
+    """Three concepts with different delays; each report is amended a hundred days later."""
+    from insidertrail.operators.facts import facts_as_of
+
+    facts = t.spark.sql(_FACTS_SQL.replace("FROM fx_fundamentals", "FROM {fx_fundamentals}"), fx_fundamentals=t.fundamentals)
+    wide = facts_as_of(t.transactions.where("is_discretionary"), facts, _CONCEPTS)
+    slots = F.array(*[F.struct(F.lit(c).alias("concept"), F.col(name).alias("fact")) for c, name in _CONCEPTS.items()])
+    rows = wide.select("company_id", "transaction_date", F.explode(slots).alias("x")).where("x.fact is not null")
+    return rows.select("company_id", "transaction_date", "x.concept", "x.fact.period_end", F.round("x.fact.value", 2).alias("value"))
+
+
 @query("j13_short_pressure", """
 SELECT e.accession_id, s.date AS pressure_date, round(s.short_volume / nullif(s.total_volume, 0), 6) AS short_ratio
 FROM (SELECT accession_id, concat('T', CAST(company_id AS STRING)) AS ticker, CAST(filed_at AS DATE) AS d

@@ -12,7 +12,7 @@ from insidertrail.operators import levers as V
 from insidertrail.operators import research as R
 from insidertrail.params import RESEARCH, SIGNALS
 from insidertrail.plans.helpers import flagged, rounded
-from insidertrail.plans.oracle_views import CSUITE_SQL, ORACLE_VIEWS, normal_cdf_sql
+from insidertrail.plans.oracle_views import CSUITE_SQL, ORACLE_VIEWS, chance_sharpe, normal_cdf_sql
 from insidertrail.plans.registry import query
 from insidertrail.plans.research import HOLDS, WINDOWS
 
@@ -183,7 +183,7 @@ def r02_spread(t):
 
 
 _LEVER_DSR = f"""SELECT *, CASE WHEN n_obs >= 2 THEN {normal_cdf_sql("z")} ELSE 0.0 END AS dsr FROM (
-  SELECT *, (sr_hat - {R.expected_max_sharpe(TRIALS, VARIANCE)!r}) * sqrt(greatest(n_obs - 1, 0)) / sqrt(greatest(1e-12,
+  SELECT *, (sr_hat - {chance_sharpe(TRIALS, VARIANCE)!r}) * sqrt(greatest(n_obs - 1, 0)) / sqrt(greatest(1e-12,
     1 - coalesce(skew, 0) * sr_hat + (coalesce(kurtosis, 3) - 1) / 4 * sr_hat * sr_hat)) AS z FROM ox_lever_records)"""
 FRONTIER_SQL = """
 SELECT a.id FROM ox_lever_records a WHERE a.val_trades > 0 AND NOT EXISTS (

@@ -354,10 +354,10 @@ def normal_cdf_sql(z: str) -> str:
     exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2.0 * k + 2) + k * ln(2) + lgamma(k + 1.0))))) END"""
 
 
-def deflated_sharpe_sql(expected_max: float) -> str:
+def deflated_sharpe_sql(expected_max: str) -> str:
     """(required, hold_days, dsr) of the validate window, given the Sharpe that chance alone would reach."""
     return f"""SELECT *, CASE WHEN n_obs >= 2 THEN {normal_cdf_sql("z")} ELSE 0.0 END AS dsr FROM (
-  SELECT *, (sr_hat - {expected_max!r}) * sqrt(greatest(n_obs - 1, 0)) / sqrt(greatest(1e-12,
+  SELECT *, (sr_hat - {expected_max}) * sqrt(greatest(n_obs - 1, 0)) / sqrt(greatest(1e-12,
     1 - coalesce(skew, 0) * sr_hat + (coalesce(kurtosis, 3) - 1) / 4 * sr_hat * sr_hat)) AS z
   FROM (SELECT *, CAST(trades AS DOUBLE) AS n_obs FROM ox_cell_stats WHERE "window" = 'validate'))"""
 
@@ -388,3 +388,20 @@ FROM (SELECT DISTINCT insider_id, company_id FROM fx_transactions t JOIN fx_insi
       WHERE is_discretionary AND NOT is_institution) i
 LEFT JOIN (SELECT insider_id, company_id, {RECORD_SQL} FROM ox_events GROUP BY ALL) r USING (insider_id, company_id)"""
 ORACLE_VIEWS["ox_company_scores"] = score_sql("ox_company_score_input", "insider_id, company_id")
+
+
+def chance_sharpe(n_trials: int, sr_variance: float) -> float:
+    """The largest Sharpe that chance alone would be expected to reach, for check SQL."""
+    from math import e, sqrt
+    from statistics import NormalDist
+
+    q = NormalDist().inv_cdf
+    return sqrt(sr_variance) * ((1 - 0.5772156649015329) * q(1 - 1 / n_trials) + 0.5772156649015329 * q(1 - 1 / (n_trials * e)))
+
+
+def normal_quantile_sql(p: str) -> str:
+    """The quantile by halving an interval of eight deviations fifty times."""
+    at = normal_cdf_sql("((b[1] + b[2]) / 2)")
+    return f"""list_reduce(
+  list_prepend([-8.0::DOUBLE, 8.0::DOUBLE], list_transform(range(50), lambda k: [0.0::DOUBLE, 0.0::DOUBLE])),
+  lambda b, k: CASE WHEN {at} < {p} THEN [(b[1] + b[2]) / 2, b[2]] ELSE [b[1], (b[1] + b[2]) / 2] END)[1]"""

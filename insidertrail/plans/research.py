@@ -8,7 +8,7 @@ from insidertrail.functions.scalars import ATOMS
 from insidertrail.operators import research as R
 from insidertrail.params import RESEARCH
 from insidertrail.plans.helpers import flagged, rounded
-from insidertrail.plans.oracle_views import deflated_sharpe_sql, spec_id_sql
+from insidertrail.plans.oracle_views import chance_sharpe, deflated_sharpe_sql, normal_quantile_sql, spec_id_sql
 from insidertrail.plans.registry import query
 
 HOLDS = [20, 60]
@@ -73,7 +73,7 @@ def r03(t):
 
 
 def _deflated(n_trials, sr_variance):
-    return deflated_sharpe_sql(R.expected_max_sharpe(n_trials, sr_variance))
+    return deflated_sharpe_sql(repr(chance_sharpe(n_trials, sr_variance)))
 
 
 @query("r04_deflated_sharpe", f"""
@@ -84,6 +84,30 @@ def r04(t):
         "id", "sr_hat", "n_obs", "deflated_sharpe"), "sr_hat", "deflated_sharpe")
 
 
+def stored_ledger(t):
+    """The ledger after two batches: the hold lengths of the validate window one after the other."""
+    def build():
+        records = validate_records(t).select("id", "sr_hat", F.when(F.col("id").endswith("_h20"), 1).otherwise(2).alias("batch"))
+        return R.upsert_ledger(records.where("batch = 1"), records.where("batch = 2"))
+
+    return t.stage("spec_ledger", build)
+
+
+_LEDGER_VARIANCE = "round(0.5 * round(0.5 * v20, 6) + 0.5 * v60, 6)"
+_LEDGER_CHANCE = f"""(SELECT sqrt({_LEDGER_VARIANCE}) * (0.42278433509846713 * {normal_quantile_sql("(1 - 1.0::DOUBLE / n)")}
+    + 0.5772156649015329 * {normal_quantile_sql("(1 - 1.0::DOUBLE / (n * exp(1)))")})
+  FROM (SELECT count(*) AS n, var_pop(sr_hat) FILTER (hold_days = 20) AS v20, var_pop(sr_hat) FILTER (hold_days = 60) AS v60
+        FROM ox_cell_stats WHERE "window" = 'validate'))"""
+
+
+@query("r04_ledger_fed", f"""
+SELECT {spec_id_sql("d")} AS id, round(dsr, 6) AS deflated_sharpe FROM ({deflated_sharpe_sql(_LEDGER_CHANCE)}) d""")
+def r04_ledger(t):
+    """Trials and variance come from the stored ledger, which earlier batches filled."""
+    return rounded(R.with_deflated_sharpe(results(t, "validate"), chance=R.ledger_trials(stored_ledger(t))["chance"]).select(
+        "id", "deflated_sharpe"), "deflated_sharpe")
+
+
 @query("r05_screen_and_confirm", f"""
 SELECT {spec_id_sql("t")} AS id, CAST(bit_count(CASE WHEN t.required = 64 THEN 0 ELSE t.required END) AS INT) AS complexity,
   round(t.sharpe, 4) AS train_sharpe, round(v.sharpe, 4) AS val_sharpe, round(v.dsr, 4) AS deflated_sharpe

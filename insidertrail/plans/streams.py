@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,27 @@ def st01(t):
     return t.spark.read.parquet(out).withColumn("filed_at", F.col("filed_at").cast("timestamp_ntz"))
 
 
+def _halves(t: Tables, out: str) -> Iterator[DataFrame]:
+    """The stream of a folder after the later half of the month has come, and again after the earlier one has."""
+    landing, cut = f"{out}-landing", F.lit("2024-01-16").cast("timestamp")
+    for older in (False, True):
+        part = t.filing_stream.where((F.col("filed_at") < cut) if older else (F.col("filed_at") >= cut))
+        part.write.mode("append").parquet(landing)
+        yield t.spark.readStream.schema(t.filing_stream.schema).parquet(landing)
+
+
+@query("st01_filings_loaded_once", """
+SELECT accession_id, filed_at, insider_id, company_id, transaction_code, total_value FROM fx_filing_stream WHERE accession_id IS NOT NULL""")
+def st01_once(t):
+    """The month arrives in halves, the later one first, and then once more as a whole: every filing is stored once."""
+    out, check = _paths(t, "st01-once")
+    load = J.load_once(f"{out}/store", "accession_id", "filed_at")
+    for stream in _halves(t, out):
+        J.drain_batches(stream, load, check)
+    J.drain_batches(stream, lambda batch, i: load(batch, 1_000 + i), f"{check}-again")
+    return J.committed(t.spark, f"{out}/store", t.filing_stream.schema).drop("batch_id")
+
+
 @query("st02_late_rows", """
 SELECT accession_id, CASE WHEN filed_at < TIMESTAMP '2024-01-16 00:00:00' THEN 'backfill' ELSE 'stream' END AS route
 FROM fx_filing_stream""")
@@ -77,10 +99,10 @@ CROSS JOIN (SELECT CAST(k AS INT) AS k FROM range(7) r(k)) r
 WHERE CAST(day - k + 7 AS TIMESTAMP) <= (SELECT max(filed_at) FROM fx_filing_stream WHERE transaction_code = 'P') - INTERVAL 1 HOUR
 GROUP BY 1, 2""")
 def st04(t):
+    """Daily panes come from the stream; windows are put together from the closed ones."""
     out, check = _paths(t, "st04")
-    J.drain_to_table(J.sliding_clusters(filings(t), lateness="1 hour"), out, check)
-    return t.spark.read.parquet(out).select(
-        F.col("window_start").cast("date").alias("window_day"), "company_id", "unique_buyers", "buys")
+    done = J.drain_to_table(J.buyer_panes(filings(t), lateness="1 hour"), out, check)
+    return J.sliding_clusters(t.spark.read.parquet(out), J.watermark(done))
 
 
 @query("st05_first_observed_buys", """
@@ -88,9 +110,13 @@ SELECT insider_id, accession_id, company_id FROM (
   SELECT *, row_number() OVER (PARTITION BY insider_id ORDER BY filed_at, accession_id) AS pick FROM fx_filing_stream
   WHERE transaction_code = 'P') WHERE pick = 1""")
 def st05(t):
+    """The later half of the month comes first; buys of the earlier half then correct what it gave."""
     out, check = _paths(t, "st05")
-    J.drain_to_table(J.first_observed_buys(filings(t)), out, check)
-    return t.spark.read.parquet(out).select("insider_id", "accession_id", "company_id")
+    for filed in _halves(t, out):
+        stream = J.first_observed_buys(filed)
+        J.drain_batches(stream, J.batch_partitions(out), check, mode="update")
+    updates = t.spark.read.schema(J.with_batch_id(stream.schema)).parquet(out)
+    return J.latest_updates(updates, ["insider_id"]).select("insider_id", "accession_id", "company_id")
 
 
 @query("st06_alert_batches", f"SELECT {_ALERT_OUT} FROM ox_alerts")
