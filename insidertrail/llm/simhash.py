@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from insidertrail.llm.common import cut, released, table
+from insidertrail.llm.common import BROADCAST_ROWS, cut, released, table
 from insidertrail.llm.components import connected_components
 
 SEED = 42
@@ -28,7 +28,7 @@ SAMPLE, FREQUENT = 16, 500_000
 FILTER_BITS = 26  # of the filter of texts that take part in a pair; it may let others pass
 ROWS_AT_ONCE = 1000
 PARITIES = 1024  # least number of bits that tell the parity of the shingles of a set that fall on each
-HUB_TURNS = 2
+HUB_TURNS = 4
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
@@ -248,11 +248,11 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 def shared_shingles(nodes: DataFrame) -> DataFrame:
     """(shingle, id, size, at): the first shingles of ``nodes`` (id, size, first) that more than one of them has.
 
-    Rows are shuffled once; counting and looking up read the same partitions, row by row.
+    Rows are shuffled once; what a shingle's rows need is sorted and can spill.
     """
-    rows = nodes.select("id", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")
-    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    return rows.join(several, "shingle").select("shingle", "id", "size", "at")
+    rows = nodes.select("id", "size", F.posexplode("first").alias("at", "shingle"))
+    return (rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("n > 1")
+            .select("shingle", "id", "size", "at"))
 
 
 def _oriented(rows: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
@@ -285,11 +285,13 @@ def _oriented(rows: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
 
 def _with_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
     """``shared`` with the component of each node; shingles whose nodes are all in one are left out."""
-    groups = cut(connected_components(edges), "simhash-groups")
-    rows = shared.drop("group").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    rows = cut(rows.select("shingle", "id", "size", "at", F.coalesce("component", "id").alias("group")), "simhash-grouped")
-    mixed = rows.groupBy("shingle").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most")
-    return cut(rows.join(mixed.select("shingle"), "shingle", "left_semi"), "simhash-mixed")
+    groups = cut(connected_components(edges).withColumnRenamed("node", "id"), "simhash-groups")
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    rows = shared.drop("group").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    of_shingle = Window.partitionBy("shingle")
+    mixed = rows.withColumns({"least": F.min("group").over(of_shingle), "most": F.max("group").over(of_shingle)}).filter("least <> most")
+    return cut(mixed.select("shingle", "id", "size", "at", "group"), "simhash-mixed")
 
 
 POINT = ("id", "size", "at", "group")
