@@ -264,7 +264,10 @@ def float_text(col: Column | str) -> Column:
         F.abs(power).cast("string"))
     text = (F.when(size == 0, F.lit("0.0")).when((power >= -4) & (power < 16), plain).otherwise(scientific))
     sign = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return (F.when(F.isnan(value), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    # Nearly all numbers of shares are whole; they need no search for the shortest text.
+    counted = value.cast("bigint")
+    return (F.when((size > 0) & (size < 2.0 ** 53) & (counted.cast("double") == value), F.concat(counted.cast("string"), F.lit(".0")))
+            .when(F.isnan(value), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
             .otherwise(F.concat(sign, text)))
 
 

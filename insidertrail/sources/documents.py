@@ -109,10 +109,6 @@ def universe_tickers(lines: DataFrame) -> DataFrame:
             .select(F.upper(text).alias("ticker")).distinct())
 
 
-def read_universe(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return universe_tickers(spark.read.text(paths))
-
-
 # --- ownership documents (XML) ----------------------------------------------
 
 _VALUE = "struct<value: string>"

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from insidertrail.functions.scalars import blank_to_null, iso_date
 
-HARVEST_FORMS = ["8-K", "SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A"]
-
 
 def normalise_filing_events(raw: DataFrame, *, order: str, stored: DataFrame | None = None) -> DataFrame:
     """Typed events, the first row of each accession; undated events are dropped.
