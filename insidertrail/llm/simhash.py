@@ -28,7 +28,7 @@ SAMPLE, FREQUENT = 16, 500_000
 FILTER_BITS = 26  # of the filter of texts that take part in a pair; it may let others pass
 ROWS_AT_ONCE = 1000
 PARITIES = 1024  # least number of bits that tell the parity of the shingles of a set that fall on each
-HUB_TURNS = 4
+HUB_TURNS = 2
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
