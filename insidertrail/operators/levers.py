@@ -148,9 +148,9 @@ def order_spread(counted: DataFrame, required: Sequence[int], *, seeds: Sequence
         fold, "required int, hold_days int, window string, exit_bits int, seed int, pnl array<double>")
     returns = (folded.select(*group, "seed", F.posexplode("pnl").alias("size_index", "pnl"))
                .groupBy(*group, "size_index", "seed").agg((F.sum("pnl") / capital).alias("ret")))
-    mean = F.avg("ret")
+    mean, apart = F.avg("ret"), F.stddev_pop("ret")
     return returns.groupBy(*R.CELL, *R.LEVERS).agg(
-        mean.alias("mean_ret"), F.when(mean != 0, F.stddev_pop("ret") / mean).otherwise(F.lit(0.0)).alias("cv"))
+        mean.alias("mean_ret"), F.when((mean != 0) & (apart > 0), apart / mean).otherwise(F.lit(0.0)).alias("cv"))
 
 
 def with_spread(metrics: DataFrame, spread: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ SELECT {_KEYS}, least(min((equity - peak) / peak), 0) AS maxdd FROM (
 GROUP BY {_KEYS}"""
 _SPREAD_GROUP = 'required, hold_days, "window", exit_bits, ticker, seed'
 SPREAD_SQL = f"""
-SELECT {_KEYS}, avg(ret) AS mean_ret, CASE WHEN avg(ret) <> 0 THEN stddev_pop(ret) / avg(ret) ELSE 0 END AS cv FROM (
+SELECT {_KEYS}, avg(ret) AS mean_ret, CASE WHEN avg(ret) <> 0 AND stddev_pop(ret) > 0 THEN stddev_pop(ret) / avg(ret) ELSE 0 END AS cv FROM (
   SELECT required, hold_days, "window", exit_bits, z.size_index, seed, sum(CASE WHEN z.size_index = 1 THEN p1 ELSE p0 END) / 10000 AS ret
   FROM (
     WITH RECURSIVE o AS (
@@ -177,9 +177,13 @@ def r02_cells(t):
     return rounded(out, "sharpe", "ret", "maxdd", "top20", digits=5)
 
 
-@query("r02_order_spread", f"SELECT {_KEYS}, round(mean_ret, 5) AS mean_ret, round(cv, 5) AS cv FROM ({SPREAD_SQL})")
+@query("r02_order_spread", f"""
+SELECT {_KEYS}, round(mean_ret, 5) AS mean_ret,
+  CASE WHEN abs(cv) < 0.000005 THEN 0.0::DOUBLE ELSE round(cv, 5) END AS cv FROM ({SPREAD_SQL})""")
 def r02_spread(t):
-    return rounded(V.order_spread(counted(t), REQUIRED, seeds=SEEDS), "mean_ret", "cv", digits=5)
+    found = V.order_spread(counted(t), REQUIRED, seeds=SEEDS)
+    seen = F.when(F.abs("cv") < 0.000005, F.lit(0.0)).otherwise(F.col("cv"))  # no negative zero
+    return rounded(found.withColumn("cv", seen), "mean_ret", "cv", digits=5)
 
 
 _LEVER_DSR = f"""SELECT *, CASE WHEN n_obs >= 2 THEN {normal_cdf_sql("z")} ELSE 0.0 END AS dsr FROM (
