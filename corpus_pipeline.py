@@ -15,8 +15,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: similarity 0.8 or more over shingles of five words."""
-    return simhash.keep_one(docs, find=simhash.similar_documents)
+    """One document of each group: SimHash fingerprints within two bits, or similarity 0.8 or more over shingles of five words."""
+    return simhash.keep_one(docs, find=simhash.similar_documents, threshold=2)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

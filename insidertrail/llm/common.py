@@ -36,6 +36,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing will read again; others are left alone."""
+    for table_ in tables:
+        context = table_.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
+            if f"/insidertrail/{context.applicationId}/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` for ``mapInArrow``, giving back at its end what the worker no longer uses: workers live on between tasks."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from insidertrail.llm.common import BROADCAST_ROWS, cut, released, table
+from insidertrail.llm.common import BROADCAST_ROWS, cut, discard, released, table
 from insidertrail.llm.components import connected_components
 
 SEED = 42
@@ -64,13 +64,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(majority(shingle_hashes(words, width), max(1, len(words) - width + 1))[0]) if words else 0
 
 
+def _prints(texts: list[str | None], width: int) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t, width) for t in texts), "<u8", len(texts)).view("<i8"))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp): the fingerprint as a signed long; 0 for null texts and texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1).to_pylist(), width)], ["key", "fp"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(released(run), f"key {rows.schema['key'].dataType.simpleString()}, fp long")
@@ -200,8 +203,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view("<i8")))
 
 
-def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: Broadcast | None = None) -> DataFrame:
-    """``docs`` (key, text, digest) with ``columns``: those of ``first``, a function of a list of shingle sets to arrays.
+def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: Broadcast | None = None, whole=None) -> DataFrame:
+    """``docs`` (key, text, digest) with ``columns``: those of ``first``, a function of a list of shingle sets to arrays,
+    then those of ``whole``, if given: the same of a list of texts.
 
     ``passing`` are words of bits; rows whose digest has no bit set there are left out before they are read.
     """
@@ -212,8 +216,9 @@ def shingle_sets(docs: DataFrame, width: int, first, columns: str, passing: Broa
                 batch = batch.filter(pa.array((passing.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
-                sets = [shingle_set(t.as_py(), width) for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *first(sets)], names)
+                texts = some.column(1).to_pylist()
+                found = first([shingle_set(t, width) for t in texts]) + (whole(texts) if whole else [])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *found], names)
 
     names = ["key", "digest"] + [c.split()[0] for c in columns.split(", ")]
     return docs.mapInArrow(released(run), f"key {docs.schema['key'].dataType.simpleString()}, digest long, {columns}")
@@ -284,14 +289,21 @@ def _oriented(rows: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
 
 
 def _with_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """``shared`` with the component of each node; shingles whose nodes are all in one are left out."""
+    """``shared`` with the component of each node; shingles whose nodes are all in one are left out.
+
+    So are those where every node stood for a group of its own (``with_picks``): all their pairs are known.
+    """
     groups = cut(connected_components(edges).withColumnRenamed("node", "id"), "simhash-groups")
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
     rows = shared.drop("group").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
     of_shingle = Window.partitionBy("shingle")
     mixed = rows.withColumns({"least": F.min("group").over(of_shingle), "most": F.max("group").over(of_shingle)}).filter("least <> most")
-    return cut(mixed.select("shingle", "id", "size", "at", "group"), "simhash-mixed")
+    if "picked" in shared.columns:
+        mixed = mixed.withColumn("all", F.bool_and("picked").over(of_shingle)).filter("not all").drop("all")
+    mixed = cut(mixed.drop("component", "least", "most"), "simhash-mixed")
+    discard(shared)
+    return mixed
 
 
 POINT = ("id", "size", "at", "group")
@@ -308,16 +320,30 @@ def hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
     return met.filter(F.col("x.group") != F.col("y.group")).select("x", "y")
 
 
+def with_picks(shared: DataFrame) -> DataFrame:
+    """``shared`` with ``picked``: whether a node stands for its group among the nodes of the shingle."""
+    of_group = Window.partitionBy("shingle", "group").orderBy(F.xxhash64("id", "shingle"), "id")
+    return cut(shared.withColumn("picked", F.row_number().over(of_group) == 1), "simhash-picked")
+
+
+def picked_pairs(shared: DataFrame) -> DataFrame:
+    """(x, y): of any two groups that have nodes of a shingle, the two nodes that stand for them there."""
+    rows = shared.filter("picked")
+    one, other = (rows.select("shingle", F.struct(*POINT).alias(c)) for c in "xy")
+    return one.join(other, "shingle").filter(F.col("x.id") < F.col("y.id")).select("x", "y")
+
+
 def rest_pairs(shared: DataFrame) -> DataFrame:
-    """(x, y): all pairs of a shingle's nodes that are in different groups.
+    """(x, y): all pairs of a shingle's nodes that are in different groups, but for those of ``picked_pairs``.
 
     Of two such nodes at least one is outside the shingle's largest group, so only those nodes meet the others.
     """
     groups = shared.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
     largest = groups.groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
-    outside = shared.join(largest, "shingle").filter("group <> largest").select("shingle", F.struct(*POINT).alias("x"))
-    met = shared.select("shingle", F.struct(*POINT).alias("y")).join(outside, "shingle")
-    return met.filter(F.col("x.group") != F.col("y.group")).select("x", "y")
+    point = F.struct(*POINT, "picked")
+    outside = shared.join(largest, "shingle").filter("group <> largest").select("shingle", point.alias("x"))
+    met = shared.select("shingle", point.alias("y")).join(outside, "shingle")
+    return met.filter((F.col("x.group") != F.col("y.group")) & ~(F.col("x.picked") & F.col("y.picked"))).select("x", "y")
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, share: Fraction) -> DataFrame:
@@ -337,19 +363,37 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
     one, other = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
-    return (pairs.join(one, "a").join(other, "b")
-            .filter(share.denominator * both >= share.numerator * either).select("a", "b"))
+    found = cut(pairs.join(one, "a").join(other, "b")
+                .filter(share.denominator * both >= share.numerator * either).select("a", "b"), "simhash-similar")
+    discard(sets)
+    return found
+
+
+def fingerprint_links(prints: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): ids of ``prints`` (id, fp) linked so that all within ``threshold`` bits of one another, step by step, are joined.
+
+    Each group of fingerprints gives one star, so copies and large groups are never paired.
+    """
+    prints = cut(prints.distinct(), "simhash-prints")
+    nodes = cut(prints.select(F.col("fp").alias("id")).distinct().withColumns({"fp": F.col("id"), "tag": F.lit(0)}), "simhash-nodes")
+    groups = connected_components(cut(linked_fingerprints(nodes, threshold), "simhash-links")).withColumnRenamed("node", "fp")
+    rows = prints.join(groups, "fp", "left").select("id", F.coalesce("component", "fp").alias("component"))
+    hubs = rows.groupBy("component").agg(F.min("id").alias("hub"))
+    return rows.join(hubs, "component").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
-                      similarity: float = 0.8) -> DataFrame:
+                      similarity: float = 0.8, threshold: int | None = None, print_width: int = 3) -> DataFrame:
     """One row per document: key and component_id, the smallest key reachable over links of similar documents.
 
     Documents link when the sets of their ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``; every such pair is found.  A single 64-bit fingerprint tells such documents about ten bits
-    apart, too far for any covering code, so pairs meet at their rarest shingles and the sets decide.  Documents with
+    ``similarity``; every such pair is found.  With ``threshold`` they also link as in ``near_duplicates``, when their
+    fingerprints (of ``print_width``-word shingles) differ in at most so many bits; these links come first, and pairs
+    that they have joined are not looked at again.  A single 64-bit fingerprint tells similar documents about ten bits
+    apart, too far for any covering code, so the others meet at their rarest shingles and the sets decide.  Documents with
     equal sets are one node, whose id is the digest of the set.  First a shingle's nodes are held against one of them,
-    in ``HUB_TURNS`` turns with another one each; then every pair that this has not brought into one group is looked at.
+    in ``HUB_TURNS`` turns with another one each; then any two groups that this has left by a node of each; then every pair
+    that is still not in one group is looked at.
     Large groups of similar texts so cost a few comparisons per member, and no pair is missed.
     Null texts and texts without words are one group; keys and repeated rows as in ``near_duplicates``.
     """
@@ -366,26 +410,45 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             lists.append(s[:len(s) + 1 - -(-share.numerator * len(s) // share.denominator)] if len(s) else s)
         return [_ids(sets), pa.array([len(s) for s in sets], pa.int32()), _lists(lists), _parities(sets)]
 
-    marked = cut(shingle_sets(rows, width, first, "id long, size int, first array<long>, parities array<long>"), "simhash-marked")
-    nodes = cut(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("digest").alias("digest"), *[
-        F.any_value(c).alias(c) for c in ("size", "first", "parities")]), "simhash-nodes")
-    shared = cut(shared_shingles(nodes).withColumn("group", F.col("id")), "simhash-shared")
-    seen, edges = [], []
-    for turn in range(HUB_TURNS + 1):
-        met = hub_pairs(shared, turn) if turn < HUB_TURNS else rest_pairs(shared)
+    columns, whole = "id long, size int, first array<long>, parities array<long>", None
+    if threshold is not None:
+        columns, whole = columns + ", fp long", lambda texts: [_prints(texts, print_width)]
+    marked = cut(shingle_sets(rows, width, first, columns, whole=whole).withColumn("row", F.monotonically_increasing_id()), "simhash-marked")
+    members = cut(marked.select("key", "id"), "simhash-members")
+    edges = []
+    if threshold is not None:
+        edges.append(cut(fingerprint_links(marked.select("id", "fp"), threshold), "simhash-similar"))
+    # The narrow columns of copies are folded first; the wide ones come from one row of each node.
+    narrow = cut(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("digest").alias("digest"), F.min("row").alias("row")), "simhash-narrow")
+    ones = marked.select("row", "id", "size", "first", "parities").join(narrow.select("row"), "row", "left_semi")
+    shared = cut(shared_shingles(ones.select("id", "size", "first")).withColumn("group", F.col("id")), "simhash-shared")
+    nodes = cut(ones.select("id", "size", "parities").join(narrow.select("id", "least", "digest"), "id"), "simhash-nodes")
+    discard(marked, narrow)
+    if edges:
+        shared = _with_groups(shared, edges[0])
+    seen = []
+    for turn in range(HUB_TURNS + 2):
+        if turn < HUB_TURNS:
+            met = hub_pairs(shared, turn)
+        elif turn == HUB_TURNS:
+            shared = with_picks(shared)
+            met = picked_pairs(shared)
+        else:
+            met = rest_pairs(shared)
         pairs = _oriented(met, nodes, share)
         for earlier in seen:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         seen.append(cut(pairs, "simhash-pairs"))
-        if seen[-1].isEmpty():
-            continue
-        edges.append(cut(similar_pairs(seen[-1], rows, nodes, width, share), "simhash-similar"))
-        if turn < HUB_TURNS:
+        if not seen[-1].isEmpty():
+            edges.append(similar_pairs(seen[-1], rows, nodes, width, share))
+        if turn <= HUB_TURNS and edges:
             shared = _with_groups(shared, reduce(DataFrame.unionByName, edges))
+    discard(shared)
     if not edges:
         edges = [docs.sparkSession.createDataFrame([], "a long, b long")]
     labels = labelled(nodes.select("id", "least"), reduce(DataFrame.unionByName, edges))
-    return marked.select("key", "id").join(labels, "id").select(F.col("key").alias(key), "component_id")
+    discard(nodes)
+    return members.join(labels, "id").select(F.col("key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:

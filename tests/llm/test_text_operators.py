@@ -1,7 +1,9 @@
 """Operators on documents against brute force, on small and odd tables."""
 
 import hashlib
+import os
 import random
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -501,3 +503,28 @@ def test_stages_pass_documents_on(spark):
     bad = common.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
     left = rows.join(bad, "doc_id", "left_semi").select("doc_id").distinct().count()
     assert left <= 0.1 * bad.count()
+
+
+def test_the_near_duplicate_stage_links_by_simhash_and_drops_spent_tables(spark):
+    # Fingerprints count repeats, so the tail does not change them; the sets of five-word shingles differ by far.
+    passage = " ".join(f"word{i}" for i in range(21))
+    texts = [" ".join([passage] * 40 + [f"tail{k}x{i}" for i in range(18)]) for k in range(2)] + ["quite another text"]
+    assert bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).count("1") <= 2
+    assert similar_groups(spark, texts) == {0: 0, 1: 1, 2: 2}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+    rows = common.cut(docs, "spent")
+    files = rows.inputFiles()
+    common.discard(rows, docs)
+    assert files and not any(os.path.exists(urlparse(f).path) for f in files)
+
+
+def test_groups_left_by_the_hubs_meet_by_one_pair_before_all_their_pairs_do(spark):
+    rows = [(7, i, 10, 1, i // 50) for i in range(100)]  # two groups of 50 nodes that share a shingle
+    shared = simhash.with_picks(spark.createDataFrame(rows, "shingle long, id long, size int, at int, group long"))
+    first, rest = simhash.picked_pairs(shared), simhash.rest_pairs(shared)
+    assert first.count() == 1
+    met = {frozenset((r.x.id, r.y.id)) for r in first.collect() + rest.collect()}
+    assert met == {frozenset((a, b)) for a in range(50) for b in range(50, 100)}
