@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache, reduce
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ SAMPLE, FREQUENT = 16, 500_000
 FILTER_BITS = 26  # of the filter of texts that take part in a pair; it may let others pass
 ROWS_AT_ONCE = 1000
 PARITIES = 1024  # least number of bits that tell the parity of the shingles of a set that fall on each
-HUB_TURNS = 2
+HUB_TURNS = 1
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
@@ -169,10 +169,9 @@ def linked_fingerprints(rows: DataFrame, threshold: int) -> DataFrame:
     return visits.join(home.hint("shuffle_hash"), ["anchor", "tag"]).filter(near).select("a", "b")
 
 
-def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` (id, least, ...) plus component_id, the smallest ``least`` reachable over ``edges`` (a, b)."""
-    groups = connected_components(cut(edges, "simhash-links")).select(F.col("node").alias("id"), "component")
-    found = nodes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def labelled(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``nodes`` (id, least, ...) plus component_id, the smallest ``least`` in the component of ``groups`` (node, component)."""
+    found = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     leasts = found.groupBy("component").agg(F.min("least").alias("component_id"))
     return cut(found.join(leasts, "component").drop("component"), "simhash-labels")
 
@@ -188,7 +187,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     marked = cut(fingerprints(docs, key, text, width), "simhash-fps")
     nodes = cut(marked.groupBy("fp").agg(F.min("key").alias("least")).withColumn("id", F.col("fp")), "simhash-nodes")
-    labels = labelled(nodes, linked_fingerprints(nodes.withColumn("tag", F.lit(0)), threshold))
+    edges = cut(linked_fingerprints(nodes.withColumn("tag", F.lit(0)), threshold), "simhash-links")
+    labels = labelled(nodes, connected_components(edges))
     return marked.join(labels.select("fp", "component_id"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
@@ -288,12 +288,12 @@ def _oriented(rows: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(alike).select("a", "b")
 
 
-def _with_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """``shared`` with the component of each node; shingles whose nodes are all in one are left out.
+def _with_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``shared`` with the component of each node from ``groups`` (node, component); shingles whose nodes are all in one are left out.
 
     So are those where every node stood for a group of its own (``with_picks``): all their pairs are known.
     """
-    groups = cut(connected_components(edges).withColumnRenamed("node", "id"), "simhash-groups")
+    groups = groups.withColumnRenamed("node", "id")
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
     rows = shared.drop("group").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
@@ -309,20 +309,21 @@ def _with_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
 POINT = ("id", "size", "at", "group")
 
 
-def hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
-    """(x, y): each shingle's nodes against one of them, its hub; a node is hub of as many of its shingles as may be.
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(x, y): each shingle's nodes against one of them, its hub: the one with the fewest rarer shingles.
 
-    A group of similar texts that share many shingles so gives one star, not a pair for any two of its members.
+    Of a text's edited copies that is the one with the fewest changes, the one that most others are similar to; it is hub
+    of as many of its shingles as may be.  The group so gives one star, not a pair for any two of its members.
     """
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), *POINT)).alias("hub"))
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct(F.col("at").alias("rarer"), F.xxhash64("id").alias("h"), *POINT)).alias("hub"))
     hubs = hubs.select("shingle", F.struct(*[F.col(f"hub.{c}").alias(c) for c in POINT]).alias("x"))
     met = shared.select("shingle", F.struct(*POINT).alias("y")).join(hubs, "shingle")
     return met.filter(F.col("x.group") != F.col("y.group")).select("x", "y")
 
 
 def with_picks(shared: DataFrame) -> DataFrame:
-    """``shared`` with ``picked``: whether a node stands for its group among the nodes of the shingle."""
-    of_group = Window.partitionBy("shingle", "group").orderBy(F.xxhash64("id", "shingle"), "id")
+    """``shared`` with ``picked``: whether a node stands for its group among the nodes of the shingle, having the fewest rarer ones."""
+    of_group = Window.partitionBy("shingle", "group").orderBy("at", F.xxhash64("id"), "id")
     return cut(shared.withColumn("picked", F.row_number().over(of_group) == 1), "simhash-picked")
 
 
@@ -372,14 +373,12 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
 def fingerprint_links(prints: DataFrame, threshold: int) -> DataFrame:
     """(a, b): ids of ``prints`` (id, fp) linked so that all within ``threshold`` bits of one another, step by step, are joined.
 
-    Each group of fingerprints gives one star, so copies and large groups are never paired.
+    One id stands for each fingerprint: the others with it link to that one, and fingerprints link by theirs.
     """
     prints = cut(prints.distinct(), "simhash-prints")
-    nodes = cut(prints.select(F.col("fp").alias("id")).distinct().withColumns({"fp": F.col("id"), "tag": F.lit(0)}), "simhash-nodes")
-    groups = connected_components(cut(linked_fingerprints(nodes, threshold), "simhash-links")).withColumnRenamed("node", "fp")
-    rows = prints.join(groups, "fp", "left").select("id", F.coalesce("component", "fp").alias("component"))
-    hubs = rows.groupBy("component").agg(F.min("id").alias("hub"))
-    return rows.join(hubs, "component").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
+    equal = prints.join(nodes.withColumnRenamed("id", "a"), "fp").filter("a <> id").select("a", F.col("id").alias("b"))
+    return linked_fingerprints(nodes.withColumn("tag", F.lit(0)), threshold).unionByName(equal)
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
@@ -392,7 +391,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     that they have joined are not looked at again.  A single 64-bit fingerprint tells similar documents about ten bits
     apart, too far for any covering code, so the others meet at their rarest shingles and the sets decide.  Documents with
     equal sets are one node, whose id is the digest of the set.  First a shingle's nodes are held against one of them,
-    in ``HUB_TURNS`` turns with another one each; then any two groups that this has left by a node of each; then every pair
+    in ``HUB_TURNS`` turns; then any two groups that this has left by a node of each; then every pair
     that is still not in one group is looked at.
     Large groups of similar texts so cost a few comparisons per member, and no pair is missed.
     Null texts and texts without words are one group; keys and repeated rows as in ``near_duplicates``.
@@ -415,21 +414,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         columns, whole = columns + ", fp long", lambda texts: [_prints(texts, print_width)]
     marked = cut(shingle_sets(rows, width, first, columns, whole=whole).withColumn("row", F.monotonically_increasing_id()), "simhash-marked")
     members = cut(marked.select("key", "id"), "simhash-members")
-    edges = []
+    groups = docs.sparkSession.createDataFrame([], "node long, component long")
     if threshold is not None:
-        edges.append(cut(fingerprint_links(marked.select("id", "fp"), threshold), "simhash-similar"))
+        groups = cut(connected_components(fingerprint_links(marked.select("id", "fp"), threshold)), "simhash-groups")
     # The narrow columns of copies are folded first; the wide ones come from one row of each node.
     narrow = cut(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("digest").alias("digest"), F.min("row").alias("row")), "simhash-narrow")
     ones = marked.select("row", "id", "size", "first", "parities").join(narrow.select("row"), "row", "left_semi")
     shared = cut(shared_shingles(ones.select("id", "size", "first")).withColumn("group", F.col("id")), "simhash-shared")
     nodes = cut(ones.select("id", "size", "parities").join(narrow.select("id", "least", "digest"), "id"), "simhash-nodes")
     discard(marked, narrow)
-    if edges:
-        shared = _with_groups(shared, edges[0])
+    if threshold is not None:
+        shared = _with_groups(shared, groups)
     seen = []
     for turn in range(HUB_TURNS + 2):
         if turn < HUB_TURNS:
-            met = hub_pairs(shared, turn)
+            met = hub_pairs(shared)
         elif turn == HUB_TURNS:
             shared = with_picks(shared)
             met = picked_pairs(shared)
@@ -440,13 +439,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         seen.append(cut(pairs, "simhash-pairs"))
         if not seen[-1].isEmpty():
-            edges.append(similar_pairs(seen[-1], rows, nodes, width, share))
-        if turn <= HUB_TURNS and edges:
-            shared = _with_groups(shared, reduce(DataFrame.unionByName, edges))
+            # Earlier groups are stars by now: only the new links make rounds.
+            stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = similar_pairs(seen[-1], rows, nodes, width, share).unionByName(stars)
+            groups = cut(connected_components(links), "simhash-groups")
+        if turn <= HUB_TURNS:
+            shared = _with_groups(shared, groups)
     discard(shared)
-    if not edges:
-        edges = [docs.sparkSession.createDataFrame([], "a long, b long")]
-    labels = labelled(nodes.select("id", "least"), reduce(DataFrame.unionByName, edges))
+    labels = labelled(nodes.select("id", "least"), groups)
     discard(nodes)
     return members.join(labels, "id").select(F.col("key").alias(key), "component_id")
 

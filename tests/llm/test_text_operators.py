@@ -250,6 +250,28 @@ def test_the_exact_similarity_decides(spark):
     assert similar_groups(spark, texts) == want
 
 
+def test_edited_copies_meet_at_their_least_edited_text(spark, monkeypatch):
+    """Copies that are like their original but not like each other give one star, not a pair of any two."""
+    base, n = prose(31, 204).split(), 60  # 200 shingles
+    texts = [" ".join(base)]
+    for k in range(n):
+        words = list(base)
+        for i in random.Random(k).sample(range(5, 35), 4):  # up to 20 other shingles
+            words[6 * i - 12] = f"new{k}x{i}"
+        texts.append(" ".join(words))
+    alike = sum(jaccard(a, b) >= 0.8 for i, a in enumerate(texts[1:]) for b in texts[1:i + 1])
+    assert all(jaccard(base_copy, texts[0]) >= 0.8 for base_copy in texts) and alike < n * n / 20
+    met, oriented = [], simhash._oriented
+
+    def counted(rows, *rest):
+        met.append(rows.count())
+        return oriented(rows, *rest)
+
+    monkeypatch.setattr(simhash, "_oriented", counted)
+    assert set(similar_groups(spark, texts).values()) == {0}
+    assert sum(met[1:]) == 0 and met[0] <= 60 * n
+
+
 def test_one_of_each_group_stays(docs, no_docs):
     kept = simhash.keep_one(docs, find=simhash.similar_documents)
     assert kept.columns == docs.columns
@@ -267,6 +289,22 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges = [(a, rng.randrange(1000 * (a // 1000), 1000 * (a // 1000) + 400)) for a in (rng.randrange(4000) for _ in range(1500))]
+    group = {x: x for e in edges for x in e}
+    for _ in range(len(group)):
+        moved = False
+        for a, b in edges:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                moved = True
+        if not moved:
+            break
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: group[x] for e in edges if e[0] != e[1] for x in e}
+
+
 # --- personal data ----------------------------------------------------------
 
 LETTER = ("Mr. John Smith met Mrs Smith and Anna Kowalski. Dr Jones, call 212-555-0199 or +44 20 7946 0958, jane.doe@Gmail.com, "
