@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from insidertrail.functions import scalars as S
 from insidertrail.operators import asof
+from insidertrail.operators.staged import written
 
 HORIZONS = (20, 60, 120)
 LOOKAHEAD_DAYS = 200
@@ -112,7 +113,8 @@ def outcomes_for_transactions(transactions: DataFrame, companies: DataFrame, pri
     trades = (transactions.where("is_discretionary").select("txn_id", "company_id", "transaction_date")
               .join(companies.select("company_id", "ticker", "sector"), "company_id"))
     fund = S.sector_fund("sector", kwargs.get("taxonomy") or S.OUTCOME_SECTOR_FUNDS)
-    per_day = trade_outcomes(trades, prices, **kwargs).withColumnRenamed("fund", "_fund")
+    # A calendar per ticker at most; as a small file it is broadcast to the trades.
+    per_day = written(trade_outcomes(trades, prices, **kwargs), "daily-outcomes").withColumnRenamed("fund", "_fund")
     t = trades.withColumn("fund", fund)
     same = (t["ticker"] == per_day["ticker"]) & (t["transaction_date"] == per_day["transaction_date"]) \
         & t["fund"].eqNullSafe(per_day["_fund"])

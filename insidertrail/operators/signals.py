@@ -258,11 +258,15 @@ def buy_alerts(strategy: Strategy, transactions: DataFrame, insiders: DataFrame,
     done = _alerted(existing)
     if done is not None:
         rows = E.without_matches(rows, done, E.EVENT_KEY)
+    few = only is not None or since is not None or done is not None
     totals = E.event_value(transactions, F.col("is_discretionary"))
+    if not few:  # an event's trades then meet where they lie, not in a shuffle of all of them
+        totals = written(totals, "event-values")
     rows = (rows.join(totals, E.EVENT_KEY, "left").withColumn("txn_value", E.event_value_or_fallback())
             .where(S.value_in_bounds("txn_value", p.min_event_value, p.max_event_value)))
     rows = _first_of_event(rows)
-    few = only is not None or since is not None or done is not None
+    if not few:
+        rows = written(rows, "events")
     features = live_features(rows, transactions, insiders, companies, roles, prices, scores, few=few)
     return _alerts(features, strategy.classify, strategy.conviction)
 
@@ -277,11 +281,16 @@ def sell_alerts(strategy: Strategy, transactions: DataFrame, insiders: DataFrame
     done = _alerted(existing, strategy.names(direction="sell", visible=True))
     if done is not None:
         rows = E.without_matches(rows, done, E.EVENT_KEY)
+    few = done is not None
     totals = E.event_value(transactions, F.col("transaction_code") == "S")
+    if not few:
+        totals = written(totals, "event-values")
     rows = (rows.join(totals, E.EVENT_KEY, "left")
             .withColumn("txn_value", F.coalesce(E.event_value_or_fallback(), F.lit(0.0))))
-    features = live_features(_first_of_event(rows), transactions, insiders, companies, roles, prices, scores,
-                             few=done is not None)
+    rows = _first_of_event(rows)
+    if not few:
+        rows = written(rows, "events")
+    features = live_features(rows, transactions, insiders, companies, roles, prices, scores, few=few)
     return _alerts(features, strategy.evaluate_sell, strategy.conviction)
 
 
@@ -292,7 +301,9 @@ def person_alerts(alerts: DataFrame, transactions: DataFrame, insiders: DataFram
     if hidden:
         rows = rows.where(~F.col("alert_type").isin(hidden))
     people = insiders.where(~F.col("is_institution")).select("insider_id")
-    common = transactions.where(E.common_or_unknown()).select(F.col("txn_id").alias("transaction_id"))
+    # Of the trades only those alerted are shuffled: few alerts are broadcast to them.
+    common = (transactions.where(E.common_or_unknown()).select(F.col("txn_id").alias("transaction_id"))
+              .join(rows.select("transaction_id"), "transaction_id", "left_semi"))
     return rows.join(people, "insider_id", "left_semi").join(common, "transaction_id", "left_semi")
 
 

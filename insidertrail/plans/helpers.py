@@ -20,13 +20,33 @@ def big(*columns: str) -> list:
     return [F.col(c).cast("bigint").alias(c) for c in columns]
 
 
+def people(t: Tables) -> DataFrame:
+    """Insiders, written once per application: a small file is broadcast, the trades joined to it stay in place."""
+    return t.stage("insiders", lambda: t.insiders)
+
+
+def firms(t: Tables) -> DataFrame:
+    """Companies, written once per application."""
+    return t.stage("companies", lambda: t.companies)
+
+
+def titles(t: Tables) -> DataFrame:
+    """Roles, written once per application."""
+    return t.stage("roles", lambda: t.roles)
+
+
+def daily_prices(t: Tables) -> DataFrame:
+    """Daily prices, written once per application."""
+    return t.stage("prices", lambda: t.prices)
+
+
 def outcomes(t: Tables) -> DataFrame:
     """Outcome table, written once per application."""
     return t.stage("trade_outcomes", lambda: compute_outcomes(t))
 
 
 def compute_outcomes(t: Tables) -> DataFrame:
-    return outcomes_for_transactions(t.transactions, t.companies, t.prices)
+    return outcomes_for_transactions(t.transactions, firms(t), daily_prices(t))
 
 
 def buy_events(t: Tables) -> DataFrame:
@@ -52,4 +72,4 @@ def scores(t: Tables) -> DataFrame:
     """Global insider scores, written once per application."""
     from insidertrail.operators.scores import insider_scores
 
-    return t.stage("insider_scores", lambda: insider_scores(t.transactions, outcomes(t), t.insiders))
+    return t.stage("insider_scores", lambda: insider_scores(t.transactions, outcomes(t), people(t)))

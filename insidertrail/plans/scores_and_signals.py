@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from insidertrail.operators import asof, prices as P, scores as SC, signals as G
-from insidertrail.plans.helpers import flagged, outcomes, rounded, scores
+from insidertrail.plans.helpers import daily_prices, firms, flagged, outcomes, people, rounded, scores, titles
 from insidertrail.plans.oracle_views import ORACLE_VIEWS, RECORD_SQL, normal_cdf_sql
 from insidertrail.plans.registry import query
 
@@ -210,7 +210,7 @@ def live_strategy():
 
 
 def _live(t):
-    return (t.transactions, t.insiders, t.companies, t.roles, t.prices, scores(t))
+    return (t.transactions, people(t), firms(t), titles(t), daily_prices(t), scores(t))
 
 
 def alerts(t):
@@ -347,5 +347,5 @@ def g08(t):
 @query("g09_person_alerts", f"SELECT {_ALERT_OUT} FROM ox_alerts WHERE alert_type <> 'filtered_out' "
        "AND trade_date >= DATE '2000-01-01'")
 def g09(t):
-    return _alert_out(G.person_alerts(alerts(t), t.transactions, t.insiders, hidden=["filtered_out"],
+    return _alert_out(G.person_alerts(alerts(t), t.transactions, people(t), hidden=["filtered_out"],
                                       since=F.lit("2000-01-01").cast("date")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from insidertrail.operators import events as E, prices as P, reports as V, signals as G
-from insidertrail.plans.helpers import outcomes, rounded, scores
+from insidertrail.plans.helpers import outcomes, people, rounded, scores
 from insidertrail.plans.registry import query
 from insidertrail.plans.scores_and_signals import SELLS, alerts, sell_alerts
 from insidertrail.plans.oracle_views import ORACLE_VIEWS
@@ -141,7 +141,7 @@ def k03(t):
 
 def all_alerts(t):
     """Buy and sell alerts of people on common stock."""
-    return G.person_alerts(alerts(t).unionByName(sell_alerts(t)), t.transactions, t.insiders)
+    return G.person_alerts(alerts(t).unionByName(sell_alerts(t)), t.transactions, people(t))
 
 
 def _week_query(name, day):

@@ -280,6 +280,38 @@ def test_features_of_a_few_rows_equal_those_of_all(spark):
     assert in_order(whole.select(sorted(whole.columns))) == in_order(cut.select(sorted(cut.columns))) != []
 
 
+def test_alerts_read_prices_and_people_once(spark, tmp_path):
+    from insidertrail.plans.adapter import Tables
+    from insidertrail.plans.helpers import compute_outcomes
+    from insidertrail.plans.scores_and_signals import _live, live_strategy
+
+    rng = random.Random(5)
+    spark.createDataFrame([(i, rng.randrange(300), rng.choice("OFP"), 1000.0 + rng.randrange(90_000),
+                            dt.datetime(1996, 1, 1) + dt.timedelta(days=rng.randrange(300))) for i in range(400)],
+                          "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i % 25, float(rng.randrange(1, 50)), dt.datetime(1996, 1, 1) + dt.timedelta(days=i // 25))
+                           for i in range(25 * 400)], "l_partkey bigint, l_quantity double, l_shipdate timestamp"
+                          ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    staged, direct = _live(t), (t.transactions, t.insiders, t.companies, t.roles, t.prices, _live(t)[-1])
+    found = G.buy_alerts(live_strategy(), *staged)
+    assert not any("lineitem.parquet" in f for df in (found, compute_outcomes(t)) for f in df.inputFiles())
+    assert in_order(found) == in_order(G.buy_alerts(live_strategy(), *direct)) != []
+
+
+def test_person_alerts_shuffle_no_trade_without_an_alert(spark):
+    trades = spark.createDataFrame([(1, True), (1, True), (2, False), (3, None), (None, True), (5, True)],
+                                   "txn_id bigint, is_common_stock boolean")
+    people = spark.createDataFrame([(7, False), (8, True), (None, False)], "insider_id int, is_institution boolean")
+    alerts = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 7), (None, 7), (4, 7), (5, 8), (5, None)],
+                                   "transaction_id bigint, insider_id int")
+    out = G.person_alerts(alerts, trades, people)
+    assert sorted(r.transaction_id for r in out.collect()) == [1, 1, 3]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 3  # people, common trades, and those trades cut down to alerted ones
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from insidertrail.session import shared_folder
 
