@@ -116,7 +116,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
     reach = F.nth_value("lower", most).over(whole)
     needed = bounds.withColumn("reach", reach).filter("reach is null or upper >= reach").select("query_rep", "rep", "upper")
     queries = asked.groupBy(F.col("rep").alias("query_rep")).agg(F.first("vec").alias("query_vec"))
-    candidates = needed.join(reps, "rep").join(queries, "query_rep")
+    candidates = needed.join(reps.hint("merge"), "rep").join(queries.hint("merge"), "query_rep")
     return V.ranked(refined(candidates, most), asked, stored, k, key)
 
 

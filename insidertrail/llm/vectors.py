@@ -1,4 +1,8 @@
-"""What both vector searches share: distinct vectors, blocks of vectors, and the merging of found vectors."""
+"""What both vector searches share: distinct vectors, blocks of vectors, and the merging of found vectors.
+
+Joins that carry vectors have the hint to merge.  Spark guesses a table's size from its compressed files, in which vectors
+are many times smaller than in memory, and would send them through the driver.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +41,7 @@ def split_queries(rows: DataFrame, is_query: Column, k: int, name: str) -> tuple
               .filter(F.col("n") <= k + 1).drop("n"))
     queries = rows.filter(is_query)
     reps = queries.groupBy("vec").agg(F.min("vec_id").alias("rep"))
-    return cut(queries.join(reps, "vec").select("rep", "vec", "vec_id"), name + "-asked"), cut(stored, name + "-stored")
+    return cut(queries.join(reps.hint("merge"), "vec").select("rep", "vec", "vec_id"), name + "-asked"), cut(stored, name + "-stored")
 
 
 def only_reps(rows: DataFrame) -> DataFrame:
@@ -83,12 +87,16 @@ def widened(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def meet(data: DataFrame, asked: DataFrame, n_blocks: int) -> DataFrame:
-    """Every packed block of the query set beside every block of ``data``, joined on the block number."""
+    """Every packed block of the query set beside every block of ``data``, joined on the block number.
+
+    The query blocks come first, as the side of which one row passes at a time while a block of ``data`` is held: there is a
+    copy of them for each block.
+    """
     queries = packed(only_reps(asked.withColumn("vec_id", F.col("rep")).dropDuplicates(["rep"])),
                      block_count(asked, QUERY_BLOCK_ROWS))
     sent = queries.select(F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"),
                           F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    return data.join(sent, "block")
+    return sent.hint("merge").join(data, "block")
 
 
 def ranked(found: DataFrame, asked: DataFrame, stored: DataFrame, k: int, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insidertrail.llm import exact_search, hnsw, url_filter, vectors, warc
-from insidertrail.llm.common import work_path
+from insidertrail.llm.common import cut, work_path
 
 # --- WARC -------------------------------------------------------------------
 
@@ -158,6 +159,34 @@ def test_exact_search_of_few_and_no_rows(spark):
     assert exact_search.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("search", [exact_search.top_k, hnsw.nearest])
+def test_vectors_are_not_sent_through_the_driver(spark, monkeypatch, search):
+    plans = []
+
+    def planned(df, name):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return cut(df, name)
+
+    for module in (vectors, exact_search, hnsw):
+        monkeypatch.setattr(module, "cut", planned)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    rows = cut(spark.createDataFrame(vector_rows(), VECTORS), "test-rows")
+    planned(search(rows, F.col("vec_id") % 20 == 0), "test-found")
+    sent = [x for p in plans for x in re.findall(r"BroadcastExchange\nInput \[\d+\]: (.*)", p)]
+    assert len(plans) == 4
+    assert not [x for x in sent if re.search(r"\b(vec|vecs|query_vec|query_vecs|cells)#", x)]
+
+
+def test_query_blocks_meet_every_block(spark):
+    asked = spark.createDataFrame([(i, [float(i), 1.0], i) for i in range(5)] + [(3, [3.0, 1.0], 9)], "rep long, vec array<double>, vec_id long")
+    data = spark.createDataFrame([(b, f"block {b}") for b in (0, 1, 2)], "block int, name string")
+    met = vectors.meet(cut(data, "test-data"), cut(asked, "test-asked"), 3)
+    assert "Broadcast" not in spark._jvm.PythonSQLUtils.explainString(met._jdf.queryExecution(), "formatted")
+    got = {(r.block, r["name"]): vectors.unpack(r.query_ids, r.query_vecs) for r in met.collect()}
+    assert got.keys() == {(b, f"block {b}") for b in (0, 1, 2)}
+    assert all(ids.tolist() == list(range(5)) and vecs.tolist() == [[i, 1] for i in range(5)] for ids, vecs in got.values())
+
+
 def test_large_integers_stay_exact():
     big = np.array([2.0 ** 40 + 1, 3.0])
     assert exact_search.exact_scores(big, np.array([[2.0 ** 20, 1.0]])).tolist() == [(2 ** 40 + 1) * 2 ** 20 + 3]
